@@ -1,0 +1,6 @@
+"""Streaming entry points.
+
+The mined workloads are batch jobs over whole basket tables: the reference
+has no stream source, watermark, window or stateful operator, so nothing is
+built here (see README, "Not built").
+"""
