@@ -63,11 +63,9 @@ def drop_each(col) -> Column:
                        lambda i: F.filter(c, lambda x, j: j != i))
 
 
-def proper_subsets(col) -> Column:
-    """All non-empty proper subsets of an itemset (bit masks 1 .. 2^k - 2)."""
-    c = _c(col)
-    top = F.shiftleft(F.lit(1).cast("long"), F.size(c)) - 2
-    masks = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(top, F.lit(1).cast("long"))),
-                     lambda m: m <= top)
-    return F.transform(masks, lambda m: F.filter(
-        c, lambda x, j: F.shiftright(m, j).bitwiseAND(F.lit(1)) == 1))
+def proper_subsets(col: str) -> Column:
+    """All non-empty proper subsets of the itemset column ``col`` (bit masks
+    1 .. 2^k - 2; SQL lambdas because the shift amount is a column)."""
+    top = f"(shiftleft(1L, size({col})) - 2L)"
+    return F.expr(f"transform(filter(sequence(1L, greatest({top}, 1L)), m -> m <= {top}), "
+                  f"m -> filter({col}, (x, j) -> (shiftright(m, j) & 1L) = 1L))")

@@ -112,8 +112,10 @@ def encode_itemsets(itemsets: DataFrame, codes: DataFrame, n_codes: int,
 
 def decode(df: DataFrame, codes: DataFrame, n_codes: int, col: str = "cand",
            out: str = "items") -> DataFrame:
-    """Replace the code array ``col`` (unique per row) by the sorted item array."""
-    x = df.select(col, F.explode(col).alias("code"))
+    """Replace the code array ``col`` by the sorted item array ``out``."""
+    key = "_code_key"
+    d = df.withColumnRenamed(col, key)
+    x = d.select(key).distinct().select(key, F.explode(key).alias("code"))
     j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "code")
-    m = j.groupBy(col).agg(F.array_sort(F.collect_list("item")).alias(out))
-    return df.join(m, col).drop(col)
+    m = j.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias(out))
+    return d.join(m, key).drop(key)

@@ -70,7 +70,7 @@ def size_variants(baskets: DataFrame, fractions: dict[str, float], seed: int = 4
     specs = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(float(v)).alias("fraction"))
                       for k, v in fractions.items()])
     x = baskets.select("basket_id", "items", F.explode(specs).alias("s"))
-    u = md5_unit(F.lit(f"{seed}"), F.concat(F.col("s.label"), F.lit(":"), F.col("basket_id").cast("string")))
+    u = md5_unit(seed, F.concat(F.col("s.label"), F.lit(":"), F.col("basket_id").cast("string")))
     return (x.where(u < F.col("s.fraction") * F.lit(float(TWO_32)))
              .select(F.col("s.label").alias("size_label"), "basket_id", "items"))
 

@@ -19,6 +19,9 @@ from basketry.functions.itemsets import canonical
 # Fixed value of the reference's document text format: the record delimiter.
 DOCUMENT_DELIMITER = "---END.OF.DOCUMENT---"
 
+# White space as Java's ``\s`` defines it, spelled out so RE2 (DuckDB) agrees.
+WHITESPACE = r"[ \t\n\x0B\f\r]+"
+
 
 def _tokens(text_col, sep_regex: str, keep_empty: bool):
     toks = F.split(text_col, sep_regex)
@@ -29,8 +32,8 @@ def _tokens(text_col, sep_regex: str, keep_empty: bool):
 
 def _typed(tokens, item_type: str, hashed: bool):
     if hashed:
-        # xxhash64 per token; collisions are possible, so keep an item
-        # dictionary (see ``item_dictionary``) when tokens must be recovered.
+        # xxhash64 per token (the reference hashes words the same way);
+        # distinct words may collide, as in the reference.
         return F.transform(tokens, lambda t: F.xxhash64(t))
     if item_type in ("bigint", "long"):
         return F.transform(tokens, lambda t: t.cast("long"))
@@ -57,7 +60,7 @@ def read_baskets(spark: SparkSession, path: str, sep: str = " ", item_type: str
 
 
 def text_to_baskets(df: DataFrame, id_col: str, text_col: str, hashed: bool = False,
-                    sep_regex: str = r"\s+", lower: bool = True) -> DataFrame:
+                    sep_regex: str = WHITESPACE, lower: bool = True) -> DataFrame:
     """S3: lower-case, split on white space, distinct words (or their hashes)."""
     t = F.col(text_col)
     if lower:
@@ -70,12 +73,12 @@ def text_to_baskets(df: DataFrame, id_col: str, text_col: str, hashed: bool = Fa
 def read_delimited_documents(spark: SparkSession, path: str,
                              delimiter: str = DOCUMENT_DELIMITER, hashed: bool = False,
                              lower: bool = False) -> DataFrame:
-    """Multi-line records cut at ``delimiter``, trimmed, split on blanks."""
+    """Multi-line records cut at ``delimiter``, split on white space
+    (which also strips them); records without a word are dropped."""
     df = spark.read.option("lineSep", delimiter).text(path)
-    df = df.select(F.monotonically_increasing_id().alias("basket_id"),
-                   F.trim(F.col("value"), " \t\r\n").alias("value"))
-    df = df.where(F.length("value") > 0)
-    return text_to_baskets(df, "basket_id", "value", hashed=hashed, lower=lower)
+    df = df.select(F.monotonically_increasing_id().alias("basket_id"), "value")
+    b = text_to_baskets(df, "basket_id", "value", hashed=hashed, lower=lower)
+    return b.where(F.size("items") > 0)
 
 
 def baskets_from_rows(df: DataFrame, key_cols: str | Sequence[str], item_col: str) -> DataFrame:
