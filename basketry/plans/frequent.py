@@ -29,6 +29,9 @@ def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
     if n is None:
         n = baskets.count()
     mc = resolve_min_count(n, min_count, min_ratio)
+    if mc > n:  # nothing can be frequent (and FP-growth rejects minSupport > 1)
+        return baskets.select(F.col("items"), F.lit(0).cast("long").alias("support"),
+                              F.lit(0).alias("size")).where(F.lit(False))
     fp = FPGrowth(itemsCol="items", minSupport=(mc - 0.5) / max(n, 1), minConfidence=0.0)
     if num_partitions:
         fp = fp.setNumPartitions(int(num_partitions))
