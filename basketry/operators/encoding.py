@@ -68,6 +68,13 @@ class Encoded:
     n_codes: int
     baskets: DataFrame    # codes array<int>, weight long
     n: int                # number of input baskets (including empty ones)
+    min_count: int = 0
+    supports: DataFrame | None = None   # item, support for every item (when counted)
+
+
+# Up to this many codes the item -> code lookup is a literal map evaluated
+# inside the scan (no shuffle); above it an explode + broadcast join + regroup.
+MAP_LOOKUP_MAX = 256
 
 
 def encode_baskets(baskets: DataFrame, codes: DataFrame, n_codes: int,
@@ -77,26 +84,52 @@ def encode_baskets(baskets: DataFrame, codes: DataFrame, n_codes: int,
     With ``keep_id=False`` identical code arrays are folded into one row with
     a weight (partial aggregation folds a hot duplicate basket map-side).
     """
-    x = baskets.select("basket_id", F.explode("items").alias("item"))
-    j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "item")
-    b = j.groupBy("basket_id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    if n_codes <= MAP_LOOKUP_MAX:
+        # bounded (checked) dictionary: look codes up in place, no regroup
+        pairs = codes.select("item", "code").collect()
+        lookup = F.create_map(*[x for r in pairs for x in (F.lit(r["item"]), F.lit(r["code"]))])
+        coded = F.array_sort(F.filter(F.transform("items", lambda x: F.try_element_at(lookup, x)),
+                                      lambda c: c.isNotNull()))
+        b = baskets.select("basket_id", coded.alias("codes")).where(F.size("codes") > 0)
+    else:
+        x = baskets.select("basket_id", F.explode("items").alias("item"))
+        j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "item")
+        b = j.groupBy("basket_id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     if keep_id:
         return b.withColumn("weight", F.lit(1).cast("long"))
     return b.groupBy("codes").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def encode(baskets: DataFrame, min_count: int, order: str = "support",
-           n: int | None = None, allowed: DataFrame | None = None) -> Encoded:
-    """Count items, code the frequent ones, encode and checkpoint the baskets."""
-    if n is None:
-        n = baskets.count()
-    sup = item_support(baskets, min_count)
-    if allowed is not None:
-        sup = sup.join(allowed.select("item"), "item", "left_semi")
+def supports_and_count(baskets: DataFrame) -> tuple[DataFrame, int]:
+    """A1 plus the basket count in one pass: every basket adds one null
+    marker item, whose count is n. Returns the checkpointed support table
+    (all items) and n."""
+    t = baskets.schema["items"].dataType.elementType
+    marked = F.concat(F.array(F.lit(None).cast(t)), F.col("items"))
+    sup = cut(baskets.select(F.explode(marked).alias("item"))
+                     .groupBy("item").agg(F.count(F.lit(1)).alias("support")))
+    row = sup.where(F.col("item").isNull()).select("support").first()
+    return sup.where(F.col("item").isNotNull()), (row[0] if row else 0)
+
+
+def encode(baskets: DataFrame, min_count: int | None = None, order: str = "support",
+           n: int | None = None, min_ratio: float | None = None) -> Encoded:
+    """Count items (and n, in the same pass), code the frequent ones, encode
+    and checkpoint the baskets: two passes over the input in all."""
+    from basketry.functions.itemsets import min_count_for
+    sup_all = None
+    if n is None or min_count is None:
+        sup_all, n_seen = supports_and_count(baskets)
+        n = n if n is not None else n_seen
+        mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
+        sup = sup_all.where(F.col("support") >= F.lit(mc))
+    else:
+        mc = int(min_count)
+        sup = item_support(baskets, mc)
     codes = cut(item_codes(sup, order))
     n_codes = codes.count()
     enc = cut(encode_baskets(baskets, codes, n_codes))
-    return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n)
+    return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc, supports=sup_all)
 
 
 def encode_itemsets(itemsets: DataFrame, codes: DataFrame, n_codes: int,

@@ -58,11 +58,14 @@ def closed_levels(enc: Encoded, min_count: int, allowed_codes: DataFrame | None
                      .join(maybe_broadcast(allowed, n_allowed), "code", "left_anti")
                      .select("cand").distinct())
             sc = sc.join(bad, "cand", "left_anti")
-        lvl = sc.select("closure", "support", "ext").dropDuplicates(["closure"])
+        lvl = (sc.groupBy("closure")
+                 .agg(F.first("support").alias("support"), F.first("ext").alias("ext")))
         if seen is not None:
             lvl = lvl.join(seen, "closure", "left_anti")
         lvl = cut(lvl.withColumn("level", F.lit(lvl_no)))
-        if lvl.count() == 0:
+        stats = lvl.agg(F.count(F.lit(1)).alias("k"),
+                        F.coalesce(F.sum(F.size("ext")), F.lit(0)).alias("e")).first()
+        if stats["k"] == 0:
             break
         levels.append(lvl.select("closure", "support", "level"))
         seen = lvl.select("closure") if seen is None else seen.unionByName(lvl.select("closure"))
@@ -70,11 +73,10 @@ def closed_levels(enc: Encoded, min_count: int, allowed_codes: DataFrame | None
         if allowed is not None:
             ext = ext.join(maybe_broadcast(allowed.withColumnRenamed("code", "e"), n_allowed),
                            "e", "left_semi")
-        nxt = (ext
-                  .select(F.array_sort(F.array_union("closure", F.array("e"))).alias("cand"))
-                  .distinct())
-        cands = cut(nxt)
-        n_c = cands.count()
+        # next candidates stay lazy: their row count is bounded by the number
+        # of extensions, which decides the broadcast and ends the loop
+        cands = ext.select(F.array_sort(F.array_union("closure", F.array("e"))).alias("cand")).distinct()
+        n_c = stats["e"]
         lvl_no += 1
     if not levels:
         return enc.baskets.sparkSession.createDataFrame(
@@ -89,11 +91,10 @@ def closed_itemsets(baskets: DataFrame, min_count: int | None = None,
                     min_ratio: float | None = None, strategy: str = "auto",
                     with_level: bool = False, n: int | None = None) -> DataFrame:
     """M1: frequent closed itemsets ``(items, support)`` by closure jumps."""
-    if n is None:
-        n = baskets.count()
-    mc = resolve_min_count(n, min_count, min_ratio)
-    enc = encode(baskets, mc, order="support", n=n)
-    res = closed_levels(enc, mc, strategy=strategy)
+    if (min_count is None) == (min_ratio is None):
+        raise ValueError("give exactly one of min_count / min_ratio")
+    enc = encode(baskets, min_count, order="support", n=n, min_ratio=min_ratio)
+    res = closed_levels(enc, enc.min_count, strategy=strategy)
     out = decode(res, enc.codes, enc.n_codes, "closure", "items")
     cols = ["items", "support"] + (["level"] if with_level else [])
     return out.select(*cols)
@@ -105,11 +106,10 @@ def closed_itemsets_naive(baskets: DataFrame, min_count: int | None = None,
     """M3: every frequent itemset (level-wise Apriori counting), then the
     closure of each by co-count; the distinct closures are the answer."""
     from basketry.plans.frequent import apriori_codes
-    if n is None:
-        n = baskets.count()
-    mc = resolve_min_count(n, min_count, min_ratio)
-    enc = encode(baskets, mc, order="item", n=n)
-    freq = apriori_codes(enc, mc, strategy=strategy, frequent_only=True)
+    if (min_count is None) == (min_ratio is None):
+        raise ValueError("give exactly one of min_count / min_ratio")
+    enc = encode(baskets, min_count, order="item", n=n, min_ratio=min_ratio)
+    freq = apriori_codes(enc, enc.min_count, strategy=strategy, frequent_only=True)
     freq = cut(freq.select("cand"))
     n_f = freq.count()
     cl = closure_codes(enc, freq, n_f, strategy=strategy)

@@ -8,6 +8,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +27,25 @@ def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
     FP-growth keeps itemsets with count >= ceil(minSupport * n); passing
     ``(min_count - 0.5) / n`` lands exactly on ``min_count`` with no float edge.
     """
-    if n is None:
-        n = baskets.count()
-    mc = resolve_min_count(n, min_count, min_ratio)
-    if mc > n:  # nothing can be frequent (and FP-growth rejects minSupport > 1)
-        return baskets.select(F.col("items"), F.lit(0).cast("long").alias("support"),
-                              F.lit(0).alias("size")).where(F.lit(False))
-    fp = FPGrowth(itemsCol="items", minSupport=(mc - 0.5) / max(n, 1), minConfidence=0.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(int(num_partitions))
-    model = fp.fit(baskets.select("items"))
-    return model.freqItemsets.select(F.array_sort("items").alias("items"),
-                                     F.col("freq").alias("support"),
-                                     F.size("items").alias("size"))
+    items = baskets.select("items").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if n is None:
+            n = items.count()
+        mc = resolve_min_count(n, min_count, min_ratio)
+        if mc > n:  # nothing can be frequent (and FP-growth rejects minSupport > 1)
+            return baskets.select(F.col("items"), F.lit(0).cast("long").alias("support"),
+                                  F.lit(0).alias("size")).where(F.lit(False))
+        fp = FPGrowth(itemsCol="items", minSupport=(mc - 0.5) / max(n, 1), minConfidence=0.0)
+        if num_partitions:
+            fp = fp.setNumPartitions(int(num_partitions))
+        model = fp.fit(items)
+        # the model's itemsets are a lazy RDD that re-mines on every action:
+        # materialise them once in the shared checkpoint folder
+        return cut(model.freqItemsets.select(F.array_sort("items").alias("items"),
+                                             F.col("freq").alias("support"),
+                                             F.size("items").alias("size")))
+    finally:
+        items.unpersist()
 
 
 def apriori_codes(enc: Encoded, min_count: int, strategy: str = "auto",
@@ -90,17 +97,13 @@ def frequent_itemsets_apriori(baskets: DataFrame, min_ratio: float = 0.5,
     """M6: the Apriori support table
     ``(items, level, support, rel_support, is_frequent)``: every counted
     candidate (support >= 1), infrequent ones included; level 1 is every item."""
-    if n is None:
-        n = baskets.count()
-    if min_count is None:
-        mc = resolve_min_count(n, None, min_ratio)
-    else:
-        mc = int(min_count)
-    enc = encode(baskets, mc, order="item", n=n)
+    enc = encode(baskets, min_count, order="item", n=None,
+                 min_ratio=None if min_count is not None else min_ratio)
+    n, mc = enc.n, enc.min_count
     res = apriori_codes(enc, mc, strategy=strategy)
     res = decode(res.where(F.col("level") >= 2), enc.codes, enc.n_codes, "cand", "items")
-    singles = item_support(baskets).select(F.array("item").alias("items"), F.lit(1).alias("level"),
-                                          "support")
+    singles = enc.supports.select(F.array("item").alias("items"), F.lit(1).alias("level"),
+                                  "support")
     res = singles.unionByName(res.select("items", "level", "support"))
     return res.select("items", "level", "support",
                       (F.col("support") / F.lit(float(n))).alias("rel_support"),
