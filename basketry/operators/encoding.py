@@ -48,15 +48,25 @@ def distinct_items(baskets: DataFrame) -> DataFrame:
     return baskets.select(F.explode("items").alias("item")).distinct()
 
 
-def item_codes(supports: DataFrame, order: str = "support") -> DataFrame:
-    """Dense 0-based codes for an item table ``(item, support)``.
+# Up to this many items the codes come from one unpartitioned window
+# (dense 0..F-1); above it from a distributed global sort.
+WINDOW_CODES_MAX = 2_000_000
+
+
+def item_codes(supports: DataFrame, order: str = "support", n_items: int | None = None) -> DataFrame:
+    """Codes for an item table ``(item, support)``, increasing in rank order.
 
     ``order='support'`` ranks rarest first, so the first code of a sorted
     itemset is its rarest item; ``order='item'`` keeps the natural order (used
-    where the candidate set depends on it, Apriori). The window has no
-    partition key: it runs over the bounded item table only, never baskets.
+    where the candidate set depends on it, Apriori). For a bounded table the
+    codes are dense ints from a window without partition key (it runs over
+    the item table only, never baskets); a larger table is range-sorted across
+    the cluster and numbered with increasing (not dense) long ids.
     """
     keys = [F.col("support"), F.col("item")] if order == "support" else [F.col("item")]
+    if n_items is not None and n_items > WINDOW_CODES_MAX:
+        return (supports.orderBy(*keys)
+                        .select("item", "support", F.monotonically_increasing_id().alias("code")))
     w = Window.orderBy(*keys)
     return supports.select("item", "support", (F.row_number().over(w) - 1).cast("int").alias("code"))
 
@@ -125,8 +135,8 @@ def encode(baskets: DataFrame, min_count: int | None = None, order: str = "suppo
         sup = sup_all.where(F.col("support") >= F.lit(mc))
     else:
         mc = int(min_count)
-        sup = item_support(baskets, mc)
-    codes = cut(item_codes(sup, order))
+        sup = cut(item_support(baskets, mc))
+    codes = cut(item_codes(sup, order, sup.count()))
     n_codes = codes.count()
     enc = cut(encode_baskets(baskets, codes, n_codes))
     return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc, supports=sup_all)
