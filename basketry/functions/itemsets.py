@@ -20,7 +20,7 @@ def _c(col) -> Column:
 
 def canonical(col) -> Column:
     """canonical form of an itemset (distinct, sorted)."""
-    return F.array_sort(F.array_distinct(_c(col)))
+    return F.sort_array(F.array_distinct(_c(col)))
 
 
 def itemset_key(col, sep: str = "|") -> Column:
@@ -28,6 +28,19 @@ def itemset_key(col, sep: str = "|") -> Column:
     return F.array_join(F.transform(_c(col), lambda x: x.cast("string")), sep)
 
 
+def explode_items(df, col: str = "items", alias: str = "item", *keep):
+    """One row per element of ``col`` (plus the ``keep`` columns).
+
+    ``explode`` makes Catalyst infer ``size(col) > 0`` and push it below
+    projections and repartitions, which evaluates an expensive basket
+    expression (split, lower, distinct, sort) a second time in the scan
+    stage. ``explode_outer`` + a null filter on the generated column keeps
+    the same rows (items are never null) without that duplicate work.
+    """
+    return (df.select(*keep, F.explode_outer(col).alias(alias))
+              .where(F.col(alias).isNotNull()))
+
+
 def contains_all(container, subset) -> Column:
     """``subset`` is contained in ``container`` (both arrays)."""
     return F.size(F.array_except(_c(subset), _c(container))) == 0

@@ -32,7 +32,7 @@ def expand_level(level: DataFrame, common: DataFrame, drop_seen: bool = False) -
     vals = [r[0] for r in common.select("item").distinct().collect()]
     arr = F.array(*[F.lit(v) for v in sorted(vals)])
     out = (level.select("items", F.explode(F.array_except(arr, F.col("items"))).alias("e"))
-                .select(F.array_sort(F.array_union("items", F.array("e"))).alias("items"))
+                .select(F.sort_array(F.array_union("items", F.array("e"))).alias("items"))
                 .distinct())
     if drop_seen:
         out = out.join(level.select("items"), "items", "left_anti")

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.itemsets import explode_items
 from basketry.session import cut
 
 # Largest row count of a side we broadcast; above it the join shuffles.
@@ -36,8 +37,8 @@ def item_support(baskets: DataFrame, min_count: int | None = None) -> DataFrame:
     explode + groupBy: partial aggregation before the shuffle, so a hot item
     costs one row per task on the wire.
     """
-    out = (baskets.select(F.explode("items").alias("item"))
-                  .groupBy("item").agg(F.count(F.lit(1)).alias("support")))
+    out = (explode_items(baskets)
+           .groupBy("item").agg(F.count(F.lit(1)).alias("support")))
     if min_count is not None:
         out = out.where(F.col("support") >= F.lit(int(min_count)))
     return out
@@ -45,7 +46,7 @@ def item_support(baskets: DataFrame, min_count: int | None = None) -> DataFrame:
 
 def distinct_items(baskets: DataFrame) -> DataFrame:
     """A2: the item universe (sort it with ``orderBy('item')`` if needed)."""
-    return baskets.select(F.explode("items").alias("item")).distinct()
+    return explode_items(baskets).distinct()
 
 
 # Up to this many items the codes come from one unpartitioned window
@@ -98,13 +99,13 @@ def encode_baskets(baskets: DataFrame, codes: DataFrame, n_codes: int,
         # bounded (checked) dictionary: look codes up in place, no regroup
         pairs = codes.select("item", "code").collect()
         lookup = F.create_map(*[x for r in pairs for x in (F.lit(r["item"]), F.lit(r["code"]))])
-        coded = F.array_sort(F.filter(F.transform("items", lambda x: F.try_element_at(lookup, x)),
+        coded = F.sort_array(F.filter(F.transform("items", lambda x: F.try_element_at(lookup, x)),
                                       lambda c: c.isNotNull()))
         b = baskets.select("basket_id", coded.alias("codes")).where(F.size("codes") > 0)
     else:
-        x = baskets.select("basket_id", F.explode("items").alias("item"))
+        x = explode_items(baskets, "items", "item", "basket_id")
         j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "item")
-        b = j.groupBy("basket_id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+        b = j.groupBy("basket_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     if keep_id:
         return b.withColumn("weight", F.lit(1).cast("long"))
     return b.groupBy("codes").agg(F.count(F.lit(1)).alias("weight"))
@@ -116,7 +117,9 @@ def supports_and_count(baskets: DataFrame) -> tuple[DataFrame, int]:
     (all items) and n."""
     t = baskets.schema["items"].dataType.elementType
     marked = F.concat(F.array(F.lit(None).cast(t)), F.col("items"))
-    sup = cut(baskets.select(F.explode(marked).alias("item"))
+    # explode_outer: no inferred size filter pushed into the scan (see
+    # functions.itemsets.explode_items); the marker keeps every array non-empty
+    sup = cut(baskets.select(F.explode_outer(marked).alias("item"))
                      .groupBy("item").agg(F.count(F.lit(1)).alias("support")))
     row = sup.where(F.col("item").isNull()).select("support").first()
     return sup.where(F.col("item").isNotNull()), (row[0] if row else 0)
@@ -149,7 +152,7 @@ def encode_itemsets(itemsets: DataFrame, codes: DataFrame, n_codes: int,
     d = itemsets.select(col).distinct()
     x = d.select(col, F.explode(col).alias("item"))
     j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "item")
-    g = j.groupBy(col).agg(F.array_sort(F.collect_list("code")).alias("cand"))
+    g = j.groupBy(col).agg(F.sort_array(F.collect_list("code")).alias("cand"))
     return g.where(F.size("cand") == F.size(col))
 
 
@@ -160,5 +163,5 @@ def decode(df: DataFrame, codes: DataFrame, n_codes: int, col: str = "cand",
     d = df.withColumnRenamed(col, key)
     x = d.select(key).distinct().select(key, F.explode(key).alias("code"))
     j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "code")
-    m = j.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias(out))
+    m = j.groupBy(key).agg(F.sort_array(F.collect_list("item")).alias(out))
     return d.join(m, key).drop(key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import contains_all, min_count_for
+from basketry.functions.itemsets import explode_items as _explode
 from basketry.operators.encoding import maybe_broadcast
 
 
@@ -43,7 +44,7 @@ def only_common(itemsets: DataFrame, common: DataFrame) -> DataFrame:
 
 def explode_items(baskets: DataFrame) -> DataFrame:
     """one row per (basket, item)."""
-    return baskets.select("basket_id", F.explode("items").alias("item"))
+    return _explode(baskets, "items", "item", "basket_id")
 
 
 def scale_support(itemsets: DataFrame, factor: float, cap: int, col: str = "support") -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.itemsets import contains_all
+from basketry.functions.itemsets import contains_all, explode_items
 from basketry.operators.encoding import (BROADCAST_ROWS, Encoded, decode, encode,
                                          encode_baskets, encode_itemsets, item_codes,
                                          item_support, maybe_broadcast)
@@ -74,7 +74,7 @@ def closure_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
                                  F.collect_list(F.struct("code", "cc")).alias("co"))
     sup = F.col("support")
     cols = [F.col("cand"), sup,
-            F.array_sort(F.transform(F.filter("co", lambda s: s["cc"] == sup),
+            F.sort_array(F.transform(F.filter("co", lambda s: s["cc"] == sup),
                                      lambda s: s["code"])).alias("closure")]
     if ext_min is not None:
         cols.append(F.transform(F.filter("co", lambda s: (s["cc"] < sup) & (s["cc"] >= F.lit(ext_min))),
@@ -90,8 +90,7 @@ def _candidate_codes(baskets: DataFrame, candidates: DataFrame, col: str = "item
     """Codes for the items named by candidates, ranked by their support."""
     citems = candidates.select(F.explode(col).alias("item")).distinct()
     n_citems = citems.count()
-    x = baskets.select(F.explode("items").alias("item"))
-    x = x.join(maybe_broadcast(citems, n_citems), "item", "left_semi")
+    x = explode_items(baskets).join(maybe_broadcast(citems, n_citems), "item", "left_semi")
     sup = x.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
     codes = cut(item_codes(sup))
     return codes, codes.count()
@@ -154,7 +153,7 @@ def dataset_closure(baskets: DataFrame) -> DataFrame:
     """A5: the items present in every basket, one row ``(closure)``."""
     n = baskets.count()
     common = item_support(baskets, n).select("item")
-    return common.agg(F.array_sort(F.collect_list("item")).alias("closure"))
+    return common.agg(F.sort_array(F.collect_list("item")).alias("closure"))
 
 
 def grouped_closure(baskets: DataFrame, group_col: str = "grp", max_group=None,
@@ -166,12 +165,12 @@ def grouped_closure(baskets: DataFrame, group_col: str = "grp", max_group=None,
     keeps a hot group at one row per task and item.
     """
     sizes = baskets.groupBy(group_col).agg(F.count(F.lit(1)).alias("n_baskets"))
-    x = baskets.select(group_col, F.explode("items").alias("item"))
+    x = explode_items(baskets, "items", "item", group_col)
     if within is not None:
         x = x.where(F.col("item").isin(list(within)))
     co = x.groupBy(group_col, "item").agg(F.count(F.lit(1)).alias("cc"))
     full = co.join(sizes, group_col).where(F.col("cc") == F.col("n_baskets"))
-    inter = full.groupBy(group_col).agg(F.array_sort(F.collect_list("item")).alias("closure"))
+    inter = full.groupBy(group_col).agg(F.sort_array(F.collect_list("item")).alias("closure"))
     out = sizes.join(inter, group_col, "left").select(
         group_col, F.coalesce("closure", F.array().cast(inter.schema["closure"].dataType)).alias("closure"))
     if max_group is not None:
@@ -185,7 +184,6 @@ def frequent_among(baskets: DataFrame, items: DataFrame, threshold) -> DataFrame
     strictly greater than ``threshold``."""
     listed = items.select("item").distinct()
     n_l = listed.count()
-    x = baskets.select(F.explode("items").alias("item"))
-    x = x.join(maybe_broadcast(listed, n_l), "item", "left_semi")
+    x = explode_items(baskets).join(maybe_broadcast(listed, n_l), "item", "left_semi")
     return (x.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
              .where(F.col("support") > F.lit(threshold)))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.itemsets import in_sample
+from basketry.functions.itemsets import explode_items, in_sample
 from basketry.operators.encoding import encode, decode, maybe_broadcast
 from basketry.operators.sampling import ALPHA_IN_USE, sample_fraction
 from basketry.operators.support import itemset_support
@@ -25,7 +25,7 @@ def per_sample_item_counts(baskets: DataFrame, fraction: float,
     tags = F.filter(F.array(*[F.when(in_sample(s, F.col("basket_id"), fraction), F.lit(i))
                               for i, s in enumerate(seeds)]), lambda x: x.isNotNull())
     x = baskets.select(F.explode(tags).alias("sample"), "items")
-    x = x.select("sample", F.explode("items").alias("item"))
+    x = explode_items(x, "items", "item", "sample")
     return x.groupBy("sample", "item").agg(F.count(F.lit(1)).alias("support"))
 
 

@@ -75,7 +75,7 @@ def closed_levels(enc: Encoded, min_count: int, allowed_codes: DataFrame | None
                            "e", "left_semi")
         # next candidates stay lazy: their row count is bounded by the number
         # of extensions, which decides the broadcast and ends the loop
-        cands = ext.select(F.array_sort(F.array_union("closure", F.array("e"))).alias("cand")).distinct()
+        cands = ext.select(F.sort_array(F.array_union("closure", F.array("e"))).alias("cand")).distinct()
         n_c = stats["e"]
         lvl_no += 1
     if not levels:

@@ -41,7 +41,7 @@ def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
         model = fp.fit(items)
         # the model's itemsets are a lazy RDD that re-mines on every action:
         # materialise them once in the shared checkpoint folder
-        return cut(model.freqItemsets.select(F.array_sort("items").alias("items"),
+        return cut(model.freqItemsets.select(F.sort_array("items").alias("items"),
                                              F.col("freq").alias("support"),
                                              F.size("items").alias("size")))
     finally:

@@ -91,7 +91,7 @@ def baskets_from_rows(df: DataFrame, key_cols: str | Sequence[str], item_col: st
     key = F.col(keys[0]) if len(keys) == 1 else F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
     return (df.where(F.col(item_col).isNotNull())
               .groupBy(key.alias("basket_id"))
-              .agg(F.array_sort(F.collect_set(item_col)).alias("items")))
+              .agg(F.sort_array(F.collect_set(item_col)).alias("items")))
 
 
 def attribute_baskets(df: DataFrame, id_col, attrs: dict[str, str]) -> DataFrame:
@@ -103,7 +103,7 @@ def attribute_baskets(df: DataFrame, id_col, attrs: dict[str, str]) -> DataFrame
                       for p, c in attrs.items()])
     idc = F.col(id_col) if isinstance(id_col, str) else id_col
     return df.select(idc.alias("basket_id"),
-                     F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("items"))
+                     F.sort_array(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("items"))
 
 
 def write_baskets(baskets: DataFrame, path: str, sep: str = " ", mode: str = "overwrite") -> None:
