@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import explode_items
-from basketry.session import cut
+from basketry.session import cut, persisted
 
 # Largest row count of a side we broadcast; above it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -94,18 +94,30 @@ def encode_baskets(baskets: DataFrame, codes: DataFrame, n_codes: int,
 
     With ``keep_id=False`` identical code arrays are folded into one row with
     a weight (partial aggregation folds a hot duplicate basket map-side).
+
+    Small code tables (checked count): a native hash ``array_intersect`` with
+    the coded items restricts each basket inside the scan, identical
+    restricted baskets fold first, and only then are the few distinct ones
+    mapped to codes (the lookup lambda has no codegen, so it must not sit on
+    top of the basket expression). Large tables: explode, broadcast join,
+    regroup by basket id.
     """
     if n_codes <= MAP_LOOKUP_MAX:
-        # bounded (checked) dictionary: look codes up in place, no regroup
         pairs = codes.select("item", "code").collect()
+        keys = F.array(*[F.lit(r["item"]) for r in pairs])
         lookup = F.create_map(*[x for r in pairs for x in (F.lit(r["item"]), F.lit(r["code"]))])
-        coded = F.sort_array(F.filter(F.transform("items", lambda x: F.try_element_at(lookup, x)),
-                                      lambda c: c.isNotNull()))
-        b = baskets.select("basket_id", coded.alias("codes")).where(F.size("codes") > 0)
-    else:
-        x = explode_items(baskets, "items", "item", "basket_id")
-        j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "item")
-        b = j.groupBy("basket_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+        kept = F.array_intersect("items", keys)
+        if keep_id:
+            b = (baskets.select("basket_id", kept.alias("kept")).where(F.size("kept") > 0)
+                        .withColumn("weight", F.lit(1).cast("long")))
+        else:
+            b = (baskets.select(kept.alias("kept")).where(F.size("kept") > 0)
+                        .groupBy("kept").agg(F.count(F.lit(1)).alias("weight")))
+        coded = F.sort_array(F.transform("kept", lambda x: F.element_at(lookup, x)))
+        return b.withColumn("codes", coded).drop("kept")
+    x = explode_items(baskets, "items", "item", "basket_id")
+    j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "item")
+    b = j.groupBy("basket_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
     if keep_id:
         return b.withColumn("weight", F.lit(1).cast("long"))
     return b.groupBy("codes").agg(F.count(F.lit(1)).alias("weight"))
@@ -128,20 +140,21 @@ def supports_and_count(baskets: DataFrame) -> tuple[DataFrame, int]:
 def encode(baskets: DataFrame, min_count: int | None = None, order: str = "support",
            n: int | None = None, min_ratio: float | None = None) -> Encoded:
     """Count items (and n, in the same pass), code the frequent ones, encode
-    and checkpoint the baskets: two passes over the input in all."""
+    and checkpoint the baskets. The input is persisted for the two passes."""
     from basketry.functions.itemsets import min_count_for
-    sup_all = None
-    if n is None or min_count is None:
-        sup_all, n_seen = supports_and_count(baskets)
-        n = n if n is not None else n_seen
-        mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
-        sup = sup_all.where(F.col("support") >= F.lit(mc))
-    else:
-        mc = int(min_count)
-        sup = cut(item_support(baskets, mc))
-    codes = cut(item_codes(sup, order, sup.count()))
-    n_codes = codes.count()
-    enc = cut(encode_baskets(baskets, codes, n_codes))
+    with persisted(baskets) as b:
+        sup_all = None
+        if n is None or min_count is None:
+            sup_all, n_seen = supports_and_count(b)
+            n = n if n is not None else n_seen
+            mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
+            sup = sup_all.where(F.col("support") >= F.lit(mc))
+        else:
+            mc = int(min_count)
+            sup = cut(item_support(b, mc))
+        codes = cut(item_codes(sup, order, sup.count()))
+        n_codes = codes.count()
+        enc = cut(encode_baskets(b, codes, n_codes))
     return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc, supports=sup_all)
 
 

@@ -27,7 +27,7 @@ from basketry.functions.itemsets import contains_all, explode_items
 from basketry.operators.encoding import (BROADCAST_ROWS, Encoded, decode, encode,
                                          encode_baskets, encode_itemsets, item_codes,
                                          item_support, maybe_broadcast)
-from basketry.session import cut
+from basketry.session import cut, persisted
 
 
 def _choose(strategy: str, cand_rows: int, limit: int) -> str:
@@ -116,8 +116,9 @@ def itemset_support(baskets: DataFrame, candidates: DataFrame, n: int | None = N
     With ``n`` also ``rel_support = support / n``; with ``min_count`` also
     ``is_frequent``.
     """
-    codes, n_codes = _candidate_codes(baskets, candidates, col)
-    enc = Encoded(codes, n_codes, encode_baskets(baskets, codes, n_codes), n or -1)
+    with persisted(baskets) as b:
+        codes, n_codes = _candidate_codes(b, candidates, col)
+        enc = Encoded(codes, n_codes, cut(encode_baskets(b, codes, n_codes)), n or -1)
     cands = cut(encode_itemsets(candidates, codes, n_codes, col))
     n_c = cands.count()
     sup = support_codes(enc, cands, n_c, strategy)

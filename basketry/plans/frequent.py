@@ -16,7 +16,7 @@ from basketry.functions.itemsets import md5_unit
 from basketry.operators.encoding import Encoded, decode, encode, item_support, maybe_broadcast
 from basketry.operators.support import itemset_support, match_codes
 from basketry.plans.closed import resolve_min_count
-from basketry.session import cut
+from basketry.session import cut, persisted
 
 
 def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
@@ -189,12 +189,13 @@ def frequent_itemsets_son(baskets: DataFrame, min_ratio: float, chunks: int | No
     locally frequent in some chunk; pass 2 counts the union of local results
     exactly on all baskets.
     """
-    if n is None:
-        n = baskets.count()
-    mc = resolve_min_count(n, None, min_ratio)
-    if chunks is None:
-        chunks = max(1, int(math.ceil(n / chunk_rows)))
-    local = local_supports(baskets, min_ratio, chunks)
-    cands = cut(max_local_support(local, min_ratio).select("items"))
-    sup = itemset_support(baskets, cands, strategy=strategy)
+    with persisted(baskets) as b:
+        if n is None:
+            n = b.count()
+        mc = resolve_min_count(n, None, min_ratio)
+        if chunks is None:
+            chunks = max(1, int(math.ceil(n / chunk_rows)))
+        local = local_supports(b, min_ratio, chunks)
+        cands = cut(max_local_support(local, min_ratio).select("items"))
+        sup = cut(itemset_support(b, cands, strategy=strategy))
     return sup.where(F.col("support") >= F.lit(mc)).select("items", "support")

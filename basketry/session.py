@@ -6,7 +6,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,3 +64,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def persisted(df: DataFrame):
+    """Keep ``df`` (an input read several times) in memory/disk for a block.
+
+    Multi-pass operators read their baskets once per pass; persisting builds
+    them once. A lost block is rebuilt from lineage. A DataFrame the caller
+    already persisted is used as is and left persisted.
+    """
+    if df.storageLevel != StorageLevel(False, False, False, False, 1):
+        yield df
+        return
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield p
+    finally:
+        p.unpersist()
