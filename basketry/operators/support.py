@@ -43,15 +43,27 @@ def match_codes(enc_baskets: DataFrame, cands: DataFrame, cand_rows: int,
     """Pairs (candidate, basket) with the candidate contained in the basket.
 
     ``enc_baskets`` has ``codes`` (+ any other columns, e.g. ``weight``);
-    ``cands`` has ``cand`` (sorted codes, rarest first) + any other columns.
+    ``cands`` has ``cand`` (sorted codes) and optionally ``anchor`` (its
+    rarest code); without it the first code is the anchor (codes ranked
+    rarest first).
     """
     how = _choose(strategy, cand_rows, limit)
-    c = cands.withColumn("anchor", F.element_at("cand", 1))
+    c = cands if "anchor" in cands.columns else cands.withColumn("anchor", F.element_at("cand", 1))
     c = F.broadcast(c) if how == "broadcast" else c.hint("shuffle_hash")
     probe = enc_baskets.select("*", F.explode("codes").alias("anchor"))
     return probe.join(c, "anchor").where(contains_all("codes", "cand")).drop("anchor")
 
 
+def with_anchor(cands: DataFrame, enc_baskets: DataFrame) -> DataFrame:
+    """Add each candidate's rarest code as ``anchor``, from the code supports
+    of the (folded, small) encoded baskets."""
+    sup = (enc_baskets.select(F.explode("codes").alias("code"), "weight")
+                      .groupBy("code").agg(F.sum("weight").alias("s")))
+    x = cands.select("cand", F.explode("cand").alias("code")).join(sup, "code")
+    a = x.groupBy("cand").agg(F.min_by("code", F.struct("s", "code")).alias("anchor"))
+    return cands.join(a, "cand")
+
+
 def support_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
                   strategy: str = "auto") -> DataFrame:
     """(cand, support) for coded candidates; zero-support ones are absent."""
@@ -86,13 +98,11 @@ def closure_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
 # Public operators on raw baskets / itemsets
 # --------------------------------------------------------------------------
 
-def _candidate_codes(baskets: DataFrame, candidates: DataFrame, col: str = "items"):
-    """Codes for the items named by candidates, ranked by their support."""
+def _candidate_codes(candidates: DataFrame, col: str = "items"):
+    """Codes (natural order) for the items named by the candidates; no pass
+    over the baskets is needed."""
     citems = candidates.select(F.explode(col).alias("item")).distinct()
-    n_citems = citems.count()
-    x = explode_items(baskets).join(maybe_broadcast(citems, n_citems), "item", "left_semi")
-    sup = x.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
-    codes = cut(item_codes(sup))
+    codes = cut(item_codes(citems.withColumn("support", F.lit(0).cast("long")), order="item"))
     return codes, codes.count()
 
 
@@ -100,11 +110,11 @@ def match_candidates(baskets: DataFrame, candidates: DataFrame, strategy: str =
                      col: str = "items") -> DataFrame:
     """Pairs ``(items, basket_id)`` with the candidate contained in the
     basket. ``strategy='broadcast'`` (J1) or ``'index'`` (J2) give the same rows."""
-    codes, n_codes = _candidate_codes(baskets, candidates, col)
-    enc_b = encode_baskets(baskets, codes, n_codes, keep_id=True)
-    cands = encode_itemsets(candidates, codes, n_codes, col)
+    codes, n_codes = _candidate_codes(candidates, col)
+    enc_b = cut(encode_baskets(baskets, codes, n_codes, keep_id=True))
+    cands = cut(with_anchor(encode_itemsets(candidates, codes, n_codes, col), enc_b))
     n_c = cands.count()
-    pairs = match_codes(enc_b, cands.select("cand", col), n_c, strategy)
+    pairs = match_codes(enc_b, cands.select("cand", "anchor", col), n_c, strategy)
     return pairs.select(col, "basket_id")
 
 
@@ -113,15 +123,16 @@ def itemset_support(baskets: DataFrame, candidates: DataFrame, n: int | None = N
                     col: str = "items") -> DataFrame:
     """A3: support of each candidate (zero-support candidates are absent).
 
-    With ``n`` also ``rel_support = support / n``; with ``min_count`` also
-    ``is_frequent``.
+    One pass over the baskets: they are restricted to the candidate items and
+    folded; anchors come from the folded baskets. With ``n`` also
+    ``rel_support = support / n``; with ``min_count`` also ``is_frequent``.
     """
-    with persisted(baskets) as b:
-        codes, n_codes = _candidate_codes(b, candidates, col)
-        enc = Encoded(codes, n_codes, cut(encode_baskets(b, codes, n_codes)), n or -1)
-    cands = cut(encode_itemsets(candidates, codes, n_codes, col))
+    codes, n_codes = _candidate_codes(candidates, col)
+    enc = Encoded(codes, n_codes, cut(encode_baskets(baskets, codes, n_codes)), n or -1)
+    cands = cut(with_anchor(encode_itemsets(candidates, codes, n_codes, col), enc.baskets))
     n_c = cands.count()
-    sup = support_codes(enc, cands, n_c, strategy)
+    pairs = match_codes(enc.baskets, cands.select("cand", "anchor"), n_c, strategy)
+    sup = pairs.groupBy("cand").agg(F.sum("weight").alias("support"))
     out = cands.join(sup, "cand").select(col, "support")
     if n is not None:
         out = out.withColumn("rel_support", F.col("support") / F.lit(float(n)))
