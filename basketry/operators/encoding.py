@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from basketry.functions.itemsets import explode_items
 from basketry.session import cut, persisted
@@ -80,7 +81,6 @@ class Encoded:
     baskets: DataFrame    # codes array<int>, weight long
     n: int                # number of input baskets (including empty ones)
     min_count: int = 0
-    supports: DataFrame | None = None   # item, support for every item (when counted)
 
 
 # Up to this many codes the item -> code lookup is a literal map evaluated
@@ -123,39 +123,42 @@ def encode_baskets(baskets: DataFrame, codes: DataFrame, n_codes: int,
     return b.groupBy("codes").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def supports_and_count(baskets: DataFrame) -> tuple[DataFrame, int]:
-    """A1 plus the basket count in one pass: every basket adds one null
-    marker item, whose count is n. Returns the checkpointed support table
-    (all items) and n."""
-    t = baskets.schema["items"].dataType.elementType
-    marked = F.concat(F.array(F.lit(None).cast(t)), F.col("items"))
-    # explode_outer: no inferred size filter pushed into the scan (see
-    # functions.itemsets.explode_items); the marker keeps every array non-empty
-    sup = cut(baskets.select(F.explode_outer(marked).alias("item"))
-                     .groupBy("item").agg(F.count(F.lit(1)).alias("support")))
-    row = sup.where(F.col("item").isNull()).select("support").first()
-    return sup.where(F.col("item").isNotNull()), (row[0] if row else 0)
+def _small_codes(sup: DataFrame, order: str):
+    """Codes for a frequent-item table of at most ``MAP_LOOKUP_MAX`` rows,
+    numbered on the driver from one bounded collect (no window job). Returns
+    (None, 0) when the table is larger."""
+    top = sup.select("item", "support").limit(MAP_LOOKUP_MAX + 1).collect()
+    if len(top) > MAP_LOOKUP_MAX:
+        return None, 0
+    # UTF-8 byte order equals code-point order, so Python's sort agrees with Spark's
+    key = (lambda r: (r["support"], r["item"])) if order == "support" else (lambda r: r["item"])
+    rows = [(r["item"], int(r["support"]), i) for i, r in enumerate(sorted(top, key=key))]
+    schema = StructType([StructField("item", sup.schema["item"].dataType),
+                         StructField("support", LongType()), StructField("code", IntegerType())])
+    return sup.sparkSession.createDataFrame(rows, schema), len(rows)
 
 
 def encode(baskets: DataFrame, min_count: int | None = None, order: str = "support",
            n: int | None = None, min_ratio: float | None = None) -> Encoded:
-    """Count items (and n, in the same pass), code the frequent ones, encode
-    and checkpoint the baskets. The input is persisted for the two passes."""
+    """Count, code the frequent items, encode and checkpoint the baskets.
+
+    The input is persisted for its passes (basket count, item count,
+    encoding), so an expensive basket expression (text splitting, joins) is
+    evaluated once. Only the frequent items leave the aggregation.
+    """
     from basketry.functions.itemsets import min_count_for
     with persisted(baskets) as b:
-        sup_all = None
-        if n is None or min_count is None:
-            sup_all, n_seen = supports_and_count(b)
-            n = n if n is not None else n_seen
-            mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
-            sup = sup_all.where(F.col("support") >= F.lit(mc))
-        else:
-            mc = int(min_count)
-            sup = cut(item_support(b, mc))
-        codes = cut(item_codes(sup, order, sup.count()))
-        n_codes = codes.count()
+        if n is None:
+            n = b.count()
+        mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
+        sup = item_support(b, mc)
+        codes, n_codes = _small_codes(sup, order)
+        if codes is None:
+            sup = cut(sup)
+            codes = cut(item_codes(sup, order, sup.count()))
+            n_codes = codes.count()
         enc = cut(encode_baskets(b, codes, n_codes))
-    return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc, supports=sup_all)
+    return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc)
 
 
 def encode_itemsets(itemsets: DataFrame, codes: DataFrame, n_codes: int,

@@ -97,13 +97,14 @@ def frequent_itemsets_apriori(baskets: DataFrame, min_ratio: float = 0.5,
     """M6: the Apriori support table
     ``(items, level, support, rel_support, is_frequent)``: every counted
     candidate (support >= 1), infrequent ones included; level 1 is every item."""
-    enc = encode(baskets, min_count, order="item", n=None,
-                 min_ratio=None if min_count is not None else min_ratio)
+    with persisted(baskets) as b:
+        enc = encode(b, min_count, order="item", n=n,
+                     min_ratio=None if min_count is not None else min_ratio)
+        singles = cut(item_support(b).select(F.array("item").alias("items"),
+                                             F.lit(1).alias("level"), "support"))
     n, mc = enc.n, enc.min_count
     res = apriori_codes(enc, mc, strategy=strategy)
     res = decode(res.where(F.col("level") >= 2), enc.codes, enc.n_codes, "cand", "items")
-    singles = enc.supports.select(F.array("item").alias("items"), F.lit(1).alias("level"),
-                                  "support")
     res = singles.unionByName(res.select("items", "level", "support"))
     return res.select("items", "level", "support",
                       (F.col("support") / F.lit(float(n))).alias("rel_support"),
