@@ -148,12 +148,12 @@ def itemset_closure(baskets: DataFrame, candidates: DataFrame, strategy: str = "
     Every item of closure(X) has support >= support(X), so the baskets are
     restricted to items at least as frequent as the rarest candidate support.
     """
-    sup = itemset_support(baskets, candidates, strategy=strategy, col=col)
-    sup = cut(sup)
-    low = sup.agg(F.min("support")).first()[0]
-    if low is None:
-        return sup.select(col, "support", F.col(col).alias("closure")).limit(0)
-    enc = encode(baskets, int(low), order="support")
+    with persisted(baskets) as b:
+        sup = cut(itemset_support(b, candidates, strategy=strategy, col=col))
+        low = sup.agg(F.min("support")).first()[0]
+        if low is None:
+            return sup.select(col, "support", F.col(col).alias("closure")).limit(0)
+        enc = encode(b, int(low), order="support")
     cands = cut(encode_itemsets(sup, enc.codes, enc.n_codes, col))
     n_c = cands.count()
     cl = closure_codes(enc, cands, n_c, strategy=strategy)
@@ -163,8 +163,9 @@ def itemset_closure(baskets: DataFrame, candidates: DataFrame, strategy: str = "
 
 def dataset_closure(baskets: DataFrame) -> DataFrame:
     """A5: the items present in every basket, one row ``(closure)``."""
-    n = baskets.count()
-    common = item_support(baskets, n).select("item")
+    with persisted(baskets) as b:
+        n = b.count()
+        common = cut(item_support(b, n).select("item"))
     return common.agg(F.sort_array(F.collect_list("item")).alias("closure"))
 
 

@@ -12,7 +12,7 @@ from basketry.operators.encoding import encode, decode, maybe_broadcast
 from basketry.operators.sampling import ALPHA_IN_USE, sample_fraction
 from basketry.operators.support import itemset_support
 from basketry.plans.closed import closed_levels
-from basketry.session import cut
+from basketry.session import cut, persisted
 
 # Fixed value: the three sample seeds (md5 buckets, reproducible in SQL).
 SAMPLE_SEEDS = (42, 43, 44)
@@ -57,17 +57,18 @@ def approx_closed_itemsets(baskets: DataFrame, threshold: int, eps: float,
     then one exact support count of the distinct result on the full baskets,
     with no re-filter. Returns ``(items, support, meets_threshold)``.
     """
-    if n is None:
-        n = baskets.count()
-    _, frac = sample_fraction(n, threshold, eps, alpha)
-    scaled = float(threshold) * frac
-    common = cut(majority_items(baskets, frac, scaled, seeds=seeds).select("item"))
-    sample1 = baskets.where(in_sample(seeds[0], F.col("basket_id"), frac))
-    smc = max(1, int(math.ceil(scaled - 1e-9)))
-    enc = encode(sample1, smc, order="support")
-    allowed = enc.codes.join(maybe_broadcast(common, common.count()), "item", "left_semi")
-    found = closed_levels(enc, smc, allowed_codes=allowed.select("code"), strategy=strategy)
-    found = cut(decode(found.select("closure"), enc.codes, enc.n_codes, "closure", "items"))
-    exact = itemset_support(baskets, found, strategy=strategy)
+    with persisted(baskets) as b:
+        if n is None:
+            n = b.count()
+        _, frac = sample_fraction(n, threshold, eps, alpha)
+        scaled = float(threshold) * frac
+        common = cut(majority_items(b, frac, scaled, seeds=seeds).select("item"))
+        sample1 = b.where(in_sample(seeds[0], F.col("basket_id"), frac))
+        smc = max(1, int(math.ceil(scaled - 1e-9)))
+        enc = encode(sample1, smc, order="support")
+        allowed = enc.codes.join(maybe_broadcast(common, common.count()), "item", "left_semi")
+        found = closed_levels(enc, smc, allowed_codes=allowed.select("code"), strategy=strategy)
+        found = cut(decode(found.select("closure"), enc.codes, enc.n_codes, "closure", "items"))
+        exact = cut(itemset_support(b, found, strategy=strategy))
     return exact.select("items", "support",
                         (F.col("support") >= F.lit(int(threshold))).alias("meets_threshold"))
