@@ -66,8 +66,10 @@ def with_anchor(cands: DataFrame, enc_baskets: DataFrame) -> DataFrame:
 
 def support_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
                   strategy: str = "auto") -> DataFrame:
-    """(cand, support) for coded candidates; zero-support ones are absent."""
-    pairs = match_codes(enc.baskets, cands.select("cand"), cand_rows, strategy)
+    """(cand, support) for coded candidates (with their ``anchor`` when given);
+    zero-support ones are absent."""
+    keep = ["cand", "anchor"] if "anchor" in cands.columns else ["cand"]
+    pairs = match_codes(enc.baskets, cands.select(*keep), cand_rows, strategy)
     return pairs.groupBy("cand").agg(F.sum("weight").alias("support"))
 
 
@@ -131,8 +133,7 @@ def itemset_support(baskets: DataFrame, candidates: DataFrame, n: int | None = N
     enc = Encoded(codes, n_codes, cut(encode_baskets(baskets, codes, n_codes)), n or -1)
     cands = cut(with_anchor(encode_itemsets(candidates, codes, n_codes, col), enc.baskets))
     n_c = cands.count()
-    pairs = match_codes(enc.baskets, cands.select("cand", "anchor"), n_c, strategy)
-    sup = pairs.groupBy("cand").agg(F.sum("weight").alias("support"))
+    sup = support_codes(enc, cands, n_c, strategy)
     out = cands.join(sup, "cand").select(col, "support")
     if n is not None:
         out = out.withColumn("rel_support", F.col("support") / F.lit(float(n)))

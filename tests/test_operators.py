@@ -1,7 +1,5 @@
 """Support, closure, joins, filters, sampling, lattice and evaluation operators."""
 
-from pyspark.sql import functions as F
-
 from basketry.functions.itemsets import min_count_for
 from basketry.operators import filters as FL
 from basketry.operators.candidates import (expand_level, itemset_difference, prefix_join,
