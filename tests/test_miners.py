@@ -138,3 +138,19 @@ def test_against_brute_force(spark, baskets, mc):
     assert as_dict(frequent_itemsets_fp(b, min_count=mc)) == freq
     assert as_dict(closed_itemsets(b, min_count=mc)) == closed
     assert as_dict(closed_itemsets_naive(b, min_count=mc)) == closed
+
+
+def test_hot_item_and_hot_duplicate_basket(spark):
+    """One item in every basket and a third of all baskets identical: the
+    shuffle strategy (J2, AQE skew split) and the broadcast one agree with
+    FP-growth and brute force."""
+    import random
+    rnd = random.Random(3)
+    hot = [0, 1, 2, 3]
+    baskets = [hot] * 300 + [[0] + rnd.sample(range(1, 12), rnd.randint(1, 5)) for _ in range(600)]
+    b = make_baskets(spark, baskets)
+    freq, closed = brute([set(x) for x in baskets], 60)
+    assert as_dict(frequent_itemsets_fp(b, min_count=60)) == freq
+    assert as_dict(closed_itemsets(b, min_count=60)) == closed
+    assert as_dict(closed_itemsets(b, min_count=60, strategy="shuffle")) == closed
+    assert as_dict(closed_itemsets_naive(b, min_count=60, strategy="shuffle")) == closed
