@@ -30,6 +30,10 @@ from basketry.operators.encoding import (BROADCAST_ROWS, Encoded, decode, encode
 from basketry.session import cut, persisted
 
 
+# Largest distinct-anchor list inlined into the probe (bounded by the codes).
+ANCHOR_LITERAL_MAX = 4096
+
+
 def _choose(strategy: str, cand_rows: int, limit: int) -> str:
     if strategy == "auto":
         return "broadcast" if cand_rows <= limit else "shuffle"
@@ -49,8 +53,18 @@ def match_codes(enc_baskets: DataFrame, cands: DataFrame, cand_rows: int,
     """
     how = _choose(strategy, cand_rows, limit)
     c = cands if "anchor" in cands.columns else cands.withColumn("anchor", F.element_at("cand", 1))
-    c = F.broadcast(c) if how == "broadcast" else c.hint("shuffle_hash")
-    probe = enc_baskets.select("*", F.explode("codes").alias("anchor"))
+    probe_codes = F.col("codes")
+    if how == "broadcast":
+        # only codes that anchor some candidate can match: probe with those
+        # alone (native hash intersection), not with every code of the basket
+        anchors = [r[0] for r in c.select("anchor").distinct().limit(ANCHOR_LITERAL_MAX + 1).collect()]
+        if len(anchors) <= ANCHOR_LITERAL_MAX:
+            lit = F.array(*[F.lit(a) for a in sorted(anchors)]).cast(enc_baskets.schema["codes"].dataType)
+            probe_codes = F.array_intersect("codes", lit)
+        c = F.broadcast(c)
+    else:
+        c = c.hint("shuffle_hash")
+    probe = enc_baskets.select("*", F.explode(probe_codes).alias("anchor"))
     return probe.join(c, "anchor").where(contains_all("codes", "cand")).drop("anchor")
 
 
