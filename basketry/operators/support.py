@@ -30,7 +30,9 @@ from basketry.operators.encoding import (BROADCAST_ROWS, Encoded, decode, encode
 from basketry.session import cut, persisted
 
 
-# Largest distinct-anchor list inlined into the probe (bounded by the codes).
+# Probe restriction: used when baskets can be wide (more codes than
+# PROBE_RESTRICT_MIN_CODES) and the distinct anchors fit a literal list.
+PROBE_RESTRICT_MIN_CODES = 64
 ANCHOR_LITERAL_MAX = 4096
 
 
@@ -43,7 +45,8 @@ def _choose(strategy: str, cand_rows: int, limit: int) -> str:
 
 
 def match_codes(enc_baskets: DataFrame, cands: DataFrame, cand_rows: int,
-                strategy: str = "auto", limit: int = BROADCAST_ROWS) -> DataFrame:
+                strategy: str = "auto", limit: int = BROADCAST_ROWS,
+                n_codes: int | None = None) -> DataFrame:
     """Pairs (candidate, basket) with the candidate contained in the basket.
 
     ``enc_baskets`` has ``codes`` (+ any other columns, e.g. ``weight``);
@@ -54,16 +57,14 @@ def match_codes(enc_baskets: DataFrame, cands: DataFrame, cand_rows: int,
     how = _choose(strategy, cand_rows, limit)
     c = cands if "anchor" in cands.columns else cands.withColumn("anchor", F.element_at("cand", 1))
     probe_codes = F.col("codes")
-    if how == "broadcast":
-        # only codes that anchor some candidate can match: probe with those
-        # alone (native hash intersection), not with every code of the basket
+    if how == "broadcast" and (n_codes is None or n_codes > PROBE_RESTRICT_MIN_CODES):
+        # only codes that anchor some candidate can match: probe wide baskets
+        # with those alone (native hash intersection), not with every code
         anchors = [r[0] for r in c.select("anchor").distinct().limit(ANCHOR_LITERAL_MAX + 1).collect()]
         if len(anchors) <= ANCHOR_LITERAL_MAX:
             lit = F.array(*[F.lit(a) for a in sorted(anchors)]).cast(enc_baskets.schema["codes"].dataType)
             probe_codes = F.array_intersect("codes", lit)
-        c = F.broadcast(c)
-    else:
-        c = c.hint("shuffle_hash")
+    c = F.broadcast(c) if how == "broadcast" else c.hint("shuffle_hash")
     probe = enc_baskets.select("*", F.explode(probe_codes).alias("anchor"))
     return probe.join(c, "anchor").where(contains_all("codes", "cand")).drop("anchor")
 
@@ -83,7 +84,7 @@ def support_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
     """(cand, support) for coded candidates (with their ``anchor`` when given);
     zero-support ones are absent."""
     keep = ["cand", "anchor"] if "anchor" in cands.columns else ["cand"]
-    pairs = match_codes(enc.baskets, cands.select(*keep), cand_rows, strategy)
+    pairs = match_codes(enc.baskets, cands.select(*keep), cand_rows, strategy, n_codes=enc.n_codes)
     return pairs.groupBy("cand").agg(F.sum("weight").alias("support"))
 
 
@@ -95,7 +96,7 @@ def closure_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
     whose co-count reaches ``ext_min``: the frequent one-item extensions.
     The list per candidate is bounded by the number of codes.
     """
-    pairs = match_codes(enc.baskets, cands.select("cand"), cand_rows, strategy)
+    pairs = match_codes(enc.baskets, cands.select("cand"), cand_rows, strategy, n_codes=enc.n_codes)
     cc = (pairs.select("cand", F.explode("codes").alias("code"), "weight")
                .groupBy("cand", "code").agg(F.sum("weight").alias("cc")))
     per = cc.groupBy("cand").agg(F.max("cc").alias("support"),
@@ -130,7 +131,7 @@ def match_candidates(baskets: DataFrame, candidates: DataFrame, strategy: str =
     enc_b = cut(encode_baskets(baskets, codes, n_codes, keep_id=True))
     cands = cut(with_anchor(encode_itemsets(candidates, codes, n_codes, col), enc_b))
     n_c = cands.count()
-    pairs = match_codes(enc_b, cands.select("cand", "anchor", col), n_c, strategy)
+    pairs = match_codes(enc_b, cands.select("cand", "anchor", col), n_c, strategy, n_codes=n_codes)
     return pairs.select(col, "basket_id")
 
 

@@ -67,7 +67,7 @@ def apriori_codes(enc: Encoded, min_count: int, strategy: str = "auto",
     n_cur = lvl1.count()
     k = 2
     while n_cur > 0 and (max_level is None or k <= max_level):
-        pairs = match_codes(enc.baskets, cur, n_cur, strategy)
+        pairs = match_codes(enc.baskets, cur, n_cur, strategy, n_codes=enc.n_codes)
         ext = pairs.select("cand", "weight",
                            F.explode(F.filter("codes", lambda c: c > F.element_at(F.col("cand"), -1)))
                            .alias("e"))

@@ -154,3 +154,16 @@ def test_hot_item_and_hot_duplicate_basket(spark):
     assert as_dict(closed_itemsets(b, min_count=60)) == closed
     assert as_dict(closed_itemsets(b, min_count=60, strategy="shuffle")) == closed
     assert as_dict(closed_itemsets_naive(b, min_count=60, strategy="shuffle")) == closed
+
+
+def test_wide_universe_paths(spark):
+    """More than 64 frequent items: join-based encoding and the restricted
+    probe; all closed miners agree."""
+    import random
+    rnd = random.Random(11)
+    baskets = [rnd.sample(range(100), 20) for _ in range(200)] + [list(range(0, 100, 2))] * 25
+    b = make_baskets(spark, baskets)
+    fp = as_dict(closed_itemsets_fp(b, min_count=30))
+    assert len({k[0] for k in fp}) > 64
+    assert as_dict(closed_itemsets(b, min_count=30)) == fp
+    assert as_dict(closed_itemsets_naive(b, min_count=30)) == fp
