@@ -435,7 +435,8 @@ def q_s9_sweep_roundtrip_customer(spark, sf):
     write_sweep(r, path)
     back = read_sweep(spark, path)
     return back.where(F.col("measure") != "time").select("sweep", "param_label", "param_value",
-                                                         "algorithm", "run", "measure", "value")
+                                                         "algorithm", "run", "measure",
+                                                         _r6(F.col("value")).alias("value"))
 
 
 def q_m2_approx_closed_events(spark, sf):
@@ -455,7 +456,7 @@ def q_m2_approx_closed_customer(spark, sf):
 def q_m12_sweep_customer(spark, sf):
     b = _b(spark, sf, "customer")
     r = sweep(spark, b, "threshold", "ratio", [0.05, 0.1], base={"epsilon": 0.1})
-    return r.where(F.col("measure") != "time").drop("value")
+    return r.where(F.col("measure") != "time").withColumn("value", _r6(F.col("value")))
 
 
 def q_m13_sweep_report_customer(spark, sf):
@@ -658,38 +659,81 @@ def _sql_approx_small(fx: str, ratio: float, eps: float, alpha: float = 0.1) ->
     return _sql(c, final)
 
 
-def _sql_approx_short(fx: str, ratio: float, eps: float, alpha: float = 0.1) -> str:
-    """M2 for short baskets with lists: every closed set of sample 1 is a
-    subset of some sample basket, so the candidates are all non-empty subsets
-    of the sample baskets; a candidate is closed when no outside item occurs
-    in all sample baskets containing it."""
+def _approx_short_ctes(fx: str, ratio: float, eps: float, alpha: float = 0.1, p: str = "") -> list[str]:
+    """CTEs ending in ``{p}rc(items, support)``: M2 for short baskets with
+    lists. Every closed set of sample 1 is a subset of some sample basket, so
+    the candidates are all non-empty subsets of the sample baskets; a
+    candidate is closed when no outside item occurs in all sample baskets
+    containing it."""
     def unit(seed):
         return _md5_unit(repr(f"{seed}:"), "basket_id")
-    c = _base_ctes(fx, ratio)
+    c = _base_ctes(fx, ratio, p)
     c += [
-        "bl AS (SELECT basket_id, list_sort(list(item)) AS its FROM bi GROUP BY basket_id)",
-        f"fr AS (SELECT m AS t, least({_d(1.0)}, {_size_a('n', 'm', eps, alpha)} / n) AS f FROM mc, nb)",
-        "sc AS (SELECT t, f, t * f AS scaled, CAST(ceil(t * f - 1e-9) AS BIGINT) AS smc FROM fr)",
-        "ps AS (" + " UNION ALL ".join(
-            f"SELECT {i} AS sample, item, count(*) AS support FROM bi "
-            f"WHERE {unit(s)} < (SELECT f FROM sc) * 4294967296 GROUP BY item"
+        f"{p}bl AS (SELECT basket_id, list_sort(list(item)) AS its FROM {p}bi GROUP BY basket_id)",
+        f"{p}fr AS (SELECT m AS t, least({_d(1.0)}, {_size_a('n', 'm', eps, alpha)} / n) AS f FROM {p}mc, {p}nb)",
+        f"{p}sc AS (SELECT t, f, t * f AS scaled, CAST(ceil(t * f - 1e-9) AS BIGINT) AS smc FROM {p}fr)",
+        f"{p}ps AS (" + " UNION ALL ".join(
+            f"SELECT {i} AS sample, item, count(*) AS support FROM {p}bi "
+            f"WHERE {unit(s)} < (SELECT f FROM {p}sc) * 4294967296 GROUP BY item"
             for i, s in enumerate((42, 43, 44))) + ")",
-        "cm AS (SELECT list(item) AS common FROM (SELECT item FROM ps WHERE support >= (SELECT scaled FROM sc) "
-        "GROUP BY item HAVING count(DISTINCT sample) >= 2))",
-        f"s1 AS (SELECT basket_id, its FROM bl WHERE {unit(42)} < (SELECT f FROM sc) * 4294967296)",
-        "cand AS (SELECT DISTINCT list_filter(its, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items FROM "
-        "(SELECT its, unnest(range(1, CAST(1 AS BIGINT) << len(its))) AS m FROM s1))",
-        "hit AS (SELECT cand.items, s1.basket_id, s1.its FROM cand JOIN s1 ON list_has_all(s1.its, cand.items))",
-        "sup AS (SELECT items, count(*) AS support FROM hit GROUP BY items)",
-        "co AS (SELECT items, e, count(*) AS c FROM (SELECT items, unnest(its) AS e FROM hit) "
-        "WHERE NOT list_contains(items, e) GROUP BY items, e)",
-        "cl AS (SELECT sup.items FROM sup WHERE sup.support >= (SELECT smc FROM sc) "
-        "AND list_has_all((SELECT common FROM cm), sup.items) AND NOT EXISTS (SELECT 1 FROM co "
-        "WHERE co.items = sup.items AND co.c = sup.support))",
-        "rc AS (SELECT cl.items, count(*) AS support FROM cl JOIN bl ON list_has_all(bl.its, cl.items) "
-        "GROUP BY cl.items)"]
+        f"{p}cm AS (SELECT list(item) AS common FROM (SELECT item FROM {p}ps WHERE support >= "
+        f"(SELECT scaled FROM {p}sc) GROUP BY item HAVING count(DISTINCT sample) >= 2))",
+        f"{p}s1 AS (SELECT basket_id, its FROM {p}bl WHERE {unit(42)} < (SELECT f FROM {p}sc) * 4294967296)",
+        f"{p}cand AS (SELECT DISTINCT list_filter(its, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items FROM "
+        f"(SELECT its, unnest(range(1, CAST(1 AS BIGINT) << len(its))) AS m FROM {p}s1))",
+        f"{p}hit AS (SELECT c.items, s.basket_id, s.its FROM {p}cand c JOIN {p}s1 s ON list_has_all(s.its, c.items))",
+        f"{p}sup AS (SELECT items, count(*) AS support FROM {p}hit GROUP BY items)",
+        f"{p}co AS (SELECT items, e, count(*) AS c FROM (SELECT items, unnest(its) AS e FROM {p}hit) "
+        f"WHERE NOT list_contains(items, e) GROUP BY items, e)",
+        f"{p}cl AS (SELECT u.items FROM {p}sup u WHERE u.support >= (SELECT smc FROM {p}sc) "
+        f"AND list_has_all((SELECT common FROM {p}cm), u.items) AND NOT EXISTS (SELECT 1 FROM {p}co o "
+        f"WHERE o.items = u.items AND o.c = u.support))",
+        f"{p}rc AS (SELECT l.items, count(*) AS support FROM {p}cl l JOIN {p}bl b ON list_has_all(b.its, l.items) "
+        f"GROUP BY l.items)"]
+    return c
+
+
+def _sql_approx_short(fx: str, ratio: float, eps: float, alpha: float = 0.1) -> str:
     final = (f"SELECT {_KEY} AS itemset, support, support >= (SELECT t FROM sc) AS meets_threshold FROM rc")
-    return _sql(c, final)
+    return _sql(_approx_short_ctes(fx, ratio, eps, alpha), final)
+
+
+def _accuracy_ctes(approx: str, exact: str, p: str) -> list[str]:
+    """CTE ``{p}acc(not_identified, approx_overhead, approx_alpha_mean)``
+    for two tables ``(items, support)``."""
+    return [
+        f"{p}cov AS (SELECT x.items, CASE WHEN EXISTS (SELECT 1 FROM {approx} y WHERE list_has_all(y.items, x.items)) "
+        f"THEN 1 ELSE 0 END AS c FROM {exact} x)",
+        f"{p}rat AS (SELECT y.support / coalesce((SELECT min(x.support) FROM {exact} x WHERE x.items = y.items), "
+        f"(SELECT min(x.support) FROM {exact} x WHERE list_has_all(y.items, x.items))) AS r FROM {approx} y)",
+        f"{p}acc AS (SELECT (SELECT (count(*) - sum(c)) / count(*) FROM {p}cov) AS not_identified, "
+        f"(SELECT count(*) FROM {approx}) / (SELECT count(*) FROM {exact}) AS approx_overhead, "
+        f"(SELECT avg(r) FROM {p}rat) AS approx_alpha_mean)"]
+
+
+def _sweep_rows_sql(fx: str, ratios: list, eps: float = 0.1, alpha: float = 0.1,
+                    algorithms=("exact", "fpgrowth", "sampled")) -> tuple[list[str], str]:
+    """CTEs and a UNION of the deterministic sweep rows (no timings)."""
+    ctes, parts = [], []
+    for i, r in enumerate(ratios):
+        e, a = f"e{i}", f"a{i}"
+        ctes += _freq_ctes(fx, r, p=e) + [_closed_cte(e)]
+        ctes.append(f"{e}ex AS (SELECT items, support FROM {e}fc)")
+        head = f"'threshold' AS sweep, 'ratio' AS param_label, CAST({float(r)!r} AS DOUBLE) AS param_value"
+        parts.append(f"SELECT {head}, 'exact' AS algorithm, 0 AS run, 'num_cis' AS measure, "
+                     f"CAST(count(*) AS DOUBLE) AS value FROM {e}ex")
+        if "fpgrowth" in algorithms:
+            ctes.append(f"{e}fp AS (SELECT items, support FROM {e}fa)")
+            ctes += _accuracy_ctes(f"{e}fp", f"{e}ex", f"{e}f")
+        if "sampled" in algorithms:
+            ctes += _approx_short_ctes(fx, r, eps, alpha, p=a)
+            ctes += _accuracy_ctes(f"{a}rc", f"{e}ex", f"{e}s")
+        for alg, acc in (("fpgrowth", f"{e}facc"), ("sampled", f"{e}sacc")):
+            if alg in algorithms:
+                for m in ("not_identified", "approx_overhead", "approx_alpha_mean"):
+                    parts.append(f"SELECT {head}, '{alg}' AS algorithm, 0 AS run, '{m}' AS measure, "
+                                 f"CAST({m} AS DOUBLE) AS value FROM {acc}")
+    return ctes, " UNION ALL ".join(parts)
 
 
 def _oracle() -> dict[str, str]:
@@ -874,6 +918,19 @@ def _oracle() -> dict[str, str]:
         f"WHERE {_md5_unit(repr('42:'), "l.label || ':' || CAST(c.basket_id AS VARCHAR)")} < l.f * 4294967296")
     o["m2_approx_closed_events"] = _sql_approx_small("events", 0.01, 0.1)
     o["m2_approx_closed_customer"] = _sql_approx_short("customer", 0.05, 0.1)
+    sw_ctes, sw_rows = _sweep_rows_sql("customer", [0.05, 0.1])
+    o["m12_sweep_customer"] = _sql(
+        sw_ctes, f"SELECT sweep, param_label, param_value, algorithm, run, measure, round(value, 6) AS value "
+                 f"FROM ({sw_rows})")
+    o["m13_sweep_report_customer"] = _sql(
+        sw_ctes, "SELECT sweep, param_label, param_value, measure, "
+                 + ", ".join(f"round(avg(CASE WHEN algorithm = '{a}' THEN value END), 6) AS {a}"
+                             for a in ("exact", "fpgrowth", "sampled"))
+                 + f" FROM ({sw_rows}) GROUP BY sweep, param_label, param_value, measure")
+    s9_ctes, s9_rows = _sweep_rows_sql("customer", [0.1], algorithms=("exact",))
+    o["s9_sweep_roundtrip_customer"] = _sql(
+        s9_ctes, f"SELECT sweep, param_label, param_value, algorithm, run, measure, round(value, 6) AS value "
+                 f"FROM ({s9_rows})")
     o["s8_lattice_roundtrip_customer"] = _sql(
         _freq_ctes("customer", 0.01) + [_closed_cte()], f"SELECT {_KEY} AS itemset, support, size AS level FROM fc")
     return o
