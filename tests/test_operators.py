@@ -157,3 +157,19 @@ def test_min_count_for():
     assert min_count_for(0.7, 10) == 7
     assert min_count_for(0.07, 100) == 7
     assert min_count_for(0.41, 5) == 3
+
+
+def test_level_union_distinct_and_size_variant_sink(spark, tmp_out):
+    import os
+    from basketry.operators.sampling import write_size_variants
+    from basketry.plans.lattice import distinct_itemsets, level_union
+    a = spark.createDataFrame([([1], 4), ([2], 3)], "items array<long>, support long")
+    b = spark.createDataFrame([([1, 2], 3), ([1], 2)], "items array<long>, support long")
+    u = level_union([a, b])
+    assert sorted((tuple(r["items"]), r.level) for r in u.collect()) == [((1,), 1), ((1,), 2), ((1, 2), 2), ((2,), 1)]
+    assert as_dict(distinct_itemsets(u)) == {(1,): 4, (2,): 3, (1, 2): 3}
+    bk = make_baskets(spark, [[i] for i in range(50)])
+    path = os.path.join(tmp_out, "variants")
+    write_size_variants(size_variants(bk, {"half": 0.5, "all": 1.0}), path)
+    back = spark.read.parquet(path)
+    assert back.where("size_label = 'all'").count() == 50
