@@ -83,8 +83,9 @@ class Encoded:
     min_count: int = 0
 
 
-# Up to this many codes the item -> code lookup is a literal map evaluated
-# inside the scan (no shuffle); above it an explode + broadcast join + regroup.
+# Up to this many codes a basket is restricted by a native intersection with
+# the coded items (no shuffle) before its few codes are looked up; above it
+# an explode + broadcast join + regroup by basket id.
 MAP_LOOKUP_MAX = 256
 
 

@@ -30,8 +30,9 @@ def closed_levels(enc: Encoded, min_count: int, allowed_codes: DataFrame | None
     frequent extensions; distinct closures not seen before form the level;
     each is extended by one frequent co-occurring item for the next level.
     A closed set reached by two routes is kept (and expanded) once.
-    Only the per-level row count reaches the driver; every level is
-    checkpointed to the shared folder, so the lineage stays one level deep.
+    Only two numbers per level (its size and its extension count) reach the
+    driver; every level is checkpointed to the shared folder, so the lineage
+    stays one level deep.
 
     ``allowed_codes`` (column ``code``) restricts seeds and extensions and
     drops closures holding any other item (the sampled miner's common items).
