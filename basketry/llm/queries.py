@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.llm import chat
+from basketry.llm import chat, quality
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -52,10 +52,60 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 FROM chats"""
 
 
+# --------------------------------------------------------------------------
+# 3 quality rules
+# --------------------------------------------------------------------------
+
+def op3_quality_rules(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+_SPACES = r"[\x20\x09-\x0D]+"
+QUALITY_SQL = rf"""
+words AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACES}'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
+         len(string_split(coalesce(text, ''), chr(10))) AS n_lines,
+         row_number() OVER () AS r
+  FROM {{documents}}),
+windows AS (
+  SELECT r, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT r, words, unnest(generate_series(1, len(words) - 7)) AS i FROM words WHERE len(words) > 8)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(generate_series(0, 7)) AS k) GROUP BY r),
+features AS (
+  SELECT doc_id, text, words, n_lines, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines,
+         coalesce(repeats.n, 0) AS n_repeat_words
+  FROM words LEFT JOIN repeats ON words.r = repeats.r),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         10 * n_symbols > n_words
+         OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
+         OR 10 * len(list_filter(words, lambda w, i: i > 1 AND w = words[i - 1])) > 3 * n_words
+         OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+         OR 2 * length(regexp_replace(text, '\P{{{{Lu}}}}+', '', 'g')) > length(regexp_replace(text, '\P{{{{L}}}}+', '', 'g'))
+         OR 10 * length(regexp_replace(text, '\P{{{{L}}}}+', '', 'g')) < 6 * word_chars AS rejected
+  FROM features)"""
+
+
+def _op3_sql() -> str:
+    return f"""
+WITH {QUALITY_SQL.format(documents="documents")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT rejected AS kept
+FROM judged"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_quality_rules": op3_quality_rules,
 }
 
 SQL = {
     "op1_chat_format": _op1_sql(),
+    "op3_quality_rules": _op3_sql(),
 }
