@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, quality
+from basketry.llm import chat, decontaminate, quality
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -52,6 +52,38 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 FROM chats"""
 
 
+# --------------------------------------------------------------------------
+# 2 benchmark decontamination
+# --------------------------------------------------------------------------
+
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op2_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = (rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    return f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, words[i:i + 9] AS w, len(words[i:i + 9]) AS n
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(words) - 9, 1))) AS i FROM items WHERE len(words) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents),
+runs AS (
+  SELECT r, i, n, words[i:i + n - 1] AS w
+  FROM (SELECT r, words, n, unnest(generate_series(1, len(words) - n + 1)) AS i
+        FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n)),
+hits AS (SELECT r, i, runs.n, item FROM runs JOIN windows ON runs.n = windows.n AND runs.w = windows.w),
+places AS (SELECT r, count(DISTINCT i + k) AS n_hit
+           FROM (SELECT DISTINCT r, i, unnest(generate_series(0, n - 1)) AS k FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+          FROM hits GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
+
+
 # --------------------------------------------------------------------------
 # 3 quality rules
 # --------------------------------------------------------------------------
@@ -102,10 +134,12 @@ FROM judged"""
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
 }
 
 SQL = {
     "op1_chat_format": _op1_sql(),
+    "op2_decontaminate": _op2_sql(),
     "op3_quality_rules": _op3_sql(),
 }
