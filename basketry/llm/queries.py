@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.llm import chat, decontaminate, quality
+from basketry.llm import chat, decontaminate, quality, secrets
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -132,10 +132,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+# --------------------------------------------------------------------------
+# 4 secret scans
+# --------------------------------------------------------------------------
+
+def op4_secret_scan(spark, sf_dir):
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
 }
 
 SQL = {
