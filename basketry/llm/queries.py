@@ -4,9 +4,9 @@ them."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from basketry.llm import chat, decontaminate, quality, secrets
+from basketry.llm import chat, decontaminate, quality, secrets, tokens
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -140,11 +140,25 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------------------------
+# 9 token counts
+# --------------------------------------------------------------------------
+
+#: The vocabulary file of the token queries, and the limit they report on.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+TOKEN_LIMIT = 512
+
+
+def op9_token_counts(spark, sf_dir):
+    return tokens.token_report(table(spark, sf_dir, "documents"), VOCABULARY, TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op9_token_counts": op9_token_counts,
 }
 
 SQL = {
