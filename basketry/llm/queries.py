@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import chat, decontaminate, quality, secrets, tokens
+from basketry.llm import chat, decontaminate, quality, secrets, tokens, toxicity
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -140,6 +140,14 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------------------------
+# 5 toxicity
+# --------------------------------------------------------------------------
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # --------------------------------------------------------------------------
 # 9 token counts
 # --------------------------------------------------------------------------
@@ -158,6 +166,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_toxicity": op5_toxicity,
     "op9_token_counts": op9_token_counts,
 }
 
