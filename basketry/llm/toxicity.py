@@ -34,7 +34,7 @@ from basketry.llm import common as C
 TRAINING_DOCUMENTS = 10_000
 BUCKET_BITS = 21
 #: Buckets that fewer training documents hold get no weight.
-LEAST_DOCUMENTS = 10
+LEAST_DOCUMENTS = 5
 #: Beside a word itself, its first so many bytes count as features.
 STEMS = (4, 5, 6)
 _STOPS = np.zeros(256, bool)
