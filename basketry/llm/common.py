@@ -42,6 +42,28 @@ def hex_digest_of_list(items: Column) -> Column:
     return F.sha2(F.concat_ws(",", items), 256)
 
 
+class BitTable:
+    """A table of bits that lets all hashes of a one-column DataFrame through,
+    and few others; sent to all tasks, so its size has fixed bounds (2^20 to
+    2^26 bits, 8 MB)."""
+
+    LEAST_BITS, MOST_BITS = 20, 26
+
+    def __init__(self, hashes: DataFrame):
+        hashes = hashes.toDF("hash")
+        n = max(1, hashes.count())
+        self.log = int(min(self.MOST_BITS, max(self.LEAST_BITS, np.ceil(np.log2(n * 64)))))
+        words = (hashes.select(F.shiftrightunsigned("hash", 64 - self.log).alias("bit"))
+                 .select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b"))
+                 .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
+        self.table = np.zeros(1 << (self.log - 6), np.uint64)
+        self.table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes >> np.uint64(64 - self.log)
+        return (self.table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+
+
 # --------------------------------------------------------------------------
 # Texts of a batch as bytes
 # --------------------------------------------------------------------------

@@ -30,8 +30,6 @@ SHINGLE = 3
 #: Copies of the prefix index per key, so that a passage that very many
 #: documents hold is joined in several tasks.
 SALTS = 8
-#: Bounds of the bit table sent to all tasks: 2^20 to 2^26 bits (8 MB).
-LEAST_BITS, MOST_BITS = 20, 26
 
 
 def _words(data, offsets):
@@ -74,23 +72,6 @@ def _window_shingles(batches):
             names=[*batch.schema.names, "kind", "shingles"])
 
 
-class _Bits:
-    """A bit table of shingles with a fixed bound on its size."""
-
-    def __init__(self, shingles: DataFrame):
-        n = shingles.count()
-        self.log = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(n, 1) * 64)))))
-        words = (shingles.select(F.shiftrightunsigned("shingle", 64 - self.log).alias("bit"))
-                 .select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b"))
-                 .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
-        self.table = np.zeros(1 << (self.log - 6), np.uint64)
-        self.table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes >> np.uint64(64 - self.log)
-        return (self.table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _document_shingles(kinds: list[int], shared):
     """(kind, shingle, n): how many documents of a batch hold each shingle that
     the bit table lets through."""
@@ -169,9 +150,8 @@ def prefix_index(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     windows = C.stored(windows.mapInArrow(
         _window_shingles, "words array<string>, items array<string>, kind int, shingles array<long>"), "windows")
     each = windows.select("kind", F.posexplode("shingles").alias("place", "shingle"), "words", "items")
-    distinct = each.select("kind", "shingle").distinct()
     kinds = [r[0] for r in windows.select("kind").distinct().collect()]
-    bits = spark.sparkContext.broadcast(_Bits(distinct))
+    bits = spark.sparkContext.broadcast(C.BitTable(each.select("shingle").distinct()))
     frequency = (docs.select("text")
                  .mapInArrow(_document_shingles(kinds, bits), "kind int, shingle long, n long")
                  .groupBy("kind", "shingle").agg(F.sum("n").alias("df")))
@@ -189,7 +169,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
     docs = docs.select("doc_id", "text")
     index = prefix_index(docs, benchmark, size)
     kinds = [r[0] for r in index.select("kind").distinct().collect()]
-    bits = spark.sparkContext.broadcast(_Bits(index.select("shingle").distinct()))
+    bits = spark.sparkContext.broadcast(C.BitTable(index.select("shingle").distinct()))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
              .mapInArrow(_candidates(size, kinds, bits),

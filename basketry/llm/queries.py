@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import chat, decontaminate, quality, secrets, tokens, toxicity
+from basketry.llm import chat, decontaminate, jaccard_join, quality, secrets, tokens, toxicity
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -148,6 +148,14 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# --------------------------------------------------------------------------
+# 7 n-gram Jaccard join
+# --------------------------------------------------------------------------
+
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 # --------------------------------------------------------------------------
 # 9 token counts
 # --------------------------------------------------------------------------
@@ -167,6 +175,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_token_counts": op9_token_counts,
 }
 
