@@ -176,5 +176,5 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int):
     index = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], runs)
     h = np.zeros(len(index), np.uint64)
     for i in range(size):
-        h = mix(h + words[index + i]) if i else words[index]
+        h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + words[index + i])
     return mix(h + np.uint64(size)), at, index
