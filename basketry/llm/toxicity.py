@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from basketry.llm import common as C
 
 #: Bound on the labelled documents that the model is fitted on (expected number).
-TRAINING_DOCUMENTS = 10_000
+TRAINING_DOCUMENTS = 4_000
 BUCKET_BITS = 21
 #: Buckets that fewer training documents hold get no weight.
 LEAST_DOCUMENTS = 5
@@ -107,13 +107,14 @@ def fit(labels: np.ndarray, sentences: np.ndarray, sizes: np.ndarray, buckets: n
     if not len(labels) or labels.min() == labels.max():
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99))
         return Model(np.zeros(width, np.float32), float(np.log(share / (1 - share))))
-    doc_of_sentence = np.repeat(np.arange(len(labels)), sentences)
-    sentence_of = np.repeat(np.arange(len(sizes)), sizes)
-    pairs = np.unique(doc_of_sentence[sentence_of] << BUCKET_BITS | buckets)
+    doc_of_sentence = np.repeat(np.arange(len(labels), dtype=np.int32), sentences)
+    sentence_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    pairs = np.unique(doc_of_sentence[sentence_of].astype(np.int64) << BUCKET_BITS | buckets)
     keep = np.bincount(pairs & (width - 1), minlength=width) >= LEAST_DOCUMENTS
+    del pairs
     used = keep[buckets]
-    names, column = np.unique(buckets[used], return_inverse=True)
-    sentence_of = sentence_of[used]
+    place = np.cumsum(keep, dtype=np.int32) - 1
+    names, column, sentence_of = np.flatnonzero(keep), place[buckets[used]], sentence_of[used]
     w = np.zeros(len(names) + 1)
     w[-1] = np.log(max(labels.mean(), 1e-3) / max(sentences.mean(), 1))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_DOCUMENTS) -
             .mapInArrow(_training_rows, "toxic int, sizes binary, buckets binary").toPandas())
     sizes = [np.frombuffer(x, np.int32) for x in rows["sizes"]]
     buckets = [np.frombuffer(x, np.int32) for x in rows["buckets"]]
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32)
     return fit(rows["toxic"].to_numpy(np.int64), np.array([len(x) for x in sizes], np.int64),
                np.concatenate([none, *sizes]), np.concatenate([none, *buckets]))
 
