@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import chat, decontaminate, jaccard_join, quality, secrets, tokens, toxicity
+from basketry.llm import chat, decontaminate, jaccard_join, quality, secrets, suffix_dedup, tokens, toxicity
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -169,6 +169,14 @@ def op9_token_counts(spark, sf_dir):
     return tokens.token_report(table(spark, sf_dir, "documents"), VOCABULARY, TOKEN_LIMIT)
 
 
+# --------------------------------------------------------------------------
+# 10 suffix-array dedup
+# --------------------------------------------------------------------------
+
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -177,6 +185,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL = {
