@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import chat, decontaminate, jaccard_join, quality, secrets, suffix_dedup, tokens, toxicity
+from basketry.llm import chat, decontaminate, jaccard_join, packing, quality, secrets, suffix_dedup, tokens, toxicity
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -148,6 +148,14 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# --------------------------------------------------------------------------
+# 6 packing
+# --------------------------------------------------------------------------
+
+def op6_packing(spark, sf_dir):
+    return packing.packing_report(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 # --------------------------------------------------------------------------
 # 7 n-gram Jaccard join
 # --------------------------------------------------------------------------
@@ -183,6 +191,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,

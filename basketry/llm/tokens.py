@@ -181,6 +181,16 @@ class PrefixBpe:
             i -= len(self.tokens[out[-1]])
         return out[::-1]
 
+    def piece_encoder(self):
+        """The same encodings from a compiled library, which takes the ids as
+        merge ranks; usable where these follow the order of the merges."""
+        ranked = [i for _, i in sorted(self.merges.values())]
+        if ranked != sorted(ranked):
+            return self.encode
+        import tiktoken
+        coder = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={})
+        return lambda piece: coder.encode_ordinary(piece.decode())
+
 
 class PieceTable:
     """Values of distinct pieces, found by 64-bit hashes for whole arrays of
@@ -267,7 +277,7 @@ def piece_table(path: str, kind: str) -> PieceTable:
     """Kind "counts": tokens of each prefix; "ids": the tokens."""
     if (path, kind) not in _tables:
         m = model(path)
-        solve, dtype = ((lambda p: m.prefixes(p)[1]), np.int32) if kind == "counts" else (m.encode, np.uint16)
+        solve, dtype = ((lambda p: m.prefixes(p)[1]), np.int32) if kind == "counts" else (m.piece_encoder(), np.uint16)
         _tables[path, kind] = PieceTable(solve, dtype)
     return _tables[path, kind]
 
@@ -287,6 +297,24 @@ def token_counts(data: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray
     return out
 
 
+def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a chunk, and the n + 1 bounds of each text's."""
+    raw = data.tobytes()
+    starts, ends, first = piece_bounds(data, offsets)
+    table = piece_table(path, "ids")
+    at, size = table(raw, C.prefix_hashes(data), starts, ends)
+    end = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    ids = table.flat[np.arange(end[-1]) + np.repeat(at - end[:-1], size)]
+    bounds = end[first]
+    if any(s.encode() in raw for s in model(path).special):
+        each = np.split(ids, bounds[1:-1])
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if any(s.encode() in raw[a:b] for s in model(path).special):
+                each[i] = np.array(library(path).encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint16)
+        ids, bounds = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+    return ids, bounds
+
+
 class PrefixCounts:
     """Token counts of every prefix of one text without special strings, and
     the longest prefix within a budget; nothing is encoded again."""
