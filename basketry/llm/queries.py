@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import chat, decontaminate, jaccard_join, packing, quality, secrets, suffix_dedup, tokens, toxicity
+from basketry.llm import chat, decontaminate, jaccard_join, licenses, packing, quality, secrets, suffix_dedup, tokens, toxicity
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -164,6 +164,43 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------------------------
+# 8 license scans
+# --------------------------------------------------------------------------
+
+def op8_license_scan(spark, sf_dir):
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def _op8_sql() -> str:
+    known = ", ".join(f"('{licenses.normalised(s)}', '{name}')" for name, s in licenses.SENTENCES.items())
+    steps, last = [], "named"
+    for k, (name, parts) in enumerate(licenses.RULES):
+        pattern = "".join(f"<{x}>" for x in parts)
+        steps.append(f"rule{k} AS (SELECT r, doc_id, n, ids, replace(seq, '{pattern}', '<>') AS seq, "
+                     f"CASE WHEN contains(seq, '{pattern}') THEN list_append(found, '{name}') ELSE found END AS found "
+                     f"FROM {last})")
+        last = f"rule{k}"
+    continued, end = licenses.CONTINUED, licenses.SENTENCE_END
+    return f"""
+WITH known(sentence, name) AS (VALUES {known}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(
+           coalesce(text, ''), '{continued}', '\\1 \\2', 'g'), '{end}', '\\1' || chr(10), 'g'), chr(10)) AS parts
+         FROM documents),
+sentences AS (SELECT r, i, trim(regexp_replace(translate(parts[i], '{licenses.UPPER}', '{licenses.LOWER}'),
+                                               '{licenses.NOT_ALNUM}', ' ', 'g'), ' ') AS sentence
+              FROM (SELECT r, parts, unnest(generate_series(1, len(parts))) AS i FROM docs)),
+found AS (SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY i) AS ids,
+                 string_agg('<' || name || '>', '' ORDER BY i) AS seq
+          FROM sentences JOIN known USING (sentence) GROUP BY r),
+named AS (SELECT r, doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, coalesce(seq, '') AS seq,
+                 CAST([] AS VARCHAR[]) AS found FROM docs LEFT JOIN found USING (r)),
+{", ".join(steps)}
+SELECT doc_id, n AS n_sentences, ids AS sentences, len(list_distinct(found)) AS n_licenses,
+       array_to_string(list_sort(list_distinct(found)), ',') AS licenses
+FROM {last}"""
+
+
 # --------------------------------------------------------------------------
 # 9 token counts
 # --------------------------------------------------------------------------
@@ -193,6 +230,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -201,4 +239,5 @@ SQL = {
     "op1_chat_format": _op1_sql(),
     "op2_decontaminate": _op2_sql(),
     "op3_quality_rules": _op3_sql(),
+    "op8_license_scan": _op8_sql(),
 }
