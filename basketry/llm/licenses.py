@@ -4,8 +4,8 @@ matched against ordered rules, longest first; a sentence that one rule has used
 is not used again. DataFrame functions only.
 
 A line that does not end a sentence continues in a next line that starts with a
-small letter, a bracket or a quote; sentences end at line ends and at . ! ? before
-white space. Normal form: A-Z in lower case, every run of other characters than
+small letter, a bracket or a quote; sentences end at line ends, at . ! ? before
+white space, and at a colon before white space and a capital. Normal form: A-Z in lower case, every run of other characters than
 a-z0-9 one blank, no blank at the ends. Defined results: a null or empty text has
 no sentences and no licence; unknown sentences stand between known ones without
 parting them; a licence found several times is listed once; repeated rows give a
@@ -92,6 +92,7 @@ RULES = [
 
 CONTINUED = r'([^.!?:;\n])\n([a-z("])'
 SENTENCE_END = r"([.!?])[ \t\r]+"
+LIST_START = r":[ \t\r]+([A-Z])"
 NOT_ALNUM = "[^a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,7 +105,8 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (normalised(s), name)])
     joined = F.regexp_replace(F.coalesce(text, F.lit("")), CONTINUED, "$1 $2")
-    sentences = F.split(F.regexp_replace(joined, SENTENCE_END, "$1\n"), "\n")
+    ended = F.regexp_replace(F.regexp_replace(joined, SENTENCE_END, "$1\n"), LIST_START, ":\n$1")
+    sentences = F.split(ended, "\n")
     normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(
         F.translate(s, UPPER, LOWER), NOT_ALNUM, " ")))
     # no known sentence is shorter or longer than these

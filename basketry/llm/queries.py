@@ -184,8 +184,9 @@ def _op8_sql() -> str:
     continued, end = licenses.CONTINUED, licenses.SENTENCE_END
     return f"""
 WITH known(sentence, name) AS (VALUES {known}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(
-           coalesce(text, ''), '{continued}', '\\1 \\2', 'g'), '{end}', '\\1' || chr(10), 'g'), chr(10)) AS parts
+docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(
+           coalesce(text, ''), '{continued}', '\\1 \\2', 'g'), '{end}', '\\1' || chr(10), 'g'),
+           '{licenses.LIST_START}', ':' || chr(10) || '\\1', 'g'), chr(10)) AS parts
          FROM documents),
 sentences AS (SELECT r, i, trim(regexp_replace(translate(parts[i], '{licenses.UPPER}', '{licenses.LOWER}'),
                                                '{licenses.NOT_ALNUM}', ' ', 'g'), ' ') AS sentence
