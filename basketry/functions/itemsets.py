@@ -74,11 +74,3 @@ def drop_each(col) -> Column:
     c = _c(col)
     return F.transform(F.sequence(F.lit(0), F.size(c) - 1),
                        lambda i: F.filter(c, lambda x, j: j != i))
-
-
-def proper_subsets(col: str) -> Column:
-    """All non-empty proper subsets of the itemset column ``col`` (bit masks
-    1 .. 2^k - 2; SQL lambdas because the shift amount is a column)."""
-    top = f"(shiftleft(1L, size({col})) - 2L)"
-    return F.expr(f"transform(filter(sequence(1L, greatest({top}, 1L)), m -> m <= {top}), "
-                  f"m -> filter({col}, (x, j) -> (shiftright(m, j) & 1L) = 1L))")

@@ -10,28 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.itemsets import contains_all, drop_each, proper_subsets
+from basketry.functions.itemsets import contains_all, drop_each
 from basketry.operators.encoding import maybe_broadcast
+from basketry.session import cut
 
-# Largest common-item list J3 will take from the driver as a literal.
-MAX_COMMON_ITEMS = 100_000
+# J3 carries the common items in rows of about this many.
+ITEMS_PER_ROW = 1_000
 
 
 def expand_level(level: DataFrame, common: DataFrame, drop_seen: bool = False) -> DataFrame:
     """Every X of ``level`` and common item e not in X give X + {e}, distinct.
 
-    The common items are the frequent-item universe, bounded by
-    sum(|basket|) / min_count; the count is checked before they are inlined.
-    ``drop_seen`` drops results already in the level (the fastExpand form).
+    The result is this product by definition, whatever the number of common
+    items: these are gathered in rows of about ``ITEMS_PER_ROW``, and each set
+    meets each row once. ``drop_seen`` drops results already in the level (the fastExpand form).
     The miners do not use this full product: they extend only by items that
     co-occur often enough (``closure_codes``'s ``ext``).
     """
-    n_common = common.count()
-    if n_common > MAX_COMMON_ITEMS:
-        raise ValueError(f"{n_common} common items exceed {MAX_COMMON_ITEMS}")
-    vals = [r[0] for r in common.select("item").distinct().collect()]
-    arr = F.array(*[F.lit(v) for v in sorted(vals)])
-    out = (level.select("items", F.explode(F.array_except(arr, F.col("items"))).alias("e"))
+    listed = common.select("item").distinct()
+    rows = max(1, -(-listed.count() // ITEMS_PER_ROW))
+    gathered = (listed.groupBy(F.pmod(F.xxhash64("item"), F.lit(rows)).alias("row"))
+                      .agg(F.collect_list("item").alias("common")).drop("row"))
+    out = (level.select("items").crossJoin(maybe_broadcast(gathered, rows))
+                .select("items", F.explode(F.array_except("common", "items")).alias("e"))
                 .select(F.sort_array(F.array_union("items", F.array("e"))).alias("items"))
                 .distinct())
     if drop_seen:
@@ -66,6 +67,29 @@ def closed_only(frequent: DataFrame) -> DataFrame:
     return frequent.join(sub, ["items", "support"], "left_anti")
 
 
+def closed_only_any(itemsets: DataFrame) -> DataFrame:
+    """J6 for any list of itemsets: drop X when a strict superset in the list
+    has the same support. An anti join on (support, X's rarest item)."""
+    sets = itemsets.select("items", "support").distinct()
+    sups = sets.select(F.col("items").alias("sup"), "support")
+    sub = rarest_anchor(itemsets.withColumnRenamed("items", "sub"), sups)
+    probe = sups.select("sup", "support", F.explode("sup").alias("anchor"))
+    same = (sub["support"] == probe["support"]) & (sub["anchor"] == probe["anchor"])
+    larger = (F.size("sup") > F.size("sub")) & contains_all("sup", "sub")
+    kept = sub.join(probe, same & larger, "left_anti")
+    return kept.drop("anchor").withColumnRenamed("sub", "items")
+
+
+def rarest_anchor(small: DataFrame, big: DataFrame) -> DataFrame:
+    """``small`` with the ``anchor`` of each ``sub``: its item that the fewest
+    ``sup`` of ``big`` hold (a set with an item that none holds gets that item)."""
+    held = big.select(F.explode("sup").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("_held"))
+    named = (small.select("sub").distinct().select("sub", F.explode("sub").alias("anchor"))
+             .join(held, "anchor", "left")
+             .groupBy("sub").agg(F.min_by("anchor", F.struct(F.coalesce("_held", F.lit(0)), "anchor")).alias("anchor")))
+    return small.join(named, "sub")
+
+
 def itemset_difference(x: DataFrame, y: DataFrame, col: str = "items") -> DataFrame:
     """Rows of x whose itemset is not in y (x's duplicates kept)."""
     return x.join(y.select(col).distinct(), col, "left_anti")
@@ -74,9 +98,8 @@ def itemset_difference(x: DataFrame, y: DataFrame, col: str = "items") -> DataFr
 def _containment_pairs(small: DataFrame, big: DataFrame, small_rows: int,
                        strict: bool = False) -> DataFrame:
     """Pairs (sub, sup) with sub contained in sup, for two itemset tables with
-    columns ``sub`` and ``sup`` (+ extra columns). Anchor on sub's first item."""
-    s = small.withColumn("anchor", F.element_at("sub", 1))
-    s = maybe_broadcast(s, small_rows)
+    columns ``sub`` and ``sup`` (+ extra columns). Anchor on sub's rarest item."""
+    s = maybe_broadcast(rarest_anchor(small, big), small_rows)
     probe = big.select("*", F.explode("sup").alias("anchor"))
     cond = contains_all("sup", "sub")
     if strict:
@@ -95,10 +118,26 @@ def support_upper_bound(itemsets: DataFrame, known: DataFrame) -> DataFrame:
     return itemsets.join(bound.withColumnRenamed("sup", "items"), "items", "left")
 
 
-def expand_subsets(itemsets: DataFrame, include_self: bool = True) -> DataFrame:
+def expand_subsets(itemsets: DataFrame, include_self: bool = True, smallest: int = 1) -> DataFrame:
     """Every non-empty proper subset with its superset's support; with
-    the sets themselves and max(support) per subset, closed -> all frequent."""
-    subs = itemsets.select(F.explode(proper_subsets("items")).alias("items"), "support")
-    if include_self:
-        subs = subs.unionByName(itemsets.select("items", "support"))
-    return subs.groupBy("items").agg(F.max("support").alias("support"))
+    the sets themselves and max(support) per subset, closed -> all frequent.
+
+    Level by level from the largest size down: each set gives its one-item
+    smaller subsets, the largest support of each is kept, and the level is
+    written. A set of any size is expanded completely, down to subsets of
+    ``smallest`` items (a set of k items has 2^k - 1 non-empty ones).
+    """
+    given = itemsets.select("items", "support", F.lit(True).alias("own"))
+    top = given.agg(F.max(F.size("items"))).first()[0] or 0
+    above, out = None, None
+    for size in range(top, smallest - 1, -1):
+        level = given.where(F.size("items") == size)
+        if above is not None:
+            below = above.select(F.explode(drop_each("items")).alias("items"), "support", F.lit(False).alias("own"))
+            level = level.unionByName(below)
+        # "own": not a proper subset of another set
+        above = cut(level.groupBy("items").agg(F.max("support").alias("support"), F.min("own").alias("own")))
+        out = above if out is None else out.unionByName(above)
+    if out is None:
+        return itemsets.select("items", "support").limit(0)
+    return (out if include_self else out.where(~F.col("own"))).select("items", "support")

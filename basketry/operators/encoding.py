@@ -17,19 +17,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from basketry.functions.itemsets import explode_items
 from basketry.session import cut, persisted
 
-# Largest row count of a side we broadcast; above it the join shuffles.
+# Largest side we broadcast, in rows and in bytes; above it the join shuffles.
+# Both plans give the same rows.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+# Tables of so few rows are not measured.
+UNMEASURED_ROWS = 1_000
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
+    if rows > limit:
+        return df
+    if rows > UNMEASURED_ROWS:
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0]
+        if (size or 0) > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def item_support(baskets: DataFrame, min_count: int | None = None) -> DataFrame:
@@ -38,7 +48,7 @@ def item_support(baskets: DataFrame, min_count: int | None = None) -> DataFrame:
     explode + groupBy: partial aggregation before the shuffle, so a hot item
     costs one row per task on the wire.
     """
-    out = (explode_items(baskets)
+    out = (explode_items(baskets.select(F.array_distinct("items").alias("items")))
            .groupBy("item").agg(F.count(F.lit(1)).alias("support")))
     if min_count is not None:
         out = out.where(F.col("support") >= F.lit(int(min_count)))
@@ -50,27 +60,29 @@ def distinct_items(baskets: DataFrame) -> DataFrame:
     return explode_items(baskets).distinct()
 
 
-# Up to this many items the codes come from one unpartitioned window
-# (dense 0..F-1); above it from a distributed global sort.
-WINDOW_CODES_MAX = 2_000_000
-
-
-def item_codes(supports: DataFrame, order: str = "support", n_items: int | None = None) -> DataFrame:
-    """Codes for an item table ``(item, support)``, increasing in rank order.
+def item_codes(supports: DataFrame, order: str = "support") -> DataFrame:
+    """Dense ``long`` codes 0..F-1 for an item table ``(item, support)``,
+    increasing in rank order.
 
     ``order='support'`` ranks rarest first, so the first code of a sorted
     itemset is its rarest item; ``order='item'`` keeps the natural order (used
-    where the candidate set depends on it, Apriori). For a bounded table the
-    codes are dense ints from a window without partition key (it runs over
-    the item table only, never baskets); a larger table is range-sorted across
-    the cluster and numbered with increasing (not dense) long ids.
+    where the candidate set depends on it, Apriori). The table is range-sorted
+    across the cluster and written once; a row's place in its partition plus
+    the sizes of the partitions before it is its code. Only one count per
+    partition reaches the driver.
     """
     keys = [F.col("support"), F.col("item")] if order == "support" else [F.col("item")]
-    if n_items is not None and n_items > WINDOW_CODES_MAX:
-        return (supports.orderBy(*keys)
-                        .select("item", "support", F.monotonically_increasing_id().alias("code")))
-    w = Window.orderBy(*keys)
-    return supports.select("item", "support", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    placed = cut(supports.orderBy(*keys).select("item", "support", F.monotonically_increasing_id().alias("place")))
+    part, place = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k")).collect())
+    starts, start = [], 0
+    for r in sizes:
+        starts += [F.lit(r["part"]), F.lit(start)]
+        start += r["k"]
+    if not sizes:
+        return placed.select("item", "support", F.col("place").alias("code"))
+    first = F.element_at(F.create_map(*starts), part)
+    return placed.select("item", "support", (first + place).cast("long").alias("code"))
 
 
 @dataclass
@@ -78,14 +90,15 @@ class Encoded:
     """Baskets restricted to coded items: ``baskets(codes, weight)``."""
     codes: DataFrame      # item, support, code
     n_codes: int
-    baskets: DataFrame    # codes array<int>, weight long
+    baskets: DataFrame    # codes array<long>, weight long
     n: int                # number of input baskets (including empty ones)
     min_count: int = 0
 
 
 # Up to this many codes a basket is restricted by a native intersection with
 # the coded items (no shuffle) before its few codes are looked up; above it
-# an explode + broadcast join + regroup by basket id.
+# an explode + join + regroup by a generated row key. Both plans take a basket's
+# distinct items and every row as a basket of its own, whatever its id.
 MAP_LOOKUP_MAX = 256
 
 
@@ -101,7 +114,8 @@ def encode_baskets(baskets: DataFrame, codes: DataFrame, n_codes: int,
     restricted baskets fold first, and only then are the few distinct ones
     mapped to codes (the lookup lambda has no codegen, so it must not sit on
     top of the basket expression). Large tables: explode, broadcast join,
-    regroup by basket id.
+    regroup by a generated row key. Rows with the same id stay separate baskets,
+    and an item repeated in a basket counts once, in both plans.
     """
     if n_codes <= MAP_LOOKUP_MAX:
         pairs = codes.select("item", "code").collect()
@@ -116,9 +130,12 @@ def encode_baskets(baskets: DataFrame, codes: DataFrame, n_codes: int,
                         .groupBy("kept").agg(F.count(F.lit(1)).alias("weight")))
         coded = F.sort_array(F.transform("kept", lambda x: F.element_at(lookup, x)))
         return b.withColumn("codes", coded).drop("kept")
-    x = explode_items(baskets, "items", "item", "basket_id")
+    rows = baskets.select("basket_id", F.array_distinct("items").alias("items"),
+                          F.monotonically_increasing_id().alias("_row"))
+    x = explode_items(rows, "items", "item", "_row", *(["basket_id"] if keep_id else []))
     j = x.join(maybe_broadcast(codes.select("item", "code"), n_codes), "item")
-    b = j.groupBy("basket_id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    b = (j.groupBy("_row", *(["basket_id"] if keep_id else []))
+          .agg(F.sort_array(F.collect_list("code")).alias("codes")).drop("_row"))
     if keep_id:
         return b.withColumn("weight", F.lit(1).cast("long"))
     return b.groupBy("codes").agg(F.count(F.lit(1)).alias("weight"))
@@ -135,7 +152,7 @@ def _small_codes(sup: DataFrame, order: str):
     key = (lambda r: (r["support"], r["item"])) if order == "support" else (lambda r: r["item"])
     rows = [(r["item"], int(r["support"]), i) for i, r in enumerate(sorted(top, key=key))]
     schema = StructType([StructField("item", sup.schema["item"].dataType),
-                         StructField("support", LongType()), StructField("code", IntegerType())])
+                         StructField("support", LongType()), StructField("code", LongType())])
     return sup.sparkSession.createDataFrame(rows, schema), len(rows)
 
 
@@ -156,7 +173,7 @@ def encode(baskets: DataFrame, min_count: int | None = None, order: str = "suppo
         codes, n_codes = _small_codes(sup, order)
         if codes is None:
             sup = cut(sup)
-            codes = cut(item_codes(sup, order, sup.count()))
+            codes = cut(item_codes(sup, order))
             n_codes = codes.count()
         enc = cut(encode_baskets(b, codes, n_codes))
     return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc)

@@ -79,6 +79,15 @@ def with_anchor(cands: DataFrame, enc_baskets: DataFrame) -> DataFrame:
     return cands.join(a, "cand")
 
 
+def rarest_code(cands: DataFrame, codes: DataFrame, n_codes: int) -> DataFrame:
+    """Add each candidate's rarest code as ``anchor``, from the code table's
+    supports (for codes that do not rank rarest first)."""
+    x = cands.select("cand", F.explode("cand").alias("code"))
+    x = x.join(maybe_broadcast(codes.select("code", "support"), n_codes), "code")
+    a = x.groupBy("cand").agg(F.min_by("code", F.struct("support", "code")).alias("anchor"))
+    return cands.join(a, "cand")
+
+
 def support_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
                   strategy: str = "auto") -> DataFrame:
     """(cand, support) for coded candidates (with their ``anchor`` when given);
@@ -119,7 +128,7 @@ def _candidate_codes(candidates: DataFrame, col: str = "items"):
     """Codes (natural order) for the items named by the candidates; no pass
     over the baskets is needed."""
     citems = candidates.select(F.explode(col).alias("item")).distinct()
-    codes = cut(item_codes(citems.withColumn("support", F.lit(0).cast("long")), order="item"))
+    codes = item_codes(citems.withColumn("support", F.lit(0).cast("long")), order="item")
     return codes, codes.count()
 
 
@@ -190,22 +199,25 @@ def grouped_closure(baskets: DataFrame, group_col: str = "grp", max_group=None,
     """Per group, the intersection of its baskets (intersected with
     ``within`` if given); groups whose key exceeds ``max_group`` get ``[]``.
 
-    Co-count per (group, item) against the group size; partial aggregation
-    keeps a hot group at one row per task and item.
+    One pass: every basket gives a row per item and one without an item, so one
+    aggregate per (group, item) counts the items and the group's baskets; partial
+    aggregation keeps a hot group at one row per task and item.
     """
-    sizes = baskets.groupBy(group_col).agg(F.count(F.lit(1)).alias("n_baskets"))
-    x = explode_items(baskets, "items", "item", group_col)
+    none = F.lit(None).cast(baskets.schema["items"].dataType.elementType)
+    marked = F.concat(F.array_distinct("items"), F.array(none))
+    x = baskets.select(group_col, F.explode(marked).alias("item"))
     if within is not None:
-        x = x.where(F.col("item").isin(list(within)))
+        x = x.where(F.col("item").isNull() | F.col("item").isin(list(within)))
     co = x.groupBy(group_col, "item").agg(F.count(F.lit(1)).alias("cc"))
-    full = co.join(sizes, group_col).where(F.col("cc") == F.col("n_baskets"))
-    inter = full.groupBy(group_col).agg(F.sort_array(F.collect_list("item")).alias("closure"))
-    out = sizes.join(inter, group_col, "left").select(
-        group_col, F.coalesce("closure", F.array().cast(inter.schema["closure"].dataType)).alias("closure"))
+    per = co.groupBy(group_col).agg(F.max("cc").alias("n_baskets"),
+                                    F.collect_list(F.when(F.col("item").isNotNull(),
+                                                          F.struct("item", "cc"))).alias("counted"))
+    full = F.filter("counted", lambda c: c["cc"] == F.col("n_baskets"))
+    closure = F.sort_array(F.transform(full, lambda c: c["item"]))
     if max_group is not None:
-        out = out.withColumn("closure", F.when(F.col(group_col) <= F.lit(max_group), F.col("closure"))
-                             .otherwise(F.array().cast(inter.schema["closure"].dataType)))
-    return out
+        closure = F.when(F.col(group_col) <= F.lit(max_group), closure).otherwise(
+            F.array().cast(baskets.schema["items"].dataType))
+    return per.select(group_col, closure.alias("closure"))
 
 
 def frequent_among(baskets: DataFrame, items: DataFrame, threshold) -> DataFrame:

@@ -81,7 +81,7 @@ def closed_levels(enc: Encoded, min_count: int, allowed_codes: DataFrame | None
         lvl_no += 1
     if not levels:
         return enc.baskets.sparkSession.createDataFrame(
-            [], "closure array<int>, support long, level int")
+            [], "closure array<long>, support long, level int")
     out = levels[0]
     for l in levels[1:]:
         out = out.unionByName(l)
@@ -109,7 +109,8 @@ def closed_itemsets_naive(baskets: DataFrame, min_count: int | None = None,
     from basketry.plans.frequent import apriori_codes
     if (min_count is None) == (min_ratio is None):
         raise ValueError("give exactly one of min_count / min_ratio")
-    enc = encode(baskets, min_count, order="item", n=n, min_ratio=min_ratio)
+    # rarest-first codes: the first code of a candidate is its anchor
+    enc = encode(baskets, min_count, order="support", n=n, min_ratio=min_ratio)
     freq = apriori_codes(enc, enc.min_count, strategy=strategy, frequent_only=True)
     freq = cut(freq.select("cand"))
     n_f = freq.count()
@@ -125,4 +126,4 @@ def closed_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
     from basketry.plans.frequent import frequent_itemsets_fp
     freq = frequent_itemsets_fp(baskets, min_count=min_count, min_ratio=min_ratio,
                                 num_partitions=num_partitions, n=n)
-    return closed_only(cut(freq.select("items", "support")))
+    return closed_only(freq.select("items", "support"))

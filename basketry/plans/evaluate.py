@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import min_count_for
-from basketry.operators.candidates import _containment_pairs, support_upper_bound
+from basketry.functions.itemsets import contains_all
+from basketry.operators.candidates import rarest_anchor, support_upper_bound
 
 SWEEP_SCHEMA = ("sweep string, param_label string, param_value double, algorithm string, "
                 "run int, measure string, value double")
@@ -26,14 +27,16 @@ def accuracy(approx: DataFrame, exact: DataFrame) -> DataFrame:
       with no bound are left out of the mean.
 
     One union of per-itemset indicator rows and a single aggregate, no cross
-    join of scalars.
+    join of scalars. Measures that would divide by nothing (no exact
+    itemsets) are null.
     """
     ex = exact.select("items", "support").distinct()
     ap = approx.select("items", F.col("support").alias("a_support")).distinct()
-    n_ap = ap.count()
-    pairs = _containment_pairs(ex.select(F.col("items").alias("sub")),
-                               ap.select(F.col("items").alias("sup")), ex.count())
-    covered = pairs.select(F.col("sub").alias("items")).distinct().withColumn("covered", F.lit(1))
+    sup = ap.select(F.col("items").alias("sup"))
+    sub = rarest_anchor(ex.select(F.col("items").alias("sub")), sup)
+    probe = sup.select("sup", F.explode("sup").alias("anchor"))
+    inside = (sub["anchor"] == probe["anchor"]) & contains_all("sup", "sub")
+    covered = sub.join(probe, inside, "left_semi").select(F.col("sub").alias("items")).withColumn("covered", F.lit(1))
     ex_rows = ex.join(covered, "items", "left").select(
         F.lit(1).alias("is_exact"), F.coalesce("covered", F.lit(0)).alias("covered"),
         F.lit(0).alias("is_approx"), F.lit(None).cast("double").alias("ratio"))
@@ -48,8 +51,8 @@ def accuracy(approx: DataFrame, exact: DataFrame) -> DataFrame:
     allr = ex_rows.unionByName(ap_rows)
     agg = allr.agg(F.sum("is_exact").alias("ne"), F.sum("covered").alias("nc"),
                    F.sum("is_approx").alias("na"), F.avg("ratio").alias("alpha_mean"))
-    return agg.select(((F.col("ne") - F.col("nc")) / F.col("ne")).alias("not_identified"),
-                      (F.col("na") / F.col("ne")).alias("approx_overhead"),
+    return agg.select(F.try_divide(F.col("ne") - F.col("nc"), F.col("ne")).alias("not_identified"),
+                      F.try_divide(F.col("na"), F.col("ne")).alias("approx_overhead"),
                       F.col("alpha_mean").alias("approx_alpha_mean"))
 
 
@@ -75,17 +78,22 @@ def sweep(spark: SparkSession, baskets: DataFrame, sweep_name: str, param: str,
 
     cfg = {"ratio": 0.7, "epsilon": 0.1, "alpha": 0.1, "fraction": 1.0}
     cfg.update(base or {})
-    rows = []
+    rows, tables, mined = [], {}, {}
     for v in values:
         c = dict(cfg)
         c[param] = v
-        data = baskets if c["fraction"] >= 1.0 else sample_baskets(baskets, c["fraction"], seed=7)
-        data = cut(data)
-        n = data.count()
+        # data sets and exact results are made once for all grid values that share them
+        if c["fraction"] not in tables:
+            data = cut(baskets if c["fraction"] >= 1.0 else sample_baskets(baskets, c["fraction"], seed=7))
+            tables[c["fraction"]] = data, data.count()
+        data, n = tables[c["fraction"]]
         mc = min_count_for(c["ratio"], n)
         for r in range(runs):
-            exact, t_exact = _timed(lambda: cut(closed_itemsets(data, min_count=mc, n=n)))
-            n_exact = exact.count()
+            key = c["fraction"], mc, r
+            if key not in mined:
+                exact, t_exact = _timed(lambda: cut(closed_itemsets(data, min_count=mc, n=n)))
+                mined[key] = exact, exact.count(), t_exact
+            exact, n_exact, t_exact = mined[key]
             if "exact" in algorithms:
                 rows += [(sweep_name, param, float(v), "exact", r, "time", t_exact),
                          (sweep_name, param, float(v), "exact", r, "num_cis", float(n_exact))]

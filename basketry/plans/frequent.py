@@ -3,10 +3,6 @@ and the SON merge step (A11). All must return the same frequent rows."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -14,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import md5_unit
 from basketry.operators.encoding import Encoded, decode, encode, item_support, maybe_broadcast
-from basketry.operators.support import itemset_support, match_codes
+from basketry.operators.support import itemset_support, match_codes, rarest_code
 from basketry.plans.closed import resolve_min_count
 from basketry.session import cut, persisted
 
@@ -67,7 +63,8 @@ def apriori_codes(enc: Encoded, min_count: int, strategy: str = "auto",
     n_cur = lvl1.count()
     k = 2
     while n_cur > 0 and (max_level is None or k <= max_level):
-        pairs = match_codes(enc.baskets, cur, n_cur, strategy, n_codes=enc.n_codes)
+        anchored = rarest_code(cur, enc.codes, enc.n_codes)
+        pairs = match_codes(enc.baskets, anchored, n_cur, strategy, n_codes=enc.n_codes)
         ext = pairs.select("cand", "weight",
                            F.explode(F.filter("codes", lambda c: c > F.element_at(F.col("cand"), -1)))
                            .alias("e"))
@@ -80,7 +77,7 @@ def apriori_codes(enc: Encoded, min_count: int, strategy: str = "auto",
                       .withColumn("level", F.lit(k)))
         counted = cut(counted.select("cand", "level", "support"))
         out.append(counted)
-        cur = cut(counted.where(F.col("support") >= F.lit(min_count)).select("cand"))
+        cur = counted.where(F.col("support") >= F.lit(min_count)).select("cand")
         n_cur = cur.count()
         k += 1
     res = out[0]
@@ -115,44 +112,70 @@ def frequent_itemsets_apriori(baskets: DataFrame, min_ratio: float = 0.5,
 # SON: local mining per chunk, then one exact global count
 # --------------------------------------------------------------------------
 
-def _local_frequent(items_col: pd.Series, ratio: float) -> tuple[list, list]:
-    """Frequent itemsets of one chunk (relative support >= ratio), by a
-    depth-first search over vertical bitsets (Python ints over the chunk's
-    baskets). Small helper; the chunk is bounded by the chunk size."""
-    m = len(items_col)
-    if m == 0:
-        return [], []
-    mc = max(1, int(math.ceil(ratio * m - 1e-9)))
-    lengths = np.fromiter((len(x) for x in items_col), dtype=np.int64, count=m)
-    if lengths.sum() == 0:
-        return [], []
-    flat = np.concatenate([np.asarray(x) for x in items_col if len(x)])
-    tids = np.repeat(np.arange(m), lengths)
-    vertical = []
-    for item, grp in pd.Series(tids).groupby(flat):
-        if len(grp) >= mc:
-            mask = np.zeros(m, dtype=bool)
-            mask[grp.to_numpy()] = True
-            bits = int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little")
-            vertical.append((item, bits))
-    vertical.sort(key=lambda t: t[0])
-    out_items, out_sup = [], []
-
-    def dfs(prefix, cands):
-        for i, (it, bits) in enumerate(cands):
-            s = prefix + [it]
-            out_items.append(s)
-            out_sup.append(bits.bit_count() / m)
-            nxt = []
-            for jt, jb in cands[i + 1:]:
-                b = bits & jb
-                if b.bit_count() >= mc:
-                    nxt.append((jt, b))
-            if nxt:
-                dfs(s, nxt)
-
-    dfs([], vertical)
-    return out_items, out_sup
+def _chunk_miner(ratio: float, chunk_rows: int, item_type):
+    """Worker function of SON's first pass, with all that it needs inside (it is
+    shipped by value, so workers need not have this package).
+
+    A partition's baskets are mined in chunks of ``chunk_rows`` to twice as many,
+    by a depth-first search over vertical bitsets; found itemsets stream out in
+    batches. A chunk without a frequent itemset gives no rows.
+    """
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("items", pa.list_(item_type)), ("local_support", pa.float64())])
+
+    def vertical(items: pa.ListArray, least: int):
+        values, of = np.unique(np.asarray(items.flatten().to_numpy(zero_copy_only=False)), return_inverse=True)
+        lengths = np.asarray(items.value_lengths().fill_null(0))
+        rows = np.repeat(np.arange(len(items)), lengths)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(len(values) + 1))
+        for i, value in enumerate(values):
+            mask = np.zeros(len(items), bool)
+            mask[rows[order[edges[i]:edges[i + 1]]]] = True
+            if mask.sum() >= least:
+                yield value, int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little")
+
+    def mined(items: pa.ListArray):
+        m = len(items)
+        least = max(1, int(math.ceil(ratio * m - 1e-9)))
+        stack = [([], list(vertical(items, least)))]
+        while stack:
+            prefix, candidates = stack.pop()
+            for i, (item, bits) in enumerate(candidates):
+                own = prefix + [item]
+                yield own, bits.bit_count() / m
+                longer = [(x, b & bits) for x, b in candidates[i + 1:] if (b & bits).bit_count() >= least]
+                if longer:
+                    stack.append((own, longer))
+
+    def batches_of(items: pa.ListArray, size: int = 4096):
+        found, supports = [], []
+        for own, support in mined(items):
+            found.append(own)
+            supports.append(support)
+            if len(found) == size:
+                yield pa.RecordBatch.from_arrays([pa.array(found, schema.field(0).type), pa.array(supports)], schema=schema)
+                found, supports = [], []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, schema.field(0).type), pa.array(supports)], schema=schema)
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch.column(0))
+            rows += batch.num_rows
+            while rows >= 2 * chunk_rows:
+                items = pa.concat_arrays(held)
+                yield from batches_of(items.slice(0, chunk_rows))
+                held, rows = [items.slice(chunk_rows)], rows - chunk_rows
+        if rows:
+            yield from batches_of(pa.concat_arrays(held))
+
+    return run
 
 
 def son_chunk(baskets: DataFrame, chunks: int, salt: str = "son") -> DataFrame:
@@ -160,18 +183,19 @@ def son_chunk(baskets: DataFrame, chunks: int, salt: str = "son") -> DataFrame:
     return baskets.withColumn("chunk", F.pmod(md5_unit(salt, F.col("basket_id")), F.lit(chunks)))
 
 
-def local_supports(baskets: DataFrame, min_ratio: float, chunks: int) -> DataFrame:
-    """SON pass 1: ``(chunk, items, local_support)`` for itemsets frequent in
-    their chunk (relative support >= min_ratio, the global ratio)."""
-    item_type = baskets.schema["items"].dataType.simpleString()
+def local_supports(baskets: DataFrame, min_ratio: float, chunk_rows: int, n: int) -> DataFrame:
+    """SON pass 1: ``(items, local_support)`` for itemsets frequent in a chunk
+    (relative support >= min_ratio, the global ratio).
 
-    def miner(pdf: pd.DataFrame) -> pd.DataFrame:
-        its, sups = _local_frequent(pdf["items"], min_ratio)
-        ch = int(pdf["chunk"].iloc[0]) if len(pdf) else 0
-        return pd.DataFrame({"chunk": [ch] * len(its), "items": its, "local_support": sups})
-
-    return (son_chunk(baskets, chunks).select("chunk", "items")
-            .groupBy("chunk").applyInPandas(miner, f"chunk long, items {item_type}, local_support double"))
+    Chunks are runs of baskets of the existing partitions, of ``chunk_rows`` to
+    twice as many; small partitions are read together, without a shuffle.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    item_type = baskets.schema["items"].dataType
+    parts = max(1, n // chunk_rows)
+    return (baskets.select(F.array_sort(F.array_distinct("items")).alias("items")).coalesce(parts)
+            .mapInArrow(_chunk_miner(min_ratio, chunk_rows, to_arrow_type(item_type.elementType)),
+                        f"items {item_type.simpleString()}, local_support double"))
 
 
 def max_local_support(local: DataFrame, min_ratio: float) -> DataFrame:
@@ -180,23 +204,19 @@ def max_local_support(local: DataFrame, min_ratio: float) -> DataFrame:
                  .where(F.col("max_local_support") >= F.lit(min_ratio - 1e-12)))
 
 
-def frequent_itemsets_son(baskets: DataFrame, min_ratio: float, chunks: int | None = None,
-                          chunk_rows: int = 200_000, strategy: str = "auto",
-                          n: int | None = None) -> DataFrame:
+def frequent_itemsets_son(baskets: DataFrame, min_ratio: float, chunk_rows: int = 200_000,
+                          strategy: str = "auto", n: int | None = None) -> DataFrame:
     """M7: SON two-pass miner -> ``(items, support)``.
 
-    Chunks are md5 buckets of the basket id, sized to ``chunk_rows`` baskets
-    each so one chunk always fits a task. Every globally frequent itemset is
-    locally frequent in some chunk; pass 2 counts the union of local results
-    exactly on all baskets.
+    Every globally frequent itemset is locally frequent in some chunk; pass 2
+    counts the union of local results exactly on all baskets, so how the baskets
+    fall into chunks never changes the answer.
     """
     with persisted(baskets) as b:
         if n is None:
             n = b.count()
         mc = resolve_min_count(n, None, min_ratio)
-        if chunks is None:
-            chunks = max(1, int(math.ceil(n / chunk_rows)))
-        local = local_supports(b, min_ratio, chunks)
+        local = local_supports(b, min_ratio, chunk_rows, n)
         cands = cut(max_local_support(local, min_ratio).select("items"))
         sup = cut(itemset_support(b, cands, strategy=strategy))
     return sup.where(F.col("support") >= F.lit(mc)).select("items", "support")

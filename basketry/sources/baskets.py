@@ -1,8 +1,7 @@
 """Basket sources and sinks.
 
 A basket table is ``DataFrame<basket_id, items: array<T>>`` with ``items``
-distinct and sorted. ``basket_id`` must identify a basket; the encoders in
-``operators.encoding`` group by it.
+distinct and sorted. Every row is a basket, whatever its id.
 """
 
 from __future__ import annotations
@@ -42,16 +41,20 @@ def _typed(tokens, item_type: str, hashed: bool):
 
 def read_baskets(spark: SparkSession, path: str, sep: str = " ", item_type: str = "string",
                  keep_empty: bool = False, hashed: bool = False,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, escaped: bool = False) -> DataFrame:
     """One basket per text line, items separated by ``sep``.
 
     ``basket_id`` comes from ``monotonically_increasing_id`` taken right at
     the file scan, so it depends only on the file split and row position and
-    is reproduced exactly when a lost task re-reads its split.
+    is reproduced exactly when a lost task re-reads its split. It changes when
+    the files are split otherwise, and id-based samples (P1) of text baskets with
+    it. ``escaped`` undoes the escapes of ``write_baskets``.
     """
     import re
     df = spark.read.text(path)
     toks = _tokens(F.col("value"), re.escape(sep), keep_empty)
+    if escaped:
+        toks = F.transform(toks, lambda t: _unescaped(t, sep))
     out = df.select(F.monotonically_increasing_id().alias("basket_id"),
                     canonical(_typed(toks, item_type, hashed)).alias("items"))
     if num_partitions:
@@ -94,21 +97,41 @@ def baskets_from_rows(df: DataFrame, key_cols: str | Sequence[str], item_col: st
               .agg(F.sort_array(F.collect_set(item_col)).alias("items")))
 
 
-def attribute_baskets(df: DataFrame, id_col, attrs: dict[str, str]) -> DataFrame:
+def attribute_baskets(df: DataFrame, id_col, attrs: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """S4, attribute form: one basket per row with items ``name=value``.
 
-    ``attrs`` maps the item prefix to the column. Nulls are left out.
+    ``attrs`` maps the item prefix to the column. Nulls are left out; the
+    columns of ``keep`` stay beside the basket.
     """
     items = F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{p}="), F.col(c).cast("string")))
                       for p, c in attrs.items()])
     idc = F.col(id_col) if isinstance(id_col, str) else id_col
     return df.select(idc.alias("basket_id"),
-                     F.sort_array(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("items"))
+                     F.sort_array(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("items"), *keep)
+
+
+def _escapes(sep: str) -> list[tuple[str, str]]:
+    """What stands for characters that would part an item or a line: % first."""
+    return [(c, "".join(f"%{b:02X}" for b in c.encode())) for c in dict.fromkeys(["%", sep, "\n", "\r"])]
+
+
+def _escaped(item, sep: str):
+    for char, code in _escapes(sep):
+        item = F.replace(item, F.lit(char), F.lit(code))
+    return item
+
+
+def _unescaped(token, sep: str):
+    for char, code in reversed(_escapes(sep)):
+        token = F.replace(token, F.lit(code), F.lit(char))
+    return token
 
 
 def write_baskets(baskets: DataFrame, path: str, sep: str = " ", mode: str = "overwrite") -> None:
-    """One line per basket, items separated by ``sep``."""
-    (baskets.select(F.array_join(F.transform("items", lambda x: x.cast("string")), sep).alias("value"))
+    """One line per basket, items separated by ``sep``. Separators, line ends
+    and % inside an item are written as %XX; ``read_baskets(escaped=True)`` gives
+    the items back."""
+    (baskets.select(F.array_join(F.transform("items", lambda x: _escaped(x.cast("string"), sep)), sep).alias("value"))
             .write.mode(mode).text(path))
 
 

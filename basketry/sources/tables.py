@@ -66,10 +66,8 @@ def lineitem_attribute_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_grouped_attribute_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-item attribute baskets plus the supplier nation key as ``grp``."""
-    rows = _lineitem_rows(spark, sf_dir)
-    b = attribute_baskets(rows, "row_key", _LINEITEM_ATTRS)
-    g = rows.select(F.col("row_key").alias("basket_id"), F.col("s_nationkey").alias("grp"))
-    return b.join(g, "basket_id")
+    rows = _lineitem_rows(spark, sf_dir).withColumn("grp", F.col("s_nationkey"))
+    return attribute_baskets(rows, "row_key", _LINEITEM_ATTRS, keep=("grp",))
 
 
 def brand_baskets_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +87,12 @@ def brand_baskets_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baskets_from_rows(rows, "l_orderkey", "p_brand")
 
 
+def part_baskets_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part keys per order (bigint items)."""
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
+    return baskets_from_rows(li, "l_orderkey", "l_partkey")
+
+
 def word_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lower-cased words per document."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

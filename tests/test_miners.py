@@ -58,7 +58,7 @@ def test_f5_min_count_2(spark):
 def test_f5_ratio_041_gives_min_count_3(spark):
     b = make_baskets(spark, F5)
     assert len(as_dict(frequent_itemsets_fp(b, min_ratio=0.41))) == 5
-    assert len(as_dict(frequent_itemsets_son(b, min_ratio=0.41, chunks=2))) == 5
+    assert len(as_dict(frequent_itemsets_son(b, min_ratio=0.41, chunk_rows=3))) == 5
 
 
 def test_f5_rules(spark):
@@ -101,7 +101,7 @@ def test_fap_frequent_closed_and_rules(spark):
     assert {round(r.confidence, 6) for r in rules} <= {0.75, 1.0}
     ap = frequent_itemsets_apriori(b, min_ratio=0.7)
     assert as_dict(ap.where("is_frequent")) == as_dict(freq)
-    assert as_dict(frequent_itemsets_son(b, min_ratio=0.7, chunks=2)) == as_dict(freq)
+    assert as_dict(frequent_itemsets_son(b, min_ratio=0.7, chunk_rows=2)) == as_dict(freq)
 
 
 def test_expand_subsets_of_closed_gives_frequent(spark):
