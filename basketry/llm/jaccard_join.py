@@ -11,10 +11,15 @@ and leaves a subtree when the overlap so far and the lengths left on both sides
 cannot reach the threshold. Links between sets that are connected already are
 not looked for.
 
+Before any sets are moved, lists are cut down losslessly: a pair is left out
+where the place of its first common shingle, or the sum over 128 classes of the
+smaller of both counts of shingles, shows that its overlap cannot be enough.
+
 Equal sets are one set from the start. A shingle that very many sets have in
 their prefix is dealt out to cells of two parts each, so that every pair still
-meets and no list grows without bound. Large lists are first tried with one
-pivot each; lists whose sets are all connected by then need no further work.
+meets and no list grows without bound. Each set is first tried with the smallest
+sets of some of its lists; lists whose sets are all connected by then need no
+further work.
 
 Words are lower-cased (A-Z) runs of [^\x20\x09-\x0D]. Sets and shingles are
 known by 64-bit hashes. Defined results: a null or empty text, or one without
@@ -39,14 +44,18 @@ SHINGLE = 5
 PERCENT = 80
 #: Document counts are kept in 2^COUNT_BITS buckets.
 COUNT_BITS = 20
-#: Prefix entries per group of the index, sets per part of a frequent shingle,
-#: and the size from which a list is tried with a pivot first.
-ENTRIES, PART, LARGE = 400_000, 20_000, 16
-#: Large lists that a set is tried in with their pivots.
-PIVOTS = 4
+#: Prefix entries per group of the index, and sets per part of a frequent shingle.
+ENTRIES, PART = 400_000, 20_000
+#: Pivots that a set is tried with before all else.
+PIVOTS = 2
+#: Lists with the same smallest set are worked on together up to so many sets.
+HOME = 4096
 #: Bytes of sets per group of lists.
 LIST_BYTES = 24 << 20
-_ENTRY = np.dtype([("shingle", "<u8"), ("set", "<u8"), ("n", "<i4")])
+_ENTRY = np.dtype([("shingle", "<u8"), ("set", "<u8"), ("n", "<i4"), ("place", "<i4")])
+#: Counts of a set's shingles in so many classes (up to 255 each) bound any
+#: overlap; lists of up to MATRIX sets are cut down by that bound.
+CLASSES, MATRIX = 128, 512
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray):
@@ -90,26 +99,29 @@ def _scan(batches):
     """One row per text (its set and size) and, at the end of the partition,
     the shingle counts of its texts in 64 parts."""
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    names = ["doc_id", "set", "n", "part", "counts"]
+    names = ["doc_id", "set", "n", "classes", "part", "counts"]
     id_type = None
     for batch in batches:
         id_type = batch.schema.field(0).type
-        sets, sizes = [], []
+        sets, sizes, classes = [], [], []
         for _, data, offsets in C.chunks(batch.column(1)):
             h, bounds, key = text_sets(data, offsets)
             counts += np.bincount(_buckets(h), minlength=1 << COUNT_BITS)
             sets.append(key.view(np.int64))
             sizes.append(np.diff(bounds))
+            text = np.repeat(np.arange(len(key)), sizes[-1])
+            per = np.bincount(text * CLASSES + (h % np.uint64(CLASSES)).astype(np.int64), minlength=len(key) * CLASSES)
+            classes += [x.tobytes() for x in np.minimum(per, 255).astype(np.uint8).reshape(-1, CLASSES)]
         if sets:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(sets)), pa.array(np.concatenate(sizes)),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                 pa.array(classes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     if id_type is not None:
         parts = [x.astype(np.int32).tobytes() for x in np.split(counts, 64)]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(64, id_type), pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()),
-             pa.array(np.arange(64, dtype=np.int32)), pa.array(parts, pa.binary())], names=names)
+             pa.nulls(64, pa.binary()), pa.array(np.arange(64, dtype=np.int32)), pa.array(parts, pa.binary())], names=names)
 
 
 def _add_counts(key, table):
@@ -166,7 +178,7 @@ def _index(shared, groups: int):
                 text = np.repeat(np.arange(len(n)), prefix)
                 at = np.arange(len(text)) - np.repeat(np.cumsum(prefix) - prefix, prefix) + bounds[text]
                 x = np.zeros(len(text), _ENTRY)
-                x["shingle"], x["set"], x["n"] = h[at], key[text], n[text]
+                x["shingle"], x["set"], x["n"], x["place"] = h[at], key[text], n[text], at - bounds[text]
                 parts = order.parts(x["shingle"])
                 many = np.flatnonzero(parts > 1)
                 if len(many):
@@ -201,8 +213,15 @@ def _lists(key, table):
     start[1:] = ((x["shingle"][1:] != x["shingle"][:-1])
                  | (100 * x["n"][:-1].astype(np.int64) < PERCENT * x["n"][1:].astype(np.int64)))
     edges = np.append(np.flatnonzero(start), len(x))
+    # a pair whose first common shingle this is cannot overlap by more than the rest
+    pairs = np.flatnonzero(np.diff(edges) == 2)
+    n, rest = x["n"].astype(np.int64), (x["n"] - x["place"]).astype(np.int64)
+    a = edges[pairs]
+    hopeless = pairs[np.minimum(rest[a], rest[a + 1]) < least_overlap(n[a], n[a + 1])] if len(pairs) else pairs
+    several = np.diff(edges) > 1
+    several[hopeless] = False
     found = {}
-    for i in np.flatnonzero(np.diff(edges) > 1):
+    for i in np.flatnonzero(several):
         members = x["set"][edges[i]:edges[i + 1]]
         found[members.tobytes()] = members
     rows = list(found.values())
@@ -268,61 +287,100 @@ class Trie:
             stack += [(child, overlap) for child in children]
 
 
-def list_links(names: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, probes: np.ndarray,
-               order: GlobalOrder) -> list[tuple[int, int]]:
-    """Links that connect the sets of one list as far as its probes go; sets
-    with the same root are connected already."""
+class Links:
+    """Links found so far in a group of lists, and the components they make."""
+
+    def __init__(self, names: np.ndarray, roots: np.ndarray):
+        self.node = dict(zip(names.tolist(), roots.tolist()))
+        self.parent: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+
+    def find(self, name: int) -> int:
+        x, parent = self.node[name], self.parent
+        while x in parent:
+            up = parent[x]
+            if up in parent:
+                parent[x] = parent[up]
+            x = up
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        self.found.append((a, b))
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.parent[x] = y
+
+
+def list_links(names: list[int], sets: list[np.ndarray], probes: list[bool], order: GlobalOrder, links: Links) -> None:
+    """Add the links that connect the sets of one list, as far as its probes go."""
+    if len({links.find(n) for n in names}) == 1:
+        return
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     distinct, ranks = np.unique(np.concatenate(sets), return_inverse=True)
     place = np.empty(len(distinct), np.int64)
     place[np.lexsort((distinct, order.counts[_buckets(distinct)]))] = np.arange(len(distinct))
     ranked = [np.sort(place[ranks[a:b]]) for a, b in zip(at[:-1], at[1:])]
     trie = Trie(ranked)
-    component = np.unique(roots, return_inverse=True)[1].tolist()
-    parent = list(range(max(component) + 1))
-
-    def find(member: int) -> int:
-        x = component[member]
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
     for p in np.flatnonzero(probes).tolist():
         def skip(members):
-            own = find(p)
-            return all(find(m) == own for m in members)
+            own = links.find(names[p])
+            return all(links.find(names[m]) == own for m in members)
 
-        def link(member):
-            out.append((int(names[p]), int(names[member])))
-            parent[find(member)] = find(p)
-
-        trie.link(ranked[p], len(distinct), skip, link)
-    return out
+        trie.link(ranked[p], len(distinct), skip, lambda m: links.add(names[p], names[m]))
 
 
 def _join_lists(shared):
-    """Links (a, b) of the lists of a group."""
+    """Links (a, b) of the lists of a group: rows with shingles give the sets,
+    rows with a list its members."""
     def run(key, table):
         order = shared.value
-        lists = table["list"].to_numpy()
-        names, roots = table["set"].to_numpy(), table["root"].to_numpy()
-        probes, shingles = table["probe"].to_numpy(), table["shingles"].combine_chunks()
-        by = np.lexsort((names, lists))
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(lists[by])) + 1, [len(by)]])
-        links = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            rows = by[a:b]
-            rows = rows[np.append(True, np.diff(names[rows]) != 0)]
-            if len(rows) > 1:
-                sets = [np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in rows]
-                links += list_links(names[rows], sets, roots[rows], probes[rows], order)
-        return pa.Table.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()),
-                                     "b": pa.array([x[1] for x in links], pa.int64())})
+        held = np.asarray(table["shingles"].is_valid())
+        given = table.filter(pa.array(held))
+        sets = {n: np.frombuffer(x.as_buffer(), np.uint64)
+                for n, x in zip(given["set"].to_pylist(), given["shingles"])}
+        rows = table.filter(pa.array(~held)).sort_by([("list", "ascending"), ("set", "ascending")])
+        lists, names = rows["list"].to_numpy(), rows["set"].to_numpy()
+        probes = np.asarray(rows["probe"])
+        links = Links(names, rows["root"].to_numpy())
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if b - a > 1:
+                own = names[a:b].tolist()
+                list_links(own, [sets[n] for n in own], probes[a:b].tolist(), order, links)
+        return pa.Table.from_pydict({"a": pa.array([x[0] for x in links.found], pa.int64()),
+                                     "b": pa.array([x[1] for x in links.found], pa.int64())})
     return run
 
 
+def _possible(key, table):
+    """The members of each list that have a possible partner, by their sizes and
+    class counts, and the list's smallest member."""
+    table = table.sort_by([("list", "ascending"), ("set", "ascending")])
+    lists, n = table["list"].to_numpy(), table["n"].to_numpy()
+    classes = np.frombuffer(b"".join(x.as_buffer() for x in table["classes"]), np.uint8).reshape(-1, CLASSES)
+    full = (classes == 255).any(axis=1)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
+    keep = np.zeros(len(lists), bool)
+
+    def possible(i, j):
+        shared = np.minimum(classes[i], classes[j]).sum(axis=-1, dtype=np.int64)
+        return full[i] | full[j] | (shared >= least_overlap(n[i], n[j]))
+
+    size = np.diff(edges)
+    two = edges[:-1][size == 2]
+    keep[two] = keep[two + 1] = possible(two, two + 1)
+    for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
+        if b - a > MATRIX:
+            keep[a:b] = True
+        else:
+            rows = np.arange(a, b)
+            keep[a:b] = [possible(i, rows[rows != i]).any() for i in range(a, b)]
+    left, kept_lists = table["set"].to_numpy()[keep], lists[keep]
+    first = np.append(True, kept_lists[1:] != kept_lists[:-1])[:len(left)]
+    low = left[first][np.cumsum(first) - 1] if len(left) else left
+    return pa.Table.from_pydict({"list": pa.array(kept_lists), "set": pa.array(left), "low": pa.array(low)})
+
+
 def _sets_of(shared):
     """(doc_id, set, shingles) of the documents that a bit table lets through."""
     def run(batches):
@@ -343,20 +401,30 @@ def _sets_of(shared):
 
 
 def _links_of(docs: DataFrame, members: DataFrame, chosen: DataFrame, shared, name: str) -> DataFrame:
-    """Links within lists; ``members`` has (list, set, root, probe), ``chosen``
-    one document of each set."""
+    """Links within lists; ``members`` has (list, low, set, root, probe),
+    ``chosen`` one document of each set. Lists with the same smallest set (low)
+    have one home, unless that would hold too many sets, and a set goes once to
+    each group of homes."""
     spark = docs.sparkSession
-    members = C.stored(members.join(chosen, "set"), f"{name}_members")
-    bits = spark.sparkContext.broadcast(C.BitTable(members.select(F.xxhash64("chosen")).distinct()))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "text").mapInArrow(
-        _sets_of(bits), f"doc_id {id_type}, set long, shingles binary")
-    total = members.agg(F.sum(8 * F.col("n"))).collect()[0][0] or 0
+    members = C.stored(members, f"{name}_members")
+    many = (members.select("low", "set").distinct().groupBy("low").count().where(F.col("count") > HOME)
+            .select("low", F.lit(True).alias("many")))
+    members = members.join(many, "low", "left").withColumn(
+        "home", F.when(F.col("many"), F.col("list")).otherwise(F.col("low")))
+    needed = C.stored(members.select("set").distinct().join(chosen, "set"), f"{name}_sets")
+    total = members.select("home", "set").distinct().join(needed, "set").agg(F.sum(8 * F.col("n"))).collect()[0][0] or 0
     groups = max(1, -(-int(total) // LIST_BYTES))
-    spread = (members.join(sets, (members["set"] == sets["set"]) & members["chosen"].eqNullSafe(sets["doc_id"]))
-              .select(F.pmod(F.xxhash64("list"), F.lit(groups)).cast("int").alias("group"), "list", members["set"],
-                      "root", "probe", "shingles"))
-    return C.stored(spread.groupBy("group").applyInArrow(_join_lists(shared), "a long, b long"), f"{name}_links")
+    group = F.pmod(F.xxhash64("home"), F.lit(groups)).cast("int").alias("group")
+    bits = spark.sparkContext.broadcast(C.BitTable(needed.select(F.xxhash64("chosen"))))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    sets = (docs.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "text")
+            .mapInArrow(_sets_of(bits), f"doc_id {id_type}, set long, shingles binary").alias("s"))
+    wanted = members.select(group, "set").distinct().join(needed, "set").alias("w")
+    payload = (wanted.join(sets, (F.col("w.set") == F.col("s.set")) & F.col("w.chosen").eqNullSafe(F.col("s.doc_id")))
+               .select("group", "w.set", "shingles"))
+    rows = members.select(group, "list", "set", "root", "probe")
+    both = rows.unionByName(payload, allowMissingColumns=True)
+    return C.stored(both.groupBy("group").applyInArrow(_join_lists(shared), "a long, b long"), f"{name}_links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -366,8 +434,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scanned = C.stored(docs.mapInArrow(
-        _scan, f"doc_id {id_type}, set long, n long, part int, counts binary"), "jaccard_sets")
-    texts = scanned.where(F.col("part").isNull()).select("doc_id", "set", "n")
+        _scan, f"doc_id {id_type}, set long, n long, classes binary, part int, counts binary"), "jaccard_sets")
+    texts = scanned.where(F.col("part").isNull()).select("doc_id", "set", "n", "classes")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for row in (scanned.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part")
                 .applyInArrow(_add_counts, "part int, counts binary").collect()):
@@ -377,33 +445,40 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = C.stored(docs.select("text").mapInArrow(_index(order, groups), "part int, entries binary")
                      .groupBy("part").applyInArrow(_lists, "list long, sets array<long>")
                      .dropDuplicates(["list"]), "jaccard_lists")
-    chosen = texts.where(F.col("set") != 0).groupBy("set").agg(F.min("doc_id").alias("chosen"), F.max("n").alias("n"))
+    filled = texts.where(F.col("set") != 0)
+    chosen = filled.groupBy("set").agg(F.min("doc_id").alias("chosen"), F.max("n").alias("n"))
+    counted = filled.groupBy("set").agg(F.max("n").alias("n"), F.first("classes").alias("classes"))
 
-    # large lists: one pivot each, and each set in a few of them
+    # the members with a possible partner
     member = F.explode("sets").alias("set")
-    large = lists.where(F.size("sets") > LARGE).select(
-        "list", F.element_at("sets", F.pmod("list", F.size("sets")).cast("int") + 1).alias("pivot"), member)
-    place = F.row_number().over(Window.partitionBy("set").orderBy("list"))
-    tried = large.withColumn("place", place).where(F.col("place") <= PIVOTS)
-    stars = (tried.select("list", "set", "pivot").union(tried.select("list", "pivot", "pivot").distinct()).distinct()
-             .select("list", "set", F.col("set").alias("root"), (F.col("set") == F.col("pivot")).alias("probe")))
+    groups = max(1, int(lists.agg(F.sum(F.size("sets"))).collect()[0][0] or 0) * 2 * CLASSES // LIST_BYTES)
+    members = C.stored(lists.select("list", member).join(counted, "set")
+                       .withColumn("group", F.pmod(F.xxhash64("list"), F.lit(groups)).cast("int"))
+                       .groupBy("group").applyInArrow(_possible, "list long, set long, low long"), "jaccard_members")
+
+    # each set with some of the smallest sets of its lists
+    place = F.row_number().over(Window.partitionBy("set").orderBy("low"))
+    tried = (members.where(F.col("set") != F.col("low")).select("low", "set").distinct()
+             .withColumn("place", place).where(F.col("place") <= PIVOTS).select("low", "set"))
+    stars = tried.union(tried.select("low", F.col("low").alias("set")).distinct()).select(
+        F.col("low").alias("list"), "low", "set", F.col("set").alias("root"), (F.col("set") == F.col("low")).alias("probe"))
     found = _links_of(docs, stars, chosen, order, "star")
     roots = connected_components(found)
 
     # the lists that are not connected by now: all but the largest component probe
-    joined = (lists.select("list", member).join(roots, F.col("set") == F.col("node"), "left")
-              .select("list", "set", F.coalesce("root", "set").alias("root")))
+    joined = (members.join(roots, F.col("set") == F.col("node"), "left")
+              .select("list", "low", "set", F.coalesce("root", "set").alias("root")))
     sizes = joined.groupBy("list", "root").count()
     split = sizes.groupBy("list").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("most"))
-    members = joined.join(split.where("roots > 1").select("list", F.col("most.root").alias("largest")), "list").select(
-        "list", "set", "root", (F.col("root") != F.col("largest")).alias("probe"))
-    rest = _links_of(docs, members, chosen, order, "list")
+    rest = joined.join(split.where("roots > 1").select("list", F.col("most.root").alias("largest")), "list").select(
+        "list", "low", "set", "root", (F.col("root") != F.col("largest")).alias("probe"))
+    rest = _links_of(docs, rest, chosen, order, "list")
     roots = connected_components(found.union(rest))
 
     of_set = (chosen.join(roots, F.col("set") == F.col("node"), "left")
               .select("set", F.coalesce("root", "set").alias("root"), "chosen"))
     least = of_set.groupBy("root").agg(F.min("chosen").alias("component_id"))
     named = of_set.join(least, "root").select("set", "component_id")
-    return texts.join(named, "set", "left").select(
+    return texts.drop("classes").join(named, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"))
