@@ -38,7 +38,9 @@ GRAM = 32
 #: How far left of an anchor a string through it can start.
 REACH = LENGTH - GRAM
 #: Anchors per group of the index, and anchors folded at a time in a scan.
-ENTRIES, FOLDED = 400_000, 600_000
+ENTRIES, FOLDED = 300_000, 400_000
+#: Records whose suffixes are sorted at a time (a gram's are never parted).
+SORTED = 16_000
 _FIRST_ID = -(1 << 63)
 _PLACE = [("id", "<i8"), ("tie", "<u4"), ("at", "<i4")]
 _ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), *_PLACE, ("left", "u1"), ("right", "u1")])
@@ -356,8 +358,15 @@ def _sorted_suffixes(key, table):
     shared = np.append(False, kept["gram"][1:] == kept["gram"][:-1])
     several = shared | np.append(shared[1:], False)
     found = [spans, covered]
-    if several.any():
-        found.append(covered_by_earlier(kept[several], [data[begin[i]:begin[i] + size[i]] for i in rows[several]]))
+    kept, rows = kept[several], rows[several]
+    # whole grams, about SORTED records at a time
+    gram = np.flatnonzero(np.append(True, kept["gram"][1:] != kept["gram"][:-1]))[:len(kept)]
+    at = 0
+    while at < len(kept):
+        later = gram[gram >= min(at + SORTED, len(kept))]
+        end = int(later[0]) if len(later) else len(kept)
+        found.append(covered_by_earlier(kept[at:end], [data[begin[i]:begin[i] + size[i]] for i in rows[at:end]]))
+        at = end
     return _found(np.concatenate(found), np.zeros(0, np.uint64))
 
 

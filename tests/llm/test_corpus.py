@@ -136,12 +136,12 @@ def jaccard(docs):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
 
 
-@pytest.mark.parametrize("part, large", [(20_000, 16), (3, 2)])
-def test_jaccard_components_against_brute_force(spark, monkeypatch, part, large):
-    """With small parts every frequent shingle is dealt out to cells, and most
-    lists are tried with pivots first."""
+@pytest.mark.parametrize("part, home", [(20_000, 4096), (3, 2)])
+def test_jaccard_components_against_brute_force(spark, monkeypatch, part, home):
+    """With small parts every frequent shingle is dealt out to cells, and with
+    small homes most lists are worked on alone."""
     monkeypatch.setattr(jaccard_join, "PART", part)
-    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "HOME", home)
     rnd = random.Random(8)
     texts = [(i, t) for i, t in dict(x for x in odd_texts() if x[0] is not None).items()]
     for group in range(6):
@@ -173,8 +173,10 @@ def test_trie_links_equal_all_pairs():
         keep = base[rnd.random(40) > 0.12]
         sets.append(np.unique(np.concatenate([keep, rnd.integers(0, 1 << 63, rnd.integers(0, 4)).astype(np.uint64)])))
     sets.append(np.unique(base[:3]))
-    names = np.arange(len(sets))
-    links = jaccard_join.list_links(names, sets, names, np.ones(len(sets), bool), order)
+    names = list(range(len(sets)))
+    found = jaccard_join.Links(np.array(names), np.array(names))
+    jaccard_join.list_links(names, sets, [True] * len(sets), order, found)
+    links = found.found
 
     def similar(a, b):
         n = len(np.intersect1d(a, b))
@@ -202,9 +204,10 @@ def repeats(docs):
                   for r in suffix_dedup.remove_repeats(docs).collect())
 
 
-@pytest.mark.parametrize("folded", [600_000, 40])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, folded):
+@pytest.mark.parametrize("folded, sorted_", [(400_000, 16_000), (40, 25)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, folded, sorted_):
     monkeypatch.setattr(suffix_dedup, "FOLDED", folded)
+    monkeypatch.setattr(suffix_dedup, "SORTED", sorted_)
     rnd = random.Random(9)
     passage = "".join(rnd.choice("abcdefgh é") for _ in range(700))
     texts = []
