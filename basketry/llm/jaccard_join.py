@@ -403,8 +403,8 @@ def _sets_of(shared):
 def _links_of(docs: DataFrame, members: DataFrame, chosen: DataFrame, shared, name: str) -> DataFrame:
     """Links within lists; ``members`` has (list, low, set, root, probe),
     ``chosen`` one document of each set. Lists with the same smallest set (low)
-    have one home, unless that would hold too many sets, and a set goes once to
-    each group of homes."""
+    are joined into one, unless that would hold too many sets, so that no pair is
+    compared in list after list; and a set goes once to each group of lists."""
     spark = docs.sparkSession
     members = C.stored(members, f"{name}_members")
     many = (members.select("low", "set").distinct().groupBy("low").count().where(F.col("count") > HOME)
@@ -422,7 +422,8 @@ def _links_of(docs: DataFrame, members: DataFrame, chosen: DataFrame, shared, na
     wanted = members.select(group, "set").distinct().join(needed, "set").alias("w")
     payload = (wanted.join(sets, (F.col("w.set") == F.col("s.set")) & F.col("w.chosen").eqNullSafe(F.col("s.doc_id")))
                .select("group", "w.set", "shingles"))
-    rows = members.select(group, "list", "set", "root", "probe")
+    rows = members.groupBy("home", "set").agg(F.min("root").alias("root"), F.max("probe").alias("probe")).select(
+        group, F.col("home").alias("list"), "set", "root", "probe")
     both = rows.unionByName(payload, allowMissingColumns=True)
     return C.stored(both.groupBy("group").applyInArrow(_join_lists(shared), "a long, b long"), f"{name}_links")
 
