@@ -102,12 +102,15 @@ def _in_order(x: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 def _fold(x: np.ndarray):
     """The earliest record of each surrounding of each gram, ordered by gram,
-    and the spans that all others cover."""
+    and the spans that all others cover. A record that comes again at the same
+    place is of a repeated row, which is the same document: it covers nothing."""
     order = _in_order(x, x["around"], x["gram"])
     x = x[order]
-    later = np.zeros(len(x), bool)
-    later[1:] = (x["gram"][1:] == x["gram"][:-1]) & (x["around"][1:] == x["around"][:-1])
-    return x[~later], _spans(x[later], x["left"][later], x["right"][later].astype(np.int32)), order[~later]
+    again = np.zeros(len(x), bool)
+    again[1:] = (x["gram"][1:] == x["gram"][:-1]) & (x["around"][1:] == x["around"][:-1])
+    later = again.copy()
+    later[1:] &= (x["id"][1:] != x["id"][:-1]) | (x["tie"][1:] != x["tie"][:-1]) | (x["at"][1:] != x["at"][:-1])
+    return x[~again], _spans(x[later], x["left"][later], x["right"][later].astype(np.int32)), order[~again]
 
 
 def _spans(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -231,6 +231,20 @@ def test_suffix_dedup_of_odd_rows(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_keeps_one_copy_of_repeated_rows(spark):
+    """Rows repeated with id and text, and no earlier copy, are one document."""
+    rnd = random.Random(4)
+    text, other, shared = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (400, 300, 150))
+    twice = [(1, text), (2, other + shared + other), (None, shared * 2)]
+    once = [(3, text[50:250]), (4, shared + text)]
+    order = [twice[2], *twice[:2], *once]
+    want = {i: (n - len(kept), hashlib.sha256(kept).hexdigest())
+            for (i, _), (n, kept, _) in zip(order, without_repeats([t for _, t in order]))}
+    rows = suffix_dedup.remove_repeats(documents(spark, twice * 2 + once + twice).repartition(3)).collect()
+    assert len(rows) == 11 and all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in rows)
+    assert want[1][0] == 0
+
+
 def test_merge_sort_of_suffixes_and_a_misleading_hash(monkeypatch):
     rnd = random.Random(3)
     strings = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 6))) for _ in range(300)]
