@@ -15,9 +15,10 @@ Before any sets are moved, lists are cut down losslessly: a pair is left out
 where the place of its first common shingle, or the sum over 128 classes of the
 smaller of both counts of shingles, shows that its overlap cannot be enough.
 
-Equal sets are one set from the start. A shingle that very many sets have in
-their prefix is dealt out to cells of two parts each, so that every pair still
-meets and no list grows without bound. Each set is first tried with the smallest
+Equal sets are one set from the start: prefixes are reduced to one per set before
+they are counted and indexed, so copies add nothing to a list. A shingle that very
+many distinct sets have in their prefix is dealt out to cells of two parts each, so
+that every pair still meets and no list grows without bound. Each set is first tried with the smallest
 sets of some of its lists; lists whose sets are all connected by then need no
 further work.
 
@@ -132,22 +133,38 @@ def _add_counts(key, table):
                                  "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def _bucket_counts(table: DataFrame) -> np.ndarray:
+    """The sum of all shingle counts that a stored table holds."""
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for row in (table.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part")
+                .applyInArrow(_add_counts, "part int, counts binary").collect()):
+        counts.reshape(64, -1)[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    return counts
+
+
 class GlobalOrder:
     """Rarest shingles first: by the count of a shingle's bucket, then by hash."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        mean = counts.mean() if len(counts) else 0.0
-        self.noise = mean + 8 * np.sqrt(mean)
 
     def of_texts(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """``h`` is sorted within each text, so a stable sort by count is enough."""
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         return h[np.argsort((text << 40) | self.counts[_buckets(h)], kind="stable")]
 
-    def parts(self, shingles: np.ndarray) -> np.ndarray:
-        """Parts that a shingle's sets are dealt out to."""
-        return 1 + (np.maximum(self.counts[_buckets(shingles)] - self.noise, 0) // PART).astype(np.int64)
+
+class Parts:
+    """Parts that a shingle's sets are dealt out to, by the number of distinct
+    sets with a shingle of its bucket in their prefix."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.size = counts, PART
+        mean = counts.mean() if len(counts) else 0.0
+        self.noise = mean + 8 * np.sqrt(mean)
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        return 1 + (np.maximum(self.counts[_buckets(shingles)] - self.noise, 0) // self.size).astype(np.int64)
 
 
 def least_overlap(a, b, percent: int = PERCENT):
@@ -155,6 +172,43 @@ def least_overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _prefixes(shared):
+    """A row (set, n, prefix) per text: the first shingles of its ordered set."""
+    def run(batches):
+        order = shared.value
+        for batch in batches:
+            for _, data, offsets in C.chunks(batch.column(0)):
+                h, bounds, key = text_sets(data, offsets)
+                h = order.of_texts(h, bounds)
+                n = np.diff(bounds)
+                prefix = np.where(n > 0, n - (-(-PERCENT * n // 100)) + 1, 0)
+                # a copy within the chunk is left out at once
+                first = np.unique(key, return_index=True)[1]
+                first = first[key[first] != 0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[first].view(np.int64)), pa.array(n[first]),
+                     pa.array([h[a:a + k].tobytes() for a, k in zip(bounds[first].tolist(), prefix[first].tolist())],
+                              pa.binary())], names=["set", "n", "prefix"])
+    return run
+
+
+def _count_prefixes(batches):
+    """The rows as they are and, at the end of the partition, the counts of
+    their prefix shingles in 64 parts."""
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    names, some = ["set", "n", "prefix", "part", "counts"], False
+    for batch in batches:
+        some, m = True, batch.num_rows
+        h = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(2)), np.uint64)
+        np.add.at(counts, _buckets(h), 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+    if some:
+        parts = [x.astype(np.int32).tobytes() for x in np.split(counts, 64)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.nulls(64, pa.binary()),
+             pa.array(np.arange(64, dtype=np.int32)), pa.array(parts, pa.binary())], names=names)
+
+
 def _index(shared, groups: int):
     """Rows (part, entries): the prefix entries of all sets, dealt out by shingle."""
     def flush(held):
@@ -168,33 +222,30 @@ def _index(shared, groups: int):
                                            "entries": pa.array([v for _, v in keep], pa.binary())})
 
     def run(batches):
-        order, held, size = shared.value, [], 0
+        parts_of, held, size = shared.value, [], 0
         for batch in batches:
-            for _, data, offsets in C.chunks(batch.column(0)):
-                h, bounds, key = text_sets(data, offsets)
-                h = order.of_texts(h, bounds)
-                n = np.diff(bounds)
-                prefix = np.where(n > 0, n - (-(-PERCENT * n // 100)) + 1, 0)
-                text = np.repeat(np.arange(len(n)), prefix)
-                at = np.arange(len(text)) - np.repeat(np.cumsum(prefix) - prefix, prefix) + bounds[text]
-                x = np.zeros(len(text), _ENTRY)
-                x["shingle"], x["set"], x["n"], x["place"] = h[at], key[text], n[text], at - bounds[text]
-                parts = order.parts(x["shingle"])
-                many = np.flatnonzero(parts > 1)
-                if len(many):
-                    # every pair of parts is a cell, with a shingle of its own
-                    cells = np.repeat(x[many], parts[many])
-                    width = np.repeat(parts[many], parts[many])
-                    other = np.arange(len(cells)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
-                    own = (cells["set"] % width.astype(np.uint64)).astype(np.int64)
-                    low, high = np.minimum(own, other), np.maximum(own, other)
-                    cells["shingle"] = C.mix(cells["shingle"] + C.mix((low * width + high + 1).astype(np.uint64)))
-                    x = np.concatenate([np.delete(x, many), cells])
-                held.append(x)
-                size += len(x)
-                if size >= 1_000_000:
-                    yield flush(held)
-                    held, size = [], 0
+            h = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(2)), np.uint64)
+            prefix = np.array([len(x.as_buffer()) // 8 for x in batch.column(2)], np.int64)
+            text = np.repeat(np.arange(len(prefix)), prefix)
+            x = np.zeros(len(text), _ENTRY)
+            x["shingle"], x["set"] = h, batch.column(0).to_numpy().view(np.uint64)[text]
+            x["n"], x["place"] = batch.column(1).to_numpy()[text], np.arange(len(text)) - (np.cumsum(prefix) - prefix)[text]
+            parts = parts_of(x["shingle"])
+            many = np.flatnonzero(parts > 1)
+            if len(many):
+                # every pair of parts is a cell, with a shingle of its own
+                cells = np.repeat(x[many], parts[many])
+                width = np.repeat(parts[many], parts[many])
+                other = np.arange(len(cells)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
+                own = (cells["set"] % width.astype(np.uint64)).astype(np.int64)
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                cells["shingle"] = C.mix(cells["shingle"] + C.mix((low * width + high + 1).astype(np.uint64)))
+                x = np.concatenate([np.delete(x, many), cells])
+            held.append(x)
+            size += len(x)
+            if size >= 1_000_000:
+                yield flush(held)
+                held, size = [], 0
         if held:
             yield flush(held)
     return run
@@ -437,13 +488,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scanned = C.stored(docs.mapInArrow(
         _scan, f"doc_id {id_type}, set long, n long, classes binary, part int, counts binary"), "jaccard_sets")
     texts = scanned.where(F.col("part").isNull()).select("doc_id", "set", "n", "classes")
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in (scanned.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part")
-                .applyInArrow(_add_counts, "part int, counts binary").collect()):
-        counts.reshape(64, -1)[row["part"]] = np.frombuffer(row["counts"], np.int64)
-    order = spark.sparkContext.broadcast(GlobalOrder(counts))
-    groups = max(1, int(counts.sum()) * (100 - PERCENT) // 100 // ENTRIES)
-    lists = C.stored(docs.select("text").mapInArrow(_index(order, groups), "part int, entries binary")
+    order = spark.sparkContext.broadcast(GlobalOrder(_bucket_counts(scanned)))
+    prefixes = C.stored(docs.select("text").mapInArrow(_prefixes(order), "set long, n long, prefix binary")
+                        .dropDuplicates(["set"])
+                        .mapInArrow(_count_prefixes, "set long, n long, prefix binary, part int, counts binary"),
+                        "jaccard_prefixes")
+    counts = _bucket_counts(prefixes)
+    parts = spark.sparkContext.broadcast(Parts(counts))
+    groups = max(1, int(counts.sum()) // ENTRIES)
+    lists = C.stored(prefixes.where(F.col("part").isNull()).select("set", "n", "prefix")
+                     .mapInArrow(_index(parts, groups), "part int, entries binary")
                      .groupBy("part").applyInArrow(_lists, "list long, sets array<long>")
                      .dropDuplicates(["list"]), "jaccard_lists")
     filled = texts.where(F.col("set") != 0)

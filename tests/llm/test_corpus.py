@@ -157,6 +157,27 @@ def test_jaccard_components_against_brute_force(spark, monkeypatch, part, home):
     assert jaccard(documents(spark, texts)) == components(texts)
 
 
+def test_jaccard_copies_add_nothing_to_the_index(spark, monkeypatch):
+    """However many copies there are, the index and the counts that deal shingles
+    out to cells hold one of each set."""
+    tables, stored = {}, common.stored
+
+    def kept(df, name):
+        tables[name] = stored(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(common, "stored", kept)
+    monkeypatch.setattr(jaccard_join, "PART", 3)
+    base = [f"w{k}" for k in range(40)]
+    texts = [(i, " ".join(base)) for i in range(60)] + [(60 + i, " ".join(base[:-1] + [f"x{i}"])) for i in range(2)]
+    assert jaccard(documents(spark, texts).repartition(5)) == components(texts)
+    prefixes = tables["jaccard_prefixes"]
+    assert prefixes.where("part is null").count() == prefixes.select("set").distinct().where("set is not null").count() == 3
+    counts = jaccard_join._bucket_counts(prefixes)
+    assert counts.sum() == 3 * 8 and counts.max() <= 3 and (jaccard_join.Parts(counts)(
+        np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)) == 1).all()
+
+
 def test_jaccard_of_repeats_nulls_and_empty(spark):
     rows = jaccard_join.jaccard_components(documents(spark, odd_texts()))
     assert rows.count() == len(odd_texts())
