@@ -19,8 +19,8 @@ Equal sets are one set from the start: prefixes are reduced to one per set befor
 they are counted and indexed, so copies add nothing to a list. A shingle that very
 many distinct sets have in their prefix is dealt out to cells of two parts each, so
 that every pair still meets and no list grows without bound. Each set is first tried with the smallest
-sets of some of its lists; lists whose sets are all connected by then need no
-further work.
+sets of some of its lists, and those of a pivot that very many sets have are dealt out to
+several lists; lists whose sets are all connected by then need no further work.
 
 Words are lower-cased (A-Z) runs of [^\x20\x09-\x0D]. Sets and shingles are
 known by 64-bit hashes. Defined results: a null or empty text, or one without
@@ -479,6 +479,24 @@ def _links_of(docs: DataFrame, members: DataFrame, chosen: DataFrame, shared, na
     return C.stored(both.groupBy("group").applyInArrow(_join_lists(shared), "a long, b long"), f"{name}_links")
 
 
+def _stars(tried: DataFrame) -> DataFrame:
+    """The lists of pivots: each set of ``tried`` (low, set) with its pivot low,
+    which alone probes. The sets of a pivot that many have are dealt out to
+    lists of about HOME / 2, and the pivot is sent to each, so no link is lost."""
+    tried = C.stored(tried, "tried")
+    hot = tried.groupBy("low").count().where(F.col("count") >= HOME).select(
+        "low", F.ceil(F.col("count") * 2 / HOME).cast("long").alias("chunks"))
+    dealt = tried.join(hot, "low", "left").select(
+        "low", "set", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("set"), "chunks")).alias("chunk"))
+    pivots = tried.select("low").distinct().join(hot, "low", "left").select(
+        "low", F.col("low").alias("set"),
+        F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(None).cast("long")))
+                  .otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).alias("chunk"))
+    name = F.when(F.col("chunk").isNull(), F.col("low")).otherwise(F.xxhash64("low", "chunk"))
+    return dealt.union(pivots).select(
+        name.alias("list"), "low", "set", F.col("set").alias("root"), (F.col("set") == F.col("low")).alias("probe"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach."""
     spark = docs.sparkSession
@@ -515,8 +533,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("set").orderBy("low"))
     tried = (members.where(F.col("set") != F.col("low")).select("low", "set").distinct()
              .withColumn("place", place).where(F.col("place") <= PIVOTS).select("low", "set"))
-    stars = tried.union(tried.select("low", F.col("low").alias("set")).distinct()).select(
-        F.col("low").alias("list"), "low", "set", F.col("set").alias("root"), (F.col("set") == F.col("low")).alias("probe"))
+    stars = _stars(tried)
     found = _links_of(docs, stars, chosen, order, "star")
     roots = connected_components(found)
 

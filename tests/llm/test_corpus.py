@@ -178,6 +178,36 @@ def test_jaccard_copies_add_nothing_to_the_index(spark, monkeypatch):
         np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)) == 1).all()
 
 
+def test_jaccard_deals_out_the_sets_of_a_hot_pivot(spark, monkeypatch):
+    """No list that is worked on at a time holds all near copies of a group."""
+    worked, stored = [], common.stored
+
+    def kept(df, name):
+        if name == "star_links":
+            worked.append(rows.pop())
+        return stored(df, name)
+
+    rows, links_of = [], jaccard_join._links_of
+
+    def seen(docs, members, chosen, shared, name):
+        members = stored(members, "seen")
+        if name == "star":
+            rows.append(members)
+        return links_of(docs, members, chosen, shared, name)
+
+    monkeypatch.setattr(common, "stored", kept)
+    monkeypatch.setattr(jaccard_join, "_links_of", seen)
+    monkeypatch.setattr(jaccard_join, "HOME", 16)
+    base = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(120)] + [(500, "a b c d e f"), (501, "a b c d e f")]
+    assert jaccard(documents(spark, texts)) == components(texts)
+    stars = worked[0]
+    sizes = [r["count"] for r in stars.groupBy("list").count().collect()]
+    assert sum(sizes) > 120 and max(sizes) <= 24
+    lists = {r["list"] for r in stars.where("probe").select("list").collect()}
+    assert lists == {r["list"] for r in stars.select("list").collect()}
+
+
 def test_jaccard_of_repeats_nulls_and_empty(spark):
     rows = jaccard_join.jaccard_components(documents(spark, odd_texts()))
     assert rows.count() == len(odd_texts())
