@@ -5,7 +5,10 @@ is not used again. DataFrame functions only.
 
 A line that does not end a sentence continues in a next line that starts with a
 small letter, a bracket or a quote; sentences end at line ends, at . ! ? before
-white space, and at a colon before white space and a capital. Normal form: A-Z in lower case, every run of other characters than
+white space, and at a colon before white space and a capital. A known sentence may
+also run over several lines, whatever their breaks, indentation, blank lines and
+comment marks (# * // and the like), but starts and ends where a sentence does; the
+longest known sentence counts. Normal form: A-Z in lower case, every run of other characters than
 a-z0-9 one blank, no blank at the ends. Defined results: a null or empty text has
 no sentences and no licence; unknown sentences stand between known ones without
 parting them; a licence found several times is listed once; repeated rows give a
@@ -101,18 +104,26 @@ def normalised(sentence: str) -> str:
     return re.sub(NOT_ALNUM, " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip(" ")
 
 
+#: Ends a sentence within a line.
+MARK = "\x01"
+#: Any known sentence from the start of a sentence or line to the end of one, the longest first.
+KNOWN = (f"(?<![^\n{MARK}])(?:" + "|".join(
+    normalised(s).replace(" ", "[ \n]") for s in sorted(SENTENCES.values(), key=lambda s: -len(normalised(s))))
+    + f")(?![^\n{MARK}])")
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (normalised(s), name)])
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), CONTINUED, "$1 $2")
-    ended = F.regexp_replace(F.regexp_replace(joined, SENTENCE_END, "$1\n"), LIST_START, ":\n$1")
-    sentences = F.split(ended, "\n")
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(
-        F.translate(s, UPPER, LOWER), NOT_ALNUM, " ")))
-    # no known sentence is shorter or longer than these
-    lengths = [len(normalised(s)) for s in SENTENCES.values()]
-    likely = F.filter(normal, lambda s: F.length(s).between(min(lengths), max(lengths)))
-    return F.filter(F.transform(likely, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    # a mark that no text holds stands for the end of a sentence within a line
+    given = F.translate(F.coalesce(text, F.lit("")), MARK, "\x02")
+    joined = F.regexp_replace(given, CONTINUED, "$1 $2")
+    ended = F.regexp_replace(F.regexp_replace(joined, SENTENCE_END, "$1" + MARK), LIST_START, ":" + MARK + "$1")
+    # comment marks and indentation are blanks by then, and lines without words go
+    normal = F.regexp_replace(F.translate(ended, UPPER, LOWER), f"[^a-z0-9\n{MARK}]+", " ")
+    lines = F.trim(F.regexp_replace(F.regexp_replace(normal, " *\n[ \n]*", "\n"), f"[ \n]*{MARK}[ \n{MARK}]*", MARK))
+    found = F.regexp_extract_all(lines, F.lit(KNOWN), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
 
 
 def matched_rules(ids: Column) -> Column:

@@ -145,3 +145,59 @@ def test_licence_rules(spark):
     got = {r.doc_id: r.licenses for r in licenses.license_report(documents(spark, texts)).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0,GPL-3.0-only", 4: "", 5: "", 6: "", 7: "BSD-2-Clause", 8: ""}
     assert licenses.license_report(empty(spark)).count() == 0
+
+
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+}
+
+
+def test_published_licence_headers_in_their_own_layout(spark):
+    parts = {"Apache-2.0": ["apache-1", "apache-2", "apache-3", "apache-4"], "MIT": ["mit-1", "mit-2", "mit-3"],
+             "GPL-3.0-or-later": ["gpl3-1", "gpl-2", "gpl-3"]}
+    texts, want = [], {}
+    for name, header in HEADERS.items():
+        lines = header.split("\n")
+        for layout in (header, "\r\n".join(lines), "\n".join("    " + x for x in lines),
+                       "\n".join("# " + x for x in lines), "\n".join("// " + x for x in lines),
+                       "/*\n" + "\n".join(" * " + x for x in lines) + "\n */\nint main() {}",
+                       "Copyright 2020 Someone\n\n" + header + "\n\nimport os"):
+            want[len(texts)] = (",".join(parts[name]), name)
+            texts.append((len(texts), layout))
+    want[len(texts)] = ("", "")
+    texts.append((len(texts), "This text is not\nlicensed under the MIT License."))
+    rows = licenses.license_report(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.sentences, r.licenses) for r in rows} == want
