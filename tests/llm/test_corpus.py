@@ -132,6 +132,21 @@ def test_packing_prefers_neighbours():
     assert pure >= 16
 
 
+def test_packing_fills_windows_of_short_texts_with_neighbours():
+    """Forty texts a window, whose 34 heaviest terms are their own."""
+    own = np.arange(400 * 34).reshape(400, 34) + 2000
+    topic = np.arange(400) % 2
+    ids = np.concatenate([own, topic[:, None] * 20 + np.arange(16) + 10, np.full((400, 1), packing.END_ID)], axis=1)
+    bounds, flat = np.arange(401) * 51, ids.reshape(-1).astype(np.int64)
+    holding = np.bincount(flat, minlength=16_000)
+    index = packing.Index(flat, bounds, holding, 400, 51.0)
+    assert (index.neighbours(0)[topic == 1] == 0).all() and (index.neighbours(0)[topic == 0] > 0).all()
+    pieces = packing.pack(flat, bounds, index)
+    assert sum(n for _, _, n, _, _ in pieces) == len(flat)
+    kinds = [{topic[d] for d, _, _, s, _ in pieces if s == q} for q in range(-(-len(flat) // packing.SEQUENCE))]
+    assert sum(len(k) > 1 for k in kinds) <= 1
+
+
 def jaccard(docs):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
 
