@@ -18,7 +18,7 @@ from basketry.plans.evaluate import accuracy
 from basketry.plans.frequent import frequent_itemsets_apriori, frequent_itemsets_son, local_supports
 from basketry.plans.rules import association_rules
 from basketry.sources.baskets import read_baskets, write_baskets
-from conftest import as_dict
+from basket_helpers import as_dict
 
 REPO = str(Path(__file__).resolve().parent.parent)
 

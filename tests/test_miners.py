@@ -11,7 +11,7 @@ from basketry.plans.frequent import (frequent_itemsets_apriori, frequent_itemset
                                      frequent_itemsets_son)
 from basketry.plans.rules import association_rules
 from basketry.operators.candidates import closed_only, expand_subsets
-from conftest import as_dict, digits, make_baskets
+from basket_helpers import as_dict, digits, make_baskets
 
 F5 = [digits(x) for x in "1234 123 34 12 124".split()]
 FM = [digits(x) for x in "1234 123 34 1 24".split()]

@@ -13,7 +13,7 @@ from basketry.plans.closed import closed_itemsets
 from basketry.plans.evaluate import accuracy
 from basketry.plans.frequent import frequent_itemsets_fp
 from basketry.plans.lattice import itemset_lattice, level, reachable_itemsets
-from conftest import as_dict, digits, make_baskets
+from basket_helpers import as_dict, digits, make_baskets
 
 F5 = [digits(x) for x in "1234 123 34 12 124".split()]
 FCL = [{1, 2, 3, 4}, {1, 2, 4, 5, 6}, {1, 2, 3, 4, 5, 6, 10, 123}, {1, 2, 4, 5, 11, 12, 13, 14, 15, 16}]

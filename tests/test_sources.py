@@ -8,7 +8,7 @@ from basketry.sources.baskets import (attribute_baskets, baskets_from_rows, gene
 from basketry.sources.store import read_itemsets, read_sweep, write_itemsets, write_sweep
 from basketry.plans.closed import closed_itemsets
 from basketry.plans.lattice import itemset_lattice
-from conftest import make_baskets
+from basket_helpers import make_baskets
 
 
 def test_read_baskets_drops_empty_tokens(spark, tmp_out):
