@@ -6,7 +6,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from basketry.llm import chat, decontaminate, jaccard_join, licenses, packing, quality, secrets, suffix_dedup, tokens, toxicity
+from basketry.llm import (bpe, chat, decontaminate, jaccard_join, licenses, packing, quality, repair, secrets, suffix_dedup,
+                          tokens, toxicity, whitening)
 from basketry.llm.common import table
 
 # --------------------------------------------------------------------------
@@ -223,6 +224,30 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------------------------
+# 11 embedding whitening
+# --------------------------------------------------------------------------
+
+def op11_whitening(spark, sf_dir):
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+# --------------------------------------------------------------------------
+# 12 BPE encoding and decoding
+# --------------------------------------------------------------------------
+
+def op12_bpe(spark, sf_dir):
+    return bpe.bpe_report(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+# --------------------------------------------------------------------------
+# 13 conversation structure repair
+# --------------------------------------------------------------------------
+
+def op13_conversation_repair(spark, sf_dir):
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -234,6 +259,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_bpe": op12_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL = {
