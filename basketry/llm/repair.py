@@ -48,6 +48,7 @@ ROLES = {"u": "user", "a": "assistant"}
 KEEP, REROLE, DELETE, INSERT, TRUNCATED_COST = 0, 3, 4, 3, 3
 BLANK, DUPLICATE, TRUNCATED = 1, 2, 3
 BLOCK_ROWS, BLOCK_CHARS = 256, 1 << 20
+MOST_CELLS = 1_000
 END = "$"
 SPACES = r"[\x20\x09-\x0D]"
 
@@ -148,14 +149,16 @@ class Stacks:
         return self.fed[cell, token]
 
     def reachable(self) -> list[int]:
-        """All cells that role initials can lead to; the grammar's stacks are few
-        as its lists recurse on the left."""
+        """All cells that role initials can lead to: few, as lists of the grammar
+        recurse on the left."""
         found, todo = [0], [0]
         tokens = sorted({t for (_, t) in self.table.moves if len(t) == 1 and t != END})
         while todo:
             cell = todo.pop()
             for token in tokens:
                 for to in self.feed(cell, token):
+                    if len(found) > MOST_CELLS:
+                        raise ValueError("the grammar's stacks grow without bound: let its lists recurse on the left")
                     if to not in found:
                         found.append(to)
                         todo.append(to)
