@@ -25,7 +25,7 @@ from basketry.operators.sampling import sample_baskets, sample_fraction, sample_
 from basketry.operators.support import (dataset_closure, frequent_among, grouped_closure,
                                         itemset_closure, itemset_support, match_candidates)
 from basketry.plans.approx import approx_closed_itemsets, majority_items, mean_item_support
-from basketry.plans.closed import closed_itemsets, closed_itemsets_fp, closed_itemsets_naive
+from basketry.plans.closed import closed_itemsets, closed_itemsets_fp, closed_itemsets_naive, closed_lattice
 from basketry.plans.evaluate import accuracy, sweep, sweep_report
 from basketry.plans.frequent import (frequent_itemsets_apriori, frequent_itemsets_fp,
                                      frequent_itemsets_son, max_local_support, son_chunk)
@@ -189,6 +189,18 @@ def q_m9_lattice_cover_customer(spark, sf):
     return edges.select(itemset_key("parent").alias("parent"), itemset_key("child").alias("child"))
 
 
+def q_m9_closed_lattice_lineitem(spark, sf):
+    _, edges = closed_lattice(_b(spark, sf, "lineitem"), min_ratio=0.05)
+    return edges.select(itemset_key("parent").alias("parent"), itemset_key("child").alias("child"))
+
+
+def q_m9_closed_lattice_words(spark, sf):
+    nodes, edges = closed_lattice(_b(spark, sf, "words"), min_ratio=0.45)
+    edge = edges.select(F.concat_ws(">", itemset_key("parent"), itemset_key("child")).alias("itemset"),
+                        F.lit(None).cast("long").alias("support"), F.lit(None).cast("int").alias("level"))
+    return _keyed(nodes, "level").unionByName(edge)
+
+
 def q_j5_lattice_edges_lineitem(spark, sf):
     nodes, edges = itemset_lattice(_frequent(spark, sf, "lineitem", 0.05), relation="immediate")
     return edges.select(itemset_key("parent").alias("parent"), itemset_key("child").alias("child"))
@@ -491,7 +503,7 @@ def q_s9_sweep_roundtrip_customer(spark, sf):
     path = scratch_path(spark, "sweep")
     write_sweep(r, path)
     back = read_sweep(spark, path)
-    return back.where(F.col("measure") != "time").select("sweep", "param_label", "param_value",
+    return back.where(~F.col("measure").endswith("time")).select("sweep", "param_label", "param_value",
                                                          "algorithm", "run", "measure",
                                                          _r6(F.col("value")).alias("value"))
 
@@ -512,14 +524,45 @@ def q_m2_approx_closed_customer(spark, sf):
 
 def q_m12_sweep_customer(spark, sf):
     b = _b(spark, sf, "customer")
-    r = sweep(spark, b, "threshold", "ratio", [0.05, 0.1], base={"epsilon": 0.1})
-    return r.where(F.col("measure") != "time").withColumn("value", _r6(F.col("value")))
+    return _untimed(sweep(spark, b, "threshold", "ratio", [0.05, 0.1], base={"epsilon": 0.1}))
+
+
+# Labels of the sweeps' five places, and the epsilon and alpha swept.
+SWEEP_LABELS = ["xsmall", "small", "medium", "large", "xlarge"]
+SWEEP_STEPS = [1e-5, 1e-4, 1e-3, 1e-2, 1e-1]
+SWEEP_BASE = {"ratio": 0.1, "epsilon": 0.001, "alpha": 0.1}
+
+
+def _untimed(results):
+    """The rows of a sweep that a second run repeats."""
+    return results.where(~F.col("measure").endswith("time")).withColumn("value", _r6(F.col("value")))
+
+
+def q_m12_sweep_alpha_customer(spark, sf):
+    return _untimed(sweep(spark, _b(spark, sf, "customer"), "alpha", "alpha", SWEEP_STEPS[::2], base=SWEEP_BASE))
+
+
+def q_m12_sweep_epsilon_customer(spark, sf):
+    return _untimed(sweep(spark, _b(spark, sf, "customer"), "epsilon", "epsilon", SWEEP_STEPS[::2], base=SWEEP_BASE))
+
+
+def q_m12_sweep_size_customer(spark, sf):
+    sizes = [SIZE_FRACTIONS[k] for k in SWEEP_LABELS[::2]]
+    return _untimed(sweep(spark, _b(spark, sf, "customer"), "size", "fraction", sizes, base=SWEEP_BASE))
+
+
+def q_m13_report_epsilon_customer(spark, sf):
+    r = sweep(spark, _b(spark, sf, "customer"), "epsilon", "epsilon", SWEEP_STEPS, base=SWEEP_BASE)
+    rep = sweep_report(r.where(~F.col("measure").endswith("time")), axis=dict(zip(SWEEP_STEPS, SWEEP_LABELS)),
+                       flat=("exact", "fpgrowth"))
+    return rep.select("sweep", "param_label", "param_value", "axis", "place", "measure",
+                      *[_r6(F.col(c)).alias(c) for c in ("exact", "fpgrowth", "sampled")])
 
 
 def q_m13_sweep_report_customer(spark, sf):
     b = _b(spark, sf, "customer")
     r = sweep(spark, b, "threshold", "ratio", [0.05, 0.1], base={"epsilon": 0.1})
-    rep = sweep_report(r.where(F.col("measure") != "time"))
+    rep = sweep_report(r.where(~F.col("measure").endswith("time")))
     return rep.select("sweep", "param_label", "param_value", "measure",
                       *[_r6(F.col(c)).alias(c) for c in ("exact", "fpgrowth", "sampled")])
 
@@ -578,25 +621,30 @@ def _sql(ctes: list[str], final: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + final
 
 
-def _base_ctes(fx: str, ratio: float, p: str = "") -> list[str]:
+def _base_ctes(fx: str, ratio: float, p: str = "", fraction: float = 1.0) -> list[str]:
     bi, n = SQL_BI[fx]
-    return [f"{p}bi AS (SELECT DISTINCT basket_id, item FROM ({bi}) WHERE item IS NOT NULL AND item <> '')",
+    part = ""
+    if fraction < 1.0:
+        # a sweep's data set: md5 buckets of seed 7 (fixtures without empty baskets)
+        part = f" AND {_md5_unit(repr('7:'), 'basket_id')} < {fraction!r} * 4294967296"
+        n = f"SELECT count(DISTINCT basket_id) AS n FROM {p}bi"
+    return [f"{p}bi AS (SELECT DISTINCT basket_id, item FROM ({bi}) WHERE item IS NOT NULL AND item <> ''{part})",
             f"{p}nb AS ({n})",
             f"{p}mc AS (SELECT CAST(ceil({ratio!r} * n - 1e-9) AS BIGINT) AS m FROM {p}nb)"]
 
 
-def _freq_ctes(fx: str, ratio: float, p: str = "", K: int = 8) -> list[str]:
+def _freq_ctes(fx: str, ratio: float, p: str = "", K: int = 8, fraction: float = 1.0) -> list[str]:
     """CTE ``{p}fa(items, size, support)``: all frequent itemsets, level by
     level: each frequent (k-1)-set joins the baskets holding its first item,
     keeps those holding all its items, and counts the larger items they hold."""
-    c = _base_ctes(fx, ratio, p)
+    c = _base_ctes(fx, ratio, p, fraction)
     c.append(f"{p}f1 AS (SELECT item AS i1, count(*) AS support FROM {p}bi GROUP BY item "
              f"HAVING count(*) >= (SELECT m FROM {p}mc))")
     c.append(f"{p}bf AS (SELECT basket_id, item FROM {p}bi WHERE item IN (SELECT i1 FROM {p}f1))")
     c.append(f"{p}cb AS (SELECT basket_id, list_sort(list(item)) AS its FROM {p}bf GROUP BY basket_id)")
     c.append(f"{p}g1 AS (SELECT [i1] AS items, support FROM {p}f1)")
     for k in range(2, K + 1):
-        c.append(f"{p}g{k} AS (SELECT items, count(*) AS support FROM (SELECT list_append(q.items, "
+        c.append(f"{p}g{k} AS MATERIALIZED (SELECT items, count(*) AS support FROM (SELECT list_append(q.items, "
                  f"unnest(list_filter(c.its, lambda e: e > q.items[len(q.items)]))) AS items "
                  f"FROM {p}g{k - 1} q JOIN {p}bf x ON x.item = q.items[1] "
                  f"JOIN {p}cb c ON c.basket_id = x.basket_id WHERE list_has_all(c.its, q.items)) "
@@ -632,19 +680,20 @@ def _sql_rules(fx, ratio, conf):
 def _sql_apriori(fx, ratio, K=6, min_level=1):
     """The Apriori support table: level-1 counts of every item, then for each
     level the prefix-join candidates of the previous frequent level that occur
-    in at least one basket."""
+    in at least one basket: a frequent set with a larger item of a basket that holds it,
+    whose other generating set is frequent too."""
     c = _base_ctes(fx, ratio)
-    c.append("c1 AS (SELECT [item] AS items, count(*) AS support FROM bi GROUP BY item)")
-    c.append("l1 AS (SELECT items FROM c1 WHERE support >= (SELECT m FROM mc))")
-    c.append("bf AS (SELECT basket_id, item FROM bi WHERE [item] IN (SELECT items FROM l1))")
-    c.append("cb AS (SELECT basket_id, list_sort(list(item)) AS its FROM bf GROUP BY basket_id)")
+    c.append("c1 AS MATERIALIZED (SELECT [item] AS items, count(*) AS support FROM bi GROUP BY item)")
+    c.append("l1 AS MATERIALIZED (SELECT items FROM c1 WHERE support >= (SELECT m FROM mc))")
+    c.append("bf AS MATERIALIZED (SELECT basket_id, item FROM bi WHERE [item] IN (SELECT items FROM l1))")
+    c.append("cb AS MATERIALIZED (SELECT basket_id, list_sort(list(item)) AS its FROM bf GROUP BY basket_id)")
     for k in range(2, K + 1):
-        same = " AND ".join([f"a.items[{j}] = b.items[{j}]" for j in range(1, k - 1)] + ["TRUE"])
-        c.append(f"k{k} AS (SELECT list_append(a.items, b.items[{k - 1}]) AS items FROM l{k - 1} a JOIN l{k - 1} b "
-                 f"ON {same} AND a.items[{k - 1}] < b.items[{k - 1}])")
-        c.append(f"c{k} AS (SELECT q.items, count(*) AS support FROM k{k} q JOIN bf x ON x.item = q.items[1] "
-                 f"JOIN cb ON cb.basket_id = x.basket_id WHERE list_has_all(cb.its, q.items) GROUP BY q.items)")
-        c.append(f"l{k} AS (SELECT items FROM c{k} WHERE support >= (SELECT m FROM mc))")
+        other = f"list_append(list_slice(items, 1, {k - 2}), items[{k}])"
+        c.append(f"c{k} AS MATERIALIZED (SELECT items, count(*) AS support FROM (SELECT list_append(q.items, "
+                 f"unnest(list_filter(cb.its, lambda e: e > q.items[{k - 1}]))) AS items "
+                 f"FROM l{k - 1} q JOIN bf x ON x.item = q.items[1] JOIN cb ON cb.basket_id = x.basket_id "
+                 f"WHERE list_has_all(cb.its, q.items)) WHERE {other} IN (SELECT items FROM l{k - 1}) GROUP BY items)")
+        c.append(f"l{k} AS MATERIALIZED (SELECT items FROM c{k} WHERE support >= (SELECT m FROM mc))")
     union = " UNION ALL ".join(f"SELECT items, {k} AS level, support FROM c{k}" for k in range(min_level, K + 1))
     final = (f"SELECT {_KEY} AS itemset, level, support, "
              f"round(CAST(support AS DOUBLE) / (SELECT n FROM nb), 6) AS rel_support, "
@@ -719,7 +768,8 @@ def _sql_approx_small(fx: str, ratio: float, eps: float, alpha: float = 0.1) ->
     return _sql(c, final)
 
 
-def _approx_short_ctes(fx: str, ratio: float, eps: float, alpha: float = 0.1, p: str = "") -> list[str]:
+def _approx_short_ctes(fx: str, ratio: float, eps: float, alpha: float = 0.1, p: str = "",
+                       fraction: float = 1.0) -> list[str]:
     """CTEs ending in ``{p}rc(items, support)``: M2 for short baskets with
     lists. Every closed set of sample 1 is a subset of some sample basket, so
     the candidates are all non-empty subsets of the sample baskets; a
@@ -727,7 +777,7 @@ def _approx_short_ctes(fx: str, ratio: float, eps: float, alpha: float = 0.1, p:
     containing it."""
     def unit(seed):
         return _md5_unit(repr(f"{seed}:"), "basket_id")
-    c = _base_ctes(fx, ratio, p)
+    c = _base_ctes(fx, ratio, p, fraction)
     c += [
         f"{p}bl AS (SELECT basket_id, list_sort(list(item)) AS its FROM {p}bi GROUP BY basket_id)",
         f"{p}fr AS (SELECT m AS t, least({_d(1.0)}, {_size_a('n', 'm', eps, alpha)} / n) AS f FROM {p}mc, {p}nb)",
@@ -771,22 +821,24 @@ def _accuracy_ctes(approx: str, exact: str, p: str) -> list[str]:
         f"(SELECT avg(r) FROM {p}rat) AS approx_alpha_mean)"]
 
 
-def _sweep_rows_sql(fx: str, ratios: list, eps: float = 0.1, alpha: float = 0.1,
+def _sweep_rows_sql(fx: str, sweep_name: str, param: str, values: list, base: dict | None = None,
                     algorithms=("exact", "fpgrowth", "sampled")) -> tuple[list[str], str]:
-    """CTEs and a UNION of the deterministic sweep rows (no timings)."""
+    """CTEs and a UNION of the deterministic sweep rows (no timings), every grid
+    cell mined by itself."""
     ctes, parts = [], []
-    for i, r in enumerate(ratios):
+    for i, v in enumerate(values):
+        cell = {"ratio": 0.7, "epsilon": 0.1, "alpha": 0.1, "fraction": 1.0} | (base or {}) | {param: v}
         e, a = f"e{i}", f"a{i}"
-        ctes += _freq_ctes(fx, r, p=e) + [_closed_cte(e)]
+        ctes += _freq_ctes(fx, cell["ratio"], p=e, K=4, fraction=cell["fraction"]) + [_closed_cte(e)]
         ctes.append(f"{e}ex AS (SELECT items, support FROM {e}fc)")
-        head = f"'threshold' AS sweep, 'ratio' AS param_label, CAST({float(r)!r} AS DOUBLE) AS param_value"
+        head = f"'{sweep_name}' AS sweep, '{param}' AS param_label, CAST({float(v)!r} AS DOUBLE) AS param_value"
         parts.append(f"SELECT {head}, 'exact' AS algorithm, 0 AS run, 'num_cis' AS measure, "
                      f"CAST(count(*) AS DOUBLE) AS value FROM {e}ex")
         if "fpgrowth" in algorithms:
             ctes.append(f"{e}fp AS (SELECT items, support FROM {e}fa)")
             ctes += _accuracy_ctes(f"{e}fp", f"{e}ex", f"{e}f")
         if "sampled" in algorithms:
-            ctes += _approx_short_ctes(fx, r, eps, alpha, p=a)
+            ctes += _approx_short_ctes(fx, cell["ratio"], cell["epsilon"], cell["alpha"], p=a, fraction=cell["fraction"])
             ctes += _accuracy_ctes(f"{a}rc", f"{e}ex", f"{e}s")
         for alg, acc in (("fpgrowth", f"{e}facc"), ("sampled", f"{e}sacc")):
             if alg in algorithms:
@@ -796,6 +848,11 @@ def _sweep_rows_sql(fx: str, ratios: list, eps: float = 0.1, alpha: float = 0.1,
     return ctes, " UNION ALL ".join(parts)
 
 
+def _sql_sweep(*args, **kw):
+    ctes, rows = _sweep_rows_sql(*args, **kw)
+    return _sql(ctes, f"SELECT sweep, param_label, param_value, algorithm, run, measure, round(value, 6) AS value FROM ({rows})")
+
+
 def _oracle() -> dict[str, str]:
     o: dict[str, str] = {}
     o["m1_closed_customer"] = _sql_closed("customer", 0.01)
@@ -824,6 +881,19 @@ def _oracle() -> dict[str, str]:
             "tw AS (SELECT DISTINCT p1.parent, p2.child FROM pr p1 JOIN pr p2 ON p1.child = p2.parent)"],
         "SELECT array_to_string(parent, '|') AS parent, array_to_string(child, '|') AS child FROM pr "
         "WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw.parent = pr.parent AND tw.child = pr.child)")
+    def covers(fx, ratio):
+        return _freq_ctes(fx, ratio) + [
+            _closed_cte(),
+            "pr AS MATERIALIZED (SELECT a.items AS parent, b.items AS child FROM fc a JOIN fc b "
+            "ON a.size < b.size AND list_has_all(b.items, a.items))",
+            "tw AS (SELECT DISTINCT p1.parent, p2.child FROM pr p1 JOIN pr p2 ON p1.child = p2.parent)",
+            "ed AS (SELECT array_to_string(parent, '|') AS parent, array_to_string(child, '|') AS child FROM pr "
+            "WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw.parent = pr.parent AND tw.child = pr.child))"]
+
+    o["m9_closed_lattice_lineitem"] = _sql(covers("lineitem", 0.05), "SELECT parent, child FROM ed")
+    o["m9_closed_lattice_words"] = _sql(
+        covers("words", 0.45), f"SELECT {_KEY} AS itemset, support, CAST(size AS INTEGER) AS level FROM fc UNION ALL "
+                               "SELECT parent || '>' || child, NULL, NULL FROM ed")
     o["j5_lattice_edges_lineitem"] = _sql(
         _freq_ctes("lineitem", 0.05),
         "SELECT array_to_string(a.items, '|') AS parent, array_to_string(b.items, '|') AS child "
@@ -1000,19 +1070,28 @@ def _oracle() -> dict[str, str]:
         f"WHERE {_md5_unit(repr('42:'), "l.label || ':' || CAST(c.basket_id AS VARCHAR)")} < l.f * 4294967296")
     o["m2_approx_closed_events"] = _sql_approx_small("events", 0.01, 0.1)
     o["m2_approx_closed_customer"] = _sql_approx_short("customer", 0.05, 0.1)
-    sw_ctes, sw_rows = _sweep_rows_sql("customer", [0.05, 0.1])
-    o["m12_sweep_customer"] = _sql(
-        sw_ctes, f"SELECT sweep, param_label, param_value, algorithm, run, measure, round(value, 6) AS value "
-                 f"FROM ({sw_rows})")
+    o["m12_sweep_customer"] = _sql_sweep("customer", "threshold", "ratio", [0.05, 0.1])
+    o["m12_sweep_alpha_customer"] = _sql_sweep("customer", "alpha", "alpha", SWEEP_STEPS[::2], SWEEP_BASE)
+    o["m12_sweep_epsilon_customer"] = _sql_sweep("customer", "epsilon", "epsilon", SWEEP_STEPS[::2], SWEEP_BASE)
+    o["m12_sweep_size_customer"] = _sql_sweep("customer", "size", "fraction",
+                                              [SIZE_FRACTIONS[k] for k in SWEEP_LABELS[::2]], SWEEP_BASE)
+    pivot = ", ".join(f"round(avg(CASE WHEN algorithm = '{a}' THEN value END), 6) AS {a}"
+                      for a in ("exact", "fpgrowth", "sampled"))
+    sw_ctes, sw_rows = _sweep_rows_sql("customer", "threshold", "ratio", [0.05, 0.1])
     o["m13_sweep_report_customer"] = _sql(
-        sw_ctes, "SELECT sweep, param_label, param_value, measure, "
-                 + ", ".join(f"round(avg(CASE WHEN algorithm = '{a}' THEN value END), 6) AS {a}"
-                             for a in ("exact", "fpgrowth", "sampled"))
-                 + f" FROM ({sw_rows}) GROUP BY sweep, param_label, param_value, measure")
-    s9_ctes, s9_rows = _sweep_rows_sql("customer", [0.1], algorithms=("exact",))
-    o["s9_sweep_roundtrip_customer"] = _sql(
-        s9_ctes, f"SELECT sweep, param_label, param_value, algorithm, run, measure, round(value, 6) AS value "
-                 f"FROM ({s9_rows})")
+        sw_ctes, f"SELECT sweep, param_label, param_value, measure, {pivot} FROM ({sw_rows}) "
+                 "GROUP BY sweep, param_label, param_value, measure")
+    sw_ctes, sw_rows = _sweep_rows_sql("customer", "epsilon", "epsilon", SWEEP_STEPS, SWEEP_BASE)
+    axis = ", ".join(f"({v!r}::DOUBLE, '{label}', {k})" for k, (v, label) in enumerate(zip(SWEEP_STEPS, SWEEP_LABELS), 1))
+    o["m13_report_epsilon_customer"] = _sql(
+        sw_ctes + [f"sw AS MATERIALIZED ({sw_rows})", f"ax(v, axis, place) AS (VALUES {axis})",
+                   "flat AS (SELECT measure, algorithm, avg(value) AS value FROM sw GROUP BY ALL)"],
+        "SELECT sweep, param_label, param_value, axis, CAST(place AS INTEGER) AS place, sw.measure, "
+        + ", ".join(f"round((SELECT f.value FROM flat f WHERE f.measure = sw.measure AND f.algorithm = '{a}'), 6) AS {a}"
+                    for a in ("exact", "fpgrowth"))
+        + ", round(avg(CASE WHEN algorithm = 'sampled' THEN value END), 6) AS sampled "
+          "FROM sw JOIN ax ON ax.v = sw.param_value GROUP BY ALL")
+    o["s9_sweep_roundtrip_customer"] = _sql_sweep("customer", "threshold", "ratio", [0.1], algorithms=("exact",))
     o["s8_lattice_roundtrip_customer"] = _sql(
         _freq_ctes("customer", 0.01) + [
             _closed_cte(),

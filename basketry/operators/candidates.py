@@ -1,8 +1,8 @@
 """Candidate generation and itemset-table joins.
 
 All joins here are equi joins on an array key (arrays are valid join and
-grouping keys), except J8 / A10's containment, which uses the anchor-item
-equi join of ``support.match_codes`` on the raw items.
+grouping keys), except containment: the cover lattice and A10 use the anchor-item
+equi join of ``support.match_codes`` on the raw items, J8 set tries in bounded groups.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from basketry.session import cut
 # J3 carries the common items in rows of about this many.
 ITEMS_PER_ROW = 1_000
 
+# J8 aims at groups of about this many rows on either side.
+GROUP_ROWS = 20_000
+
 
 def expand_level(level: DataFrame, common: DataFrame, drop_seen: bool = False) -> DataFrame:
     """Every X of ``level`` and common item e not in X give X + {e}, distinct.
@@ -31,7 +34,9 @@ def expand_level(level: DataFrame, common: DataFrame, drop_seen: bool = False) -
     rows = max(1, -(-listed.count() // ITEMS_PER_ROW))
     gathered = (listed.groupBy(F.pmod(F.xxhash64("item"), F.lit(rows)).alias("row"))
                       .agg(F.collect_list("item").alias("common")).drop("row"))
-    out = (level.select("items").crossJoin(maybe_broadcast(gathered, rows))
+    # a row holds up to a thousand items, so even few rows are measured; Spark's
+    # product of two large sides is partitioned on both
+    out = (level.select("items").crossJoin(maybe_broadcast(gathered, rows, wide=True))
                 .select("items", F.explode(F.array_except("common", "items")).alias("e"))
                 .select(F.sort_array(F.array_union("items", F.array("e"))).alias("items"))
                 .distinct())
@@ -107,14 +112,79 @@ def _containment_pairs(small: DataFrame, big: DataFrame, small_rows: int,
     return probe.join(s, "anchor").where(cond).drop("anchor")
 
 
-def support_upper_bound(itemsets: DataFrame, known: DataFrame) -> DataFrame:
+def _bounds_worker(kind):
+    """Worker function of ``support_upper_bound`` for one group of both sides, with itemsets
+    of the Arrow type ``kind`` (shipped by value, so workers need not have this package)."""
+    import pyarrow as pa
+
+    def branch():
+        return [None, {}, None]   # support of the set that ends here, branches, least support below
+
+    def least_subset(known, itemsets):
+        """For each itemset the least support of a known subset of it. Known sets stand
+        in a trie of their sorted items; branches that cannot improve are not entered."""
+        root = branch()
+        for items, support in known:
+            path = [root]
+            for item in items:
+                path.append(path[-1][1].setdefault(item, branch()))
+            for node in path:
+                node[2] = support if node[2] is None else min(node[2], support)
+            path[-1][0] = support if path[-1][0] is None else min(path[-1][0], support)
+        for items in itemsets:
+            best, todo = None, [(root, 0)]
+            while todo:
+                (own, branches, below), at = todo.pop()
+                if below is None or best is not None and below >= best:
+                    continue
+                if own is not None and (best is None or own < best):
+                    best = own
+                todo += [(branches[item], k + 1) for k, item in enumerate(items[at:], at) if item in branches]
+            yield best
+
+    def run(known, itemsets):
+        sets = [sorted(x) for x in itemsets.column("sup").to_pylist()]
+        subsets = [(sorted(x), s) for x, s in zip(known.column("sub").to_pylist(), known.column("ksup").to_pylist())]
+        bounds = list(least_subset(subsets, sets))
+        found = pa.array([k for k, b in enumerate(bounds) if b is not None], pa.int64())
+        return pa.table({"sup": itemsets.column("sup").take(found).cast(kind),
+                         "bound": pa.array([b for b in bounds if b is not None], pa.int64())})
+
+    return run
+
+
+def support_upper_bound(itemsets: DataFrame, known: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """For each itemset, the minimum support among ``known`` itemsets that
-    are subsets of it (null when none is)."""
-    k = known.select(F.col("items").alias("sub"), F.col("support").alias("ksup"))
-    n_k = k.count()
-    h = itemsets.select(F.col("items").alias("sup")).distinct()
-    pairs = _containment_pairs(k, h, n_k)
-    bound = pairs.groupBy("sup").agg(F.min("ksup").alias("bound"))
+    are subsets of it (null when none is).
+
+    Known sets are dealt by their rarest item to about rows / ``group_rows`` buckets, and each itemset
+    to the buckets of its items. A bucket with more rows on either side is
+    dealt on by a hash, every part of one side meeting every part of the other, so a group
+    stays near ``group_rows`` rows a side whatever the item. In a group the known sets are a
+    set trie; each itemset leaves with its least support alone, and no
+    containment pair is listed.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    k = cut(known.where(F.size("items") > 0).groupBy(F.col("items").alias("sub")).agg(F.min("support").cast("long").alias("ksup")))
+    h = cut(itemsets.select(F.col("items").alias("sup")).distinct())
+    buckets = max(1, -(-k.count() // group_rows))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    k = rarest_anchor(k, h).select("sub", "ksup", bucket("anchor").alias("bucket"))
+    h = h.select("sup", F.explode(F.array_distinct(F.transform("sup", bucket))).alias("bucket"))
+    parts = F.ceil(F.count(F.lit(1)) / group_rows).cast("int")
+    sizes = (k.groupBy("bucket").agg(parts.alias("k_parts"))
+             .join(h.groupBy("bucket").agg(parts.alias("h_parts")), "bucket"))
+    sizes = maybe_broadcast(cut(sizes), buckets)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c, n: F.pmod(F.hash(c, F.lit(7)), F.col(n))
+    k = k.join(sizes, "bucket").select("bucket", own("sub", "k_parts").alias("k_part"), every("h_parts").alias("h_part"), "sub", "ksup")
+    h = h.join(sizes, "bucket").select("bucket", own("sup", "h_parts").alias("h_part"), every("k_parts").alias("k_part"), "sup")
+    keys = ["bucket", "k_part", "h_part"]
+    kind = h.schema["sup"].dataType.simpleString()
+    worker = _bounds_worker(pa.list_(to_arrow_type(h.schema["sup"].dataType.elementType)))
+    met = k.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInArrow(worker, f"sup {kind}, bound long")
+    bound = met.groupBy("sup").agg(F.min("bound").alias("bound"))
     return itemsets.join(bound.withColumnRenamed("sup", "items"), "items", "left")
 
 

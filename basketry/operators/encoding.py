@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from basketry.functions.itemsets import explode_items
-from basketry.session import cut, persisted
+from basketry.session import cut
 
 # Largest side we broadcast, in rows and in bytes; above it the join shuffles.
 # Both plans give the same rows.
@@ -32,13 +32,18 @@ BROADCAST_BYTES = 64 << 20
 UNMEASURED_ROWS = 1_000
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """The size of a table's rows as text, an upper bound of the order of what a broadcast holds."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0
+
+
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, wide: bool = False) -> DataFrame:
+    """``df`` marked for broadcast if its rows (``rows``, at least as many as it has) and bytes
+    are within the limits. ``wide``: rows of unbounded width, measured however few."""
     if rows > limit:
         return df
-    if rows > UNMEASURED_ROWS:
-        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0]
-        if (size or 0) > BROADCAST_BYTES:
-            return df
+    if (wide or rows > UNMEASURED_ROWS) and table_bytes(df) > BROADCAST_BYTES:
+        return df
     return F.broadcast(df)
 
 
@@ -55,6 +60,16 @@ def item_support(baskets: DataFrame, min_count: int | None = None) -> DataFrame:
     return out
 
 
+def counted_items(baskets: DataFrame) -> DataFrame:
+    """``(item, support)`` of every item, and the number of baskets as the support of
+    the null item: one pass and one aggregate for both."""
+    none = F.lit(None).cast(baskets.schema["items"].dataType.elementType)
+    marked = F.concat(F.coalesce(F.array_compact(F.array_distinct("items")), F.array().cast(baskets.schema["items"].dataType)),
+                      F.array(none))
+    return (baskets.select(F.explode_outer(marked).alias("item"))
+                   .groupBy("item").agg(F.count(F.lit(1)).alias("support")))
+
+
 def distinct_items(baskets: DataFrame) -> DataFrame:
     """A2: the item universe (sort it with ``orderBy('item')`` if needed)."""
     return explode_items(baskets).distinct()
@@ -93,6 +108,7 @@ class Encoded:
     baskets: DataFrame    # codes array<long>, weight long
     n: int                # number of input baskets (including empty ones)
     min_count: int = 0
+    counts: DataFrame | None = None   # item, support of every item (where one was written)
 
 
 # Up to this many codes a basket is restricted by a native intersection with
@@ -160,23 +176,25 @@ def encode(baskets: DataFrame, min_count: int | None = None, order: str = "suppo
            n: int | None = None, min_ratio: float | None = None) -> Encoded:
     """Count, code the frequent items, encode and checkpoint the baskets.
 
-    The input is persisted for its passes (basket count, item count,
-    encoding), so an expensive basket expression (text splitting, joins) is
-    evaluated once. Only the frequent items leave the aggregation.
+    Two passes over the input, which is never stored: one counts baskets and items
+    together, one encodes. What is written is the item table and the folded baskets of codes.
     """
     from basketry.functions.itemsets import min_count_for
-    with persisted(baskets) as b:
-        if n is None:
-            n = b.count()
-        mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
-        sup = item_support(b, mc)
-        codes, n_codes = _small_codes(sup, order)
-        if codes is None:
-            sup = cut(sup)
-            codes = cut(item_codes(sup, order))
-            n_codes = codes.count()
-        enc = cut(encode_baskets(b, codes, n_codes))
-    return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc)
+    counts = counted_items(baskets)
+    if n is None or order == "item":
+        counts = cut(counts)
+    if n is None:
+        n = (counts.where(F.col("item").isNull()).first() or [None, 0])[1]
+    mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
+    counts = counts.where(F.col("item").isNotNull())
+    sup = counts.where(F.col("support") >= F.lit(mc))
+    codes, n_codes = _small_codes(sup, order)
+    if codes is None:
+        sup = cut(sup)
+        codes = cut(item_codes(sup, order))
+        n_codes = codes.count()
+    enc = cut(encode_baskets(baskets, codes, n_codes))
+    return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc, counts=counts)
 
 
 def encode_itemsets(itemsets: DataFrame, codes: DataFrame, n_codes: int,

@@ -8,14 +8,14 @@ and a containment filter keeps the real matches. Each (candidate, basket)
 pair is produced exactly once, and only baskets holding the rarest item are
 probed, which keeps hot items ("the") out of the join.
 
-* ``broadcast`` (J1): candidates are broadcast (row count checked), the
-  exploded baskets stream through a hash join with no shuffle.
-* ``shuffle`` (J2): both sides shuffle on the anchor; AQE's skew-join split
-  breaks up a hot anchor.
+* ``broadcast`` (J1): candidates are broadcast (rows and bytes checked; beyond them the
+  join shuffles), the exploded baskets stream through a hash join with no shuffle.
+* ``shuffle`` (J2): row numbers, not code arrays, meet the candidates on the
+  anchor, or on two items where the anchor is hot (``match_rows``).
 
 Closure is computed by co-counting: explode each matched basket, sum weights
 per (candidate, item); the items whose co-count equals the support form the
-closure. Every aggregate combines map-side.
+closure. Every aggregate combines map-side, and lists of codes come in chunks.
 """
 
 from __future__ import annotations
@@ -24,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import contains_all, explode_items
-from basketry.operators.encoding import (BROADCAST_ROWS, Encoded, decode, encode,
-                                         encode_baskets, encode_itemsets, item_codes,
-                                         item_support, maybe_broadcast)
-from basketry.session import cut, persisted
+from basketry.operators.encoding import (BROADCAST_BYTES, BROADCAST_ROWS, UNMEASURED_ROWS, Encoded, counted_items, decode,
+                                         encode, encode_baskets, encode_itemsets, item_codes, maybe_broadcast, table_bytes)
+from basketry.session import cut
 
 
 # Probe restriction: used when baskets can be wide (more codes than
@@ -35,6 +34,12 @@ from basketry.session import cut, persisted
 PROBE_RESTRICT_MIN_CODES = 64
 ANCHOR_LITERAL_MAX = 4096
 
+# Codes in one row of co-counts.
+CODES_PER_ROW = 1024
+
+# An anchor is hot when its baskets times its candidates are more than this.
+HOT_PAIRS = 10_000_000
+
 
 def _choose(strategy: str, cand_rows: int, limit: int) -> str:
     if strategy == "auto":
@@ -46,15 +51,20 @@ def _choose(strategy: str, cand_rows: int, limit: int) -> str:
 
 def match_codes(enc_baskets: DataFrame, cands: DataFrame, cand_rows: int,
                 strategy: str = "auto", limit: int = BROADCAST_ROWS,
-                n_codes: int | None = None) -> DataFrame:
+                n_codes: int | None = None, cand_bytes: int | None = None) -> DataFrame:
     """Pairs (candidate, basket) with the candidate contained in the basket.
 
     ``enc_baskets`` has ``codes`` (+ any other columns, e.g. ``weight``);
     ``cands`` has ``cand`` (sorted codes) and optionally ``anchor`` (its
     rarest code); without it the first code is the anchor (codes ranked
-    rarest first).
+    rarest first). Candidates are broadcast only where their bytes, given as a
+    bound or measured, allow it.
     """
     how = _choose(strategy, cand_rows, limit)
+    if how == "broadcast" and cand_bytes is None and (cand_rows > UNMEASURED_ROWS or strategy == "broadcast"):
+        cand_bytes = table_bytes(cands)
+    if how == "broadcast" and (cand_bytes or 0) > BROADCAST_BYTES:
+        how = "shuffle"
     c = cands if "anchor" in cands.columns else cands.withColumn("anchor", F.element_at("cand", 1))
     probe_codes = F.col("codes")
     if how == "broadcast" and (n_codes is None or n_codes > PROBE_RESTRICT_MIN_CODES):
@@ -64,9 +74,44 @@ def match_codes(enc_baskets: DataFrame, cands: DataFrame, cand_rows: int,
         if len(anchors) <= ANCHOR_LITERAL_MAX:
             lit = F.array(*[F.lit(a) for a in sorted(anchors)]).cast(enc_baskets.schema["codes"].dataType)
             probe_codes = F.array_intersect("codes", lit)
-    c = F.broadcast(c) if how == "broadcast" else c.hint("shuffle_hash")
+    if how == "shuffle":
+        return match_rows(enc_baskets, c)
     probe = enc_baskets.select("*", F.explode(probe_codes).alias("anchor"))
-    return probe.join(c, "anchor").where(contains_all("codes", "cand")).drop("anchor")
+    return probe.join(F.broadcast(c), "anchor").where(contains_all("codes", "cand")).drop("anchor")
+
+
+def match_rows(enc_baskets: DataFrame, cands: DataFrame, hot_pairs: int | None = None) -> DataFrame:
+    """The pairs of ``match_codes`` by an index of row numbers.
+
+    The index holds (code, row) and no code arrays. A candidate meets the rows of its
+    anchor. Where an anchor is hot (rows times candidates above ``hot_pairs``), candidates of two
+    or more items are met by two items instead: the anchor and their rarest other code
+    (the first, as codes rank rarest first), against the rows' pairs of that anchor and another code.
+    Pairs (row, candidate) whose candidate has further items are then checked
+    against the row's codes, which move once, to their row number.
+    """
+    hot_pairs = HOT_PAIRS if hot_pairs is None else hot_pairs
+    rows = cut(enc_baskets.withColumn("_row", F.monotonically_increasing_id()))
+    cands = cut(cands.withColumn("_cand", F.monotonically_increasing_id()))
+    index = rows.select("_row", F.explode("codes").alias("anchor"))
+    load = (index.groupBy("anchor").agg(F.count(F.lit(1)).alias("_rows"))
+            .join(cands.groupBy("anchor").agg(F.count(F.lit(1)).alias("_cands")), "anchor"))
+    hot = cut(load.where(F.col("_rows") * F.col("_cands") > F.lit(hot_pairs)).select("anchor"))
+    hot = maybe_broadcast(hot, hot.count())
+    narrow = cands.select("_cand", "cand", "anchor")
+    paired = F.size("cand") > 1
+    by_two = (narrow.where(paired).join(hot, "anchor", "left_semi")
+                    .withColumn("other", F.element_at(F.array_remove("cand", F.col("anchor")), 1)))
+    by_one = narrow.where(~paired).unionByName(narrow.where(paired).join(hot, "anchor", "left_anti"))
+    first = index.join(by_one.select("_cand", "anchor", F.size("cand").alias("_items")), "anchor").select("_row", "_cand", "_items")
+    two = (rows.select("_row", "codes", F.explode("codes").alias("anchor")).join(hot, "anchor", "left_semi")
+               .select("_row", "anchor", F.explode(F.array_remove("codes", F.col("anchor"))).alias("other")))
+    second = two.join(by_two.select("_cand", "anchor", "other", (F.size("cand") - 1).alias("_items")),
+                      ["anchor", "other"]).select("_row", "_cand", "_items")
+    met = first.unionByName(second)
+    whole = cands.drop("anchor")
+    pairs = met.join(rows, "_row").join(whole, "_cand")
+    return pairs.where((F.col("_items") == 1) | contains_all("codes", "cand")).drop("_row", "_cand", "_items")
 
 
 def with_anchor(cands: DataFrame, enc_baskets: DataFrame) -> DataFrame:
@@ -97,29 +142,50 @@ def support_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
     return pairs.groupBy("cand").agg(F.sum("weight").alias("support"))
 
 
-def closure_codes(enc: Encoded, cands: DataFrame, cand_rows: int,
-                  ext_min: int | None = None, strategy: str = "auto") -> DataFrame:
-    """(cand, support, closure[, ext]) for coded candidates.
+def closure_parts(enc: Encoded, cands: DataFrame, cand_rows: int,
+                  ext_min: int | None = None, strategy: str = "auto",
+                  cand_bytes: int | None = None) -> DataFrame:
+    """(cand, chunk, support, closure[, ext]) for coded candidates, a row per candidate and
+    chunk of ``CODES_PER_ROW`` codes that occur with it.
 
-    ``ext`` (when ``ext_min`` is given) lists the items outside the closure
-    whose co-count reaches ``ext_min``: the frequent one-item extensions.
-    The list per candidate is bounded by the number of codes.
+    ``closure`` holds the chunk's codes that all matched baskets share, ``ext`` (when
+    ``ext_min`` is given) those outside the closure whose co-count reaches
+    ``ext_min``: the frequent one-item extensions. No row lists more codes than a chunk has.
     """
-    pairs = match_codes(enc.baskets, cands.select("cand"), cand_rows, strategy, n_codes=enc.n_codes)
-    cc = (pairs.select("cand", F.explode("codes").alias("code"), "weight")
+    pairs = match_codes(enc.baskets, cands.select("cand"), cand_rows, strategy, n_codes=enc.n_codes, cand_bytes=cand_bytes)
+    co = (pairs.select("cand", F.explode("codes").alias("code"), "weight")
                .groupBy("cand", "code").agg(F.sum("weight").alias("cc")))
-    per = cc.groupBy("cand").agg(F.max("cc").alias("support"),
-                                 F.collect_list(F.struct("code", "cc")).alias("co"))
+    per = (co.groupBy("cand", F.floor(F.col("code") / CODES_PER_ROW).cast("int").alias("chunk"))
+             .agg(F.max("cc").alias("support"), F.collect_list(F.struct("code", "cc")).alias("co")))
+    if enc.n_codes > CODES_PER_ROW:
+        # a chunk without a code of the closure does not know the support
+        known = per.groupBy("cand").agg(F.max("support").alias("support"))
+        per = per.drop("support").join(known, "cand")
     sup = F.col("support")
-    cols = [F.col("cand"), sup,
-            F.sort_array(F.transform(F.filter("co", lambda s: s["cc"] == sup),
-                                     lambda s: s["code"])).alias("closure")]
+
+    def codes_of(keep):
+        return F.sort_array(F.transform(F.filter("co", keep), lambda s: s["code"]))
+
+    cols = [F.col("cand"), F.col("chunk"), sup, codes_of(lambda s: s["cc"] == sup).alias("closure")]
     if ext_min is not None:
-        cols.append(F.transform(F.filter("co", lambda s: (s["cc"] < sup) & (s["cc"] >= F.lit(ext_min))),
-                                lambda s: s["code"]).alias("ext"))
+        cols.append(codes_of(lambda s: (s["cc"] < sup) & (s["cc"] >= F.lit(ext_min))).alias("ext"))
     return per.select(*cols)
 
 
+def whole_closures(enc: Encoded, parts: DataFrame) -> DataFrame:
+    """(cand, support, closure) of ``closure_parts``; a row is as long as the closure."""
+    if enc.n_codes <= CODES_PER_ROW:
+        return parts.select("cand", "support", "closure")
+    return (parts.where(F.size("closure") > 0).groupBy("cand")
+                 .agg(F.max("support").alias("support"),
+                      F.sort_array(F.flatten(F.collect_list("closure"))).alias("closure")))
+
+
+def closure_codes(enc: Encoded, cands: DataFrame, cand_rows: int, strategy: str = "auto") -> DataFrame:
+    """(cand, support, closure) for coded candidates."""
+    return whole_closures(enc, closure_parts(enc, cands, cand_rows, strategy=strategy))
+
+
 # --------------------------------------------------------------------------
 # Public operators on raw baskets / itemsets
 # --------------------------------------------------------------------------
@@ -173,24 +239,23 @@ def itemset_closure(baskets: DataFrame, candidates: DataFrame, strategy: str = "
     Every item of closure(X) has support >= support(X), so the baskets are
     restricted to items at least as frequent as the rarest candidate support.
     """
-    with persisted(baskets) as b:
-        sup = cut(itemset_support(b, candidates, strategy=strategy, col=col))
-        low = sup.agg(F.min("support")).first()[0]
-        if low is None:
-            return sup.select(col, "support", F.col(col).alias("closure")).limit(0)
-        enc = encode(b, int(low), order="support")
+    sup = cut(itemset_support(baskets, candidates, strategy=strategy, col=col))
+    low = sup.agg(F.min("support")).first()[0]
+    if low is None:
+        return sup.select(col, "support", F.col(col).alias("closure")).limit(0)
+    enc = encode(baskets, int(low), order="support", n=-1)
     cands = cut(encode_itemsets(sup, enc.codes, enc.n_codes, col))
     n_c = cands.count()
     cl = closure_codes(enc, cands, n_c, strategy=strategy)
-    cl = decode(cl.select("cand", "support", "closure"), enc.codes, enc.n_codes, "closure", "closure")
+    cl = decode(cl, enc.codes, enc.n_codes, "closure", "closure")
     return cands.join(cl, "cand").select(col, "support", "closure")
 
 
 def dataset_closure(baskets: DataFrame) -> DataFrame:
     """A5: the items present in every basket, one row ``(closure)``."""
-    with persisted(baskets) as b:
-        n = b.count()
-        common = cut(item_support(b, n).select("item"))
+    counted = cut(counted_items(baskets))
+    n = (counted.where(F.col("item").isNull()).first() or [None, 0])[1]
+    common = counted.where(F.col("item").isNotNull() & (F.col("support") == F.lit(n)))
     return common.agg(F.sort_array(F.collect_list("item")).alias("closure"))
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import md5_unit
-from basketry.operators.encoding import Encoded, decode, encode, item_support, maybe_broadcast
+from basketry.operators.encoding import Encoded, counted_items, decode, encode, maybe_broadcast
 from basketry.operators.support import itemset_support, match_codes, rarest_code
 from basketry.plans.closed import resolve_min_count
-from basketry.session import cut, persisted
+from basketry.session import cut
 
 
 def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
@@ -22,18 +22,25 @@ def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
 
     FP-growth keeps itemsets with count >= ceil(minSupport * n); passing
     ``(min_count - 0.5) / n`` lands exactly on ``min_count`` with no float edge.
+    One aggregate counts baskets and items first: its histogram of the frequent items sets
+    the number of groups (``fp_groups``) unless ``num_partitions`` does.
     """
     items = baskets.select("items").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        counts = cut(counted_items(items))
         if n is None:
-            n = items.count()
+            n = (counts.where(F.col("item").isNull()).first() or [None, 0])[1]
         mc = resolve_min_count(n, min_count, min_ratio)
-        if mc > n:  # nothing can be frequent (and FP-growth rejects minSupport > 1)
+        load = counts.where(F.col("item").isNotNull() & (F.col("support") >= F.lit(mc))).agg(
+            F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("support"), F.lit(0)).alias("slots"),
+            F.coalesce(F.max("support"), F.lit(0)).alias("most")).first()
+        if not load["items"]:  # nothing is frequent (and FP-growth rejects minSupport > 1)
             return baskets.select(F.col("items"), F.lit(0).cast("long").alias("support"),
                                   F.lit(0).alias("size")).where(F.lit(False))
         fp = FPGrowth(itemsCol="items", minSupport=(mc - 0.5) / max(n, 1), minConfidence=0.0)
-        if num_partitions:
-            fp = fp.setNumPartitions(int(num_partitions))
+        groups = num_partitions or fp_groups(load["items"], load["slots"], load["most"],
+                                             baskets.sparkSession.sparkContext.defaultParallelism)
+        fp = fp.setNumPartitions(int(groups))
         model = fp.fit(items)
         # the model's itemsets are a lazy RDD that re-mines on every action:
         # materialise them once in the shared checkpoint folder
@@ -44,6 +51,19 @@ def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
         items.unpersist()
 
 
+def fp_groups(items: int, slots: int, most: int, parallelism: int, group_slots: int = 1_000_000) -> int:
+    """Groups of the parallel FP-growth for ``items`` frequent items that fill ``slots`` basket
+    places, the most frequent one ``most`` of them.
+
+    A group's conditional baskets grow with the places of its items, so groups of about
+    ``group_slots`` places keep a task's tree bounded; no group can be smaller than the
+    most frequent item's, and there are at least as many as tasks run at once and
+    no more than items.
+    """
+    wanted = -(-slots // max(group_slots, most, 1))
+    return max(1, min(items, max(parallelism, wanted)))
+
+
 def apriori_codes(enc: Encoded, min_count: int, strategy: str = "auto",
                   frequent_only: bool = False, max_level: int | None = None) -> DataFrame:
     """Level-wise Apriori on coded baskets (codes in natural item order).
@@ -94,11 +114,8 @@ def frequent_itemsets_apriori(baskets: DataFrame, min_ratio: float = 0.5,
     """M6: the Apriori support table
     ``(items, level, support, rel_support, is_frequent)``: every counted
     candidate (support >= 1), infrequent ones included; level 1 is every item."""
-    with persisted(baskets) as b:
-        enc = encode(b, min_count, order="item", n=n,
-                     min_ratio=None if min_count is not None else min_ratio)
-        singles = cut(item_support(b).select(F.array("item").alias("items"),
-                                             F.lit(1).alias("level"), "support"))
+    enc = encode(baskets, min_count, order="item", n=n, min_ratio=None if min_count is not None else min_ratio)
+    singles = enc.counts.select(F.array("item").alias("items"), F.lit(1).alias("level"), "support")
     n, mc = enc.n, enc.min_count
     res = apriori_codes(enc, mc, strategy=strategy)
     res = decode(res.where(F.col("level") >= 2), enc.codes, enc.n_codes, "cand", "items")
@@ -112,13 +129,19 @@ def frequent_itemsets_apriori(baskets: DataFrame, min_ratio: float = 0.5,
 # SON: local mining per chunk, then one exact global count
 # --------------------------------------------------------------------------
 
-def _chunk_miner(ratio: float, chunk_rows: int, item_type):
+# Bytes of baskets in a chunk, and baskets below which partitions are read together.
+CHUNK_BYTES = 64 << 20
+LEAST_CHUNK = 2_000
+
+
+def _chunk_miner(ratio: float, chunk_rows: int, chunk_bytes: int, item_type):
     """Worker function of SON's first pass, with all that it needs inside (it is
     shipped by value, so workers need not have this package).
 
-    A partition's baskets are mined in chunks of ``chunk_rows`` to twice as many,
-    by a depth-first search over vertical bitsets; found itemsets stream out in
-    batches. A chunk without a frequent itemset gives no rows.
+    A partition's baskets are mined in chunks of ``chunk_rows`` to twice as many, or
+    fewer where these fill ``chunk_bytes``, by a depth-first search over vertical bitsets;
+    the search holds the candidates of one path only, and found itemsets stream out
+    in batches. A chunk without a frequent itemset gives no rows.
     """
     import math
 
@@ -142,15 +165,20 @@ def _chunk_miner(ratio: float, chunk_rows: int, item_type):
     def mined(items: pa.ListArray):
         m = len(items)
         least = max(1, int(math.ceil(ratio * m - 1e-9)))
-        stack = [([], list(vertical(items, least)))]
+        # per item of the path: the candidates beside it and which of them comes next
+        path, stack = [], [(list(vertical(items, least)), 0)]
         while stack:
-            prefix, candidates = stack.pop()
-            for i, (item, bits) in enumerate(candidates):
-                own = prefix + [item]
-                yield own, bits.bit_count() / m
-                longer = [(x, b & bits) for x, b in candidates[i + 1:] if (b & bits).bit_count() >= least]
-                if longer:
-                    stack.append((own, longer))
+            candidates, i = stack.pop()
+            if i == len(candidates):
+                if path:
+                    path.pop()
+                continue
+            stack.append((candidates, i + 1))
+            item, bits = candidates[i]
+            path.append(item)
+            yield list(path), bits.bit_count() / m
+            # where nothing is longer the empty list takes the item off the path again
+            stack.append(([(x, b & bits) for x, b in candidates[i + 1:] if (b & bits).bit_count() >= least], 0))
 
     def batches_of(items: pa.ListArray, size: int = 4096):
         found, supports = [], []
@@ -164,14 +192,19 @@ def _chunk_miner(ratio: float, chunk_rows: int, item_type):
             yield pa.RecordBatch.from_arrays([pa.array(found, schema.field(0).type), pa.array(supports)], schema=schema)
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
         for batch in batches:
             held.append(batch.column(0))
             rows += batch.num_rows
+            size += batch.column(0).nbytes
+            if size >= chunk_bytes:
+                yield from batches_of(pa.concat_arrays(held))
+                held, rows, size = [], 0, 0
             while rows >= 2 * chunk_rows:
                 items = pa.concat_arrays(held)
                 yield from batches_of(items.slice(0, chunk_rows))
                 held, rows = [items.slice(chunk_rows)], rows - chunk_rows
+                size = held[0].nbytes
         if rows:
             yield from batches_of(pa.concat_arrays(held))
 
@@ -183,18 +216,22 @@ def son_chunk(baskets: DataFrame, chunks: int, salt: str = "son") -> DataFrame:
     return baskets.withColumn("chunk", F.pmod(md5_unit(salt, F.col("basket_id")), F.lit(chunks)))
 
 
-def local_supports(baskets: DataFrame, min_ratio: float, chunk_rows: int, n: int) -> DataFrame:
+def local_supports(baskets: DataFrame, min_ratio: float, chunk_rows: int, n: int,
+                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """SON pass 1: ``(items, local_support)`` for itemsets frequent in a chunk
     (relative support >= min_ratio, the global ratio).
 
     Chunks are runs of baskets of the existing partitions, of ``chunk_rows`` to
-    twice as many; small partitions are read together, without a shuffle.
+    twice as many and of about ``chunk_bytes`` at most. Partitions are read together, without a
+    shuffle, only where they would be nearly empty (in a chunk of a few baskets
+    everything is frequent); as many as tasks run at once are kept otherwise.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     item_type = baskets.schema["items"].dataType
-    parts = max(1, n // chunk_rows)
+    slots = baskets.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, n // chunk_rows, min(slots, n // min(chunk_rows, LEAST_CHUNK)))
     return (baskets.select(F.array_sort(F.array_distinct("items")).alias("items")).coalesce(parts)
-            .mapInArrow(_chunk_miner(min_ratio, chunk_rows, to_arrow_type(item_type.elementType)),
+            .mapInArrow(_chunk_miner(min_ratio, chunk_rows, chunk_bytes, to_arrow_type(item_type.elementType)),
                         f"items {item_type.simpleString()}, local_support double"))
 
 
@@ -212,11 +249,10 @@ def frequent_itemsets_son(baskets: DataFrame, min_ratio: float, chunk_rows: int
     counts the union of local results exactly on all baskets, so how the baskets
     fall into chunks never changes the answer.
     """
-    with persisted(baskets) as b:
-        if n is None:
-            n = b.count()
-        mc = resolve_min_count(n, None, min_ratio)
-        local = local_supports(b, min_ratio, chunk_rows, n)
-        cands = cut(max_local_support(local, min_ratio).select("items"))
-        sup = cut(itemset_support(b, cands, strategy=strategy))
+    if n is None:
+        n = baskets.count()
+    mc = resolve_min_count(n, None, min_ratio)
+    local = local_supports(baskets, min_ratio, chunk_rows, n)
+    cands = cut(max_local_support(local, min_ratio).select("items"))
+    sup = cut(itemset_support(baskets, cands, strategy=strategy))
     return sup.where(F.col("support") >= F.lit(mc)).select("items", "support")

@@ -40,8 +40,7 @@ def lattice_edges(nodes: DataFrame, relation: str = "immediate") -> DataFrame:
     ``immediate``: parent = child minus one item (an equi join; the right
     relation for a complete frequent table). ``cover``: parent strictly
     contained in child with no node in between (closed families, where sizes
-    can jump): containment pairs by anchor join, minus the pairs that a
-    two-step chain also connects.
+    can jump).
     """
     items = nodes.select("items").distinct()
     if relation == "immediate":
@@ -51,10 +50,39 @@ def lattice_edges(nodes: DataFrame, relation: str = "immediate") -> DataFrame:
                    .select("parent", "child").distinct()
     if relation != "cover":
         raise ValueError(relation)
+    return _covers(items)
+
+
+def _strict_supersets(items: DataFrame, n_items: int) -> DataFrame:
+    return _containment_pairs(items.select(F.col("items").alias("sub")),
+                              items.select(F.col("items").alias("sup")), n_items, strict=True)
+
+
+def _covers(items: DataFrame) -> DataFrame:
+    """Covers by closures within the family: the closure of X + e is the smallest node
+    that holds X + e, and Y covers X when that is Y for all |Y| - |X| items e of Y outside X.
+
+    Containments stream into one aggregate with a row per (X, e); neither pairs
+    of nodes nor pairs of pairs are stored or joined. Smallest nodes are unique in a family
+    closed under intersection, as closed sets are. The aggregate also counts the nodes
+    above X + e; should these be others than those above its closure, the family is
+    not of this kind, and the covers are found by removing two-step chains.
+    """
     n_items = items.count()
-    pairs = _containment_pairs(items.select(F.col("items").alias("sub")),
-                               items.select(F.col("items").alias("sup")), n_items, strict=True)
-    pairs = cut(pairs.select(F.col("sub").alias("parent"), F.col("sup").alias("child")))
+    none = F.lit(None).cast(items.schema["items"].dataType.elementType)
+    above = _strict_supersets(items, n_items)
+    # the row without an item counts the nodes above X itself
+    each = above.select("sub", "sup", F.explode_outer(F.concat(F.array_except("sup", "sub"), F.array(none))).alias("e"))
+    jumps = cut(each.groupBy("sub", "e").agg(F.min(F.struct(F.size("sup").alias("size"), "sup"))["sup"].alias("child"),
+                                             F.count(F.lit(1)).alias("holders")))
+    over = jumps.where(F.col("e").isNull()).select(F.col("sub").alias("child"), F.col("holders").alias("over"))
+    unique = F.col("holders") == F.coalesce("over", F.lit(0)) + 1
+    steps = cut(jumps.where(F.col("e").isNotNull()).join(over, "child", "left").groupBy("sub", "child")
+                .agg(F.count(F.lit(1)).alias("k"), F.min(unique).alias("unique")))
+    if not steps.where(~F.col("unique")).limit(1).count():
+        covers = steps.where(F.col("k") == F.size("child") - F.size("sub"))
+        return covers.select(F.col("sub").alias("parent"), "child")
+    pairs = cut(above.select(F.col("sub").alias("parent"), F.col("sup").alias("child")))
     two = (pairs.select("parent", F.col("child").alias("mid"))
                 .join(pairs.select(F.col("parent").alias("mid"), "child"), "mid")
                 .select("parent", "child").distinct())
