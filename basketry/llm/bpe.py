@@ -10,7 +10,7 @@ boundaries as a linked list and its ranks in a heap; both give the same tokens.
 Decoding joins the bytes of the tokens and reads them as UTF-8.
 
 Each worker keeps the encodings of pieces it has met, found by their bytes, in
-a table of bounded size that starts anew when it is full.
+two tables of bounded size: when the newer is full it becomes the older one.
 
 Defined results: a null or empty text has no ids, and no ids decode to an empty
 text; a special string inside a text is its special token, as the library
@@ -35,9 +35,9 @@ from basketry.llm.tokens import piece_bounds
 
 #: Longest piece, in bytes, whose ranks are scanned.
 SHORT = 128
-#: Pieces and bytes of pieces that a worker keeps.
+#: Pieces and bytes of pieces in each of the two tables that a worker keeps.
 MOST_PIECES, MOST_BYTES = 1 << 18, 1 << 24
-_NONE = 1 << 40
+_NONE = 1 << 62
 
 
 def _byte_characters() -> dict[str, int]:
@@ -59,21 +59,24 @@ class Bpe:
         tokens = {i: bytes(byte_of[c] for c in t) for t, i in vocabulary.items()}
         self.single = [vocabulary[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
         self.size = 1 + max([*tokens, *self.special.values()])
-        #: left id * size + right id -> (rank, id of both)
-        self.merges = {}
+        #: left id * size + right id -> rank * size + id of both, so that ranks compare first
+        self.ranks = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocabulary[a] * self.size + vocabulary[b]] = (rank, vocabulary[a + b])
-        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+            self.ranks[vocabulary[a] * self.size + vocabulary[b]] = rank * self.size + vocabulary[a + b]
         tokens |= {i: t.encode() for t, i in self.special.items()}
         self.token_bytes = [tokens.get(i, b"") for i in range(self.size)]
+        # the bytes of all tokens one behind the other; the last entry stands for unknown ids
+        self._length = np.array([len(t) for t in self.token_bytes] + [0])
+        self._at = np.cumsum(self._length) - self._length
+        self._blob = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self._cut = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(self.special, key=len, reverse=True))
                                if self.special else rb"(?!)")
-        self._known, self._held = {}, 0
+        self._known, self._older, self._held = {}, {}, 0
 
     def scanned(self, piece: bytes) -> tuple[list[int], list[int]]:
         """(ids, boundaries) of a short piece by scanning its rank array."""
-        size, ranks, merges = self.size, self.ranks, self.merges
+        size, ranks = self.size, self.ranks
         ids = [self.single[b] for b in piece]
         bounds = list(range(len(ids) + 1))
         rank = [ranks.get(a * size + b, _NONE) for a, b in zip(ids, ids[1:])]
@@ -82,7 +85,7 @@ class Bpe:
             if least == _NONE:
                 break
             i = rank.index(least)
-            ids[i] = merges[ids[i] * size + ids[i + 1]][1]
+            ids[i] = least % size
             del ids[i + 1], bounds[i + 1], rank[i]
             if i < len(rank):
                 rank[i] = ranks.get(ids[i] * size + ids[i + 1], _NONE)
@@ -92,40 +95,44 @@ class Bpe:
 
     def queued(self, piece: bytes) -> tuple[list[int], list[int]]:
         """The same for a long piece, its ranks in a heap."""
-        size, merges, n = self.size, self.merges, len(piece)
+        size, ranks, n = self.size, self.ranks, len(piece)
         ids = [self.single[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merges[p][0], i, p) for i, p in enumerate(a * size + b for a, b in zip(ids, ids[1:])) if p in merges]
+        heap = [(ranks[p], i, p) for i, p in enumerate(a * size + b for a, b in zip(ids, ids[1:])) if p in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = after[i]
             if ids[i] < 0 or j >= n or ids[i] * size + ids[j] != pair:
                 continue
-            ids[i], ids[j] = merges[pair][1], -1
+            ids[i], ids[j] = rank % size, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
             for left, right in ((before[i], i), (i, k)):
                 pair = ids[left] * size + ids[right] if left >= 0 and right < n else -1
-                if pair in merges:
-                    heapq.heappush(heap, (merges[pair][0], left, pair))
+                if pair in ranks:
+                    heapq.heappush(heap, (ranks[pair], left, pair))
         starts = [i for i in range(n) if ids[i] >= 0]
         return [ids[i] for i in starts], [*starts, n]
 
-    def piece(self, piece: bytes) -> list[int]:
-        ids = self._known.get(piece)
+    def solved(self, piece: bytes) -> bytes:
+        """The ids of a piece that the newer table lacks, as 32-bit numbers; now it holds it."""
+        ids = self._older.get(piece)
         if ids is None:
-            ids = (self.scanned(piece) if len(piece) <= SHORT else self.queued(piece))[0]
-            if len(self._known) >= MOST_PIECES or self._held + len(piece) > MOST_BYTES:
-                self._known, self._held = {}, 0
-            if len(piece) <= MOST_BYTES:
-                self._known[piece] = ids
-                self._held += len(piece)
+            ids = np.array((self.scanned(piece) if len(piece) <= SHORT else self.queued(piece))[0], np.int32).tobytes()
+        if len(self._known) >= MOST_PIECES or self._held + len(piece) > MOST_BYTES:
+            # emptied in place, as a loop over pieces may hold it
+            self._older = dict(self._known)
+            self._known.clear()
+            self._held = 0
+        if len(piece) <= MOST_BYTES:
+            self._known[piece] = ids
+            self._held += len(piece)
         return ids
 
-    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
-        """The ids of each text of a chunk."""
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a chunk, and the n + 1 bounds of each text's."""
         raw, edges, special = data.tobytes(), offsets, {}
         for m in self._cut.finditer(raw):
             row = int(np.searchsorted(offsets, m.start(), "right"))
@@ -143,25 +150,31 @@ class Bpe:
             starts, ends = np.concatenate([starts, at]), np.concatenate([ends, at + length])
             order = np.argsort(starts)
             starts, ends = starts[order], ends[order]
-        first, out, piece = np.searchsorted(starts, offsets).tolist(), [], self.piece
-        pieces = list(zip(starts.tolist(), ends.tolist()))
-        for a, b in zip(first, first[1:]):
-            ids = []
-            for s, e in pieces[a:b]:
-                if s in special:
-                    ids.append(special[s])
-                else:
-                    ids += piece(raw[s:e])
-            out.append(ids)
-        return out
+        known, solved = self._known.get, self.solved
+        own = {s: np.int32(i).tobytes() for s, i in special.items()}
+        if own:
+            parts = [own.get(a) or known(raw[a:b]) or solved(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+        else:
+            parts = [known(raw[a:b]) or solved(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+        first = np.searchsorted(starts, offsets)
+        end = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
+        return np.frombuffer(b"".join(parts), np.int32), end[first]
 
     def text(self, text: str) -> list[int]:
         raw = np.frombuffer(text.encode(), np.uint8)
-        return self.chunk(raw, np.array([0, len(raw)]))[0]
+        return self.chunk(raw, np.array([0, len(raw)]))[0].tolist()
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of runs of ids."""
+        known = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        length = self._length[known]
+        end = np.concatenate([[0], np.cumsum(length)])
+        raw = self._blob[np.arange(end[-1]) + np.repeat(self._at[known] - end[:-1], length)].tobytes()
+        edges = end[bounds].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])]
 
     def decode(self, ids) -> str:
-        tokens = self.token_bytes
-        return b"".join([tokens[i] for i in ids if 0 <= i < self.size]).decode("utf-8", "replace")
+        return self.decoded(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 _coders: dict[str, Bpe] = {}
@@ -181,9 +194,10 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row, data, offsets in C.chunks(batch.column(1)):
-                ids = coder(path).chunk(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(ids)), pa.array(ids, pa.list_(pa.int32()))],
-                                                 names=["doc_id", "ids"])
+                ids, bounds = coder(path).chunk(data, offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(bounds) - 1),
+                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids array<int>")
@@ -196,9 +210,11 @@ def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [None if ids is None else coder(path).decode(ids) for ids in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, "decoded"])
+            given = batch.column(place)
+            bounds = np.concatenate([[0], np.cumsum(given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            texts = coder(path).decoded(given.flatten().to_numpy(zero_copy_only=False), bounds)
+            texts = pa.array(texts, pa.string(), mask=given.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kept}, decoded string")
