@@ -69,6 +69,11 @@ RULES = {
 }
 
 
+#: Kinds whose expression begins with a run of these bytes and nothing else decides there:
+#: what fails at one keyword of the run fails at all of them.
+RUNS = {"jwt": re.compile(rb"[A-Za-z0-9_-]*")}
+
+
 def _automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for kind, (keywords, _, _) in RULES.items():
@@ -93,6 +98,9 @@ def _scan(automaton, data: np.ndarray, offsets: np.ndarray):
             done[kind] = m.end()
             if accepts(m):
                 found.append((doc, kind, start, m.end()))
+        elif kind in RUNS:
+            # a run is read once, however many keywords it holds
+            done[kind] = RUNS[kind].match(raw, start, int(offsets[doc + 1])).end()
     starts, ends, first = C.word_bounds(data, offsets, _HEX)
     long = np.flatnonzero(ends - starts >= LEAST_HEX)
     docs = np.searchsorted(first, long, "right") - 1
