@@ -4,6 +4,8 @@ UTF-8 bytes of a batch of texts."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -161,9 +163,24 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, members: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Polynomials modulo 2^64 collide on known strings of some hundred bytes and more, so
+#: longer words than this are hashed by BLAKE2.
+POLYNOMIAL_BYTES = 128
+
+
+def long_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit BLAKE2 hashes of the byte ranges."""
+    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little")
+                     for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     h = range_hashes(prefix_hashes(data), starts, ends)
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(ends - starts > POLYNOMIAL_BYTES)
+    if len(long):
+        h[long] = long_hashes(data.tobytes(), starts[long], ends[long])
+    return h
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int):

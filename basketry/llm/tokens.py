@@ -194,8 +194,9 @@ class PrefixBpe:
 
 class PieceTable:
     """Values of distinct pieces, found by 64-bit hashes for whole arrays of
-    pieces at once. ``solve`` gives a piece's array of values; arrays stand one
-    behind the other in ``flat``. Bounded: it starts anew when it is half full."""
+    pieces at once and confirmed by their bytes, so equal hashes of different pieces
+    do no harm. ``solve`` gives a piece's array of values; arrays stand one
+    behind the other in ``flat``, the pieces in ``text``. Bounded: it starts anew when it is half full."""
 
     def __init__(self, solve, dtype, log_slots: int = 20, most_values: int = 1 << 24):
         self.solve, self.dtype, self.slots, self.most_values = solve, dtype, 1 << log_slots, most_values
@@ -206,7 +207,10 @@ class PieceTable:
         self.at = np.zeros(self.slots, np.int64)
         self.size = np.zeros(self.slots, np.int32)
         self.flat = np.zeros(1 << 16, self.dtype)
-        self.used = self.pieces = 0
+        self.text_at = np.zeros(self.slots, np.int64)
+        self.text_size = np.zeros(self.slots, np.int32)
+        self.text = np.zeros(1 << 16, np.uint8)
+        self.used = self.pieces = self.text_used = 0
 
     def _probe(self, h: np.ndarray) -> np.ndarray:
         """The slot that holds each hash, or else the free slot for it."""
@@ -218,23 +222,51 @@ class PieceTable:
             slot[open_] = (slot[open_] + 1) & (self.slots - 1)
         return slot
 
-    def _add(self, hashes: np.ndarray, values: list[np.ndarray]) -> None:
+    @staticmethod
+    def _appended(store: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+        need = used + len(more)
+        if need > len(store):
+            store = np.concatenate([store, np.zeros(max(need - len(store), len(store)), store.dtype)])
+        store[used:need] = more
+        return store, need
+
+    def _put(self, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and size of new arrays in ``flat``."""
         sizes = np.array([len(v) for v in values], np.int64)
-        need = self.used + int(sizes.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need - len(self.flat), len(self.flat)), self.dtype)])
         at = self.used + np.cumsum(sizes) - sizes
-        if len(values):
-            self.flat[self.used:need] = np.concatenate(values)
-        self.used, self.pieces = need, self.pieces + len(values)
+        if values:
+            self.flat, self.used = self._appended(self.flat, self.used, np.concatenate(values))
+        return at, sizes
+
+    def _add(self, hashes: np.ndarray, pieces: list[bytes], values: list[np.ndarray]) -> None:
+        at, sizes = self._put(values)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        text_at = self.text_used + np.cumsum(lengths) - lengths
+        self.text, self.text_used = self._appended(self.text, self.text_used, np.frombuffer(b"".join(pieces), np.uint8))
+        self.pieces += len(values)
         todo = np.arange(len(hashes))
         while len(todo):
             slot = self._probe(hashes[todo])
             _, first = np.unique(slot, return_index=True)
             now, where = todo[first], slot[first]
             self.keys[where], self.at[where], self.size[where] = hashes[now], at[now], sizes[now]
+            self.text_at[where], self.text_size[where] = text_at[now], lengths[now]
             todo = np.delete(todo, first)
 
+    def _others(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The pieces whose slot holds another piece of the same hash."""
+        length = ends - starts
+        other = self.text_size[slot] != length
+        same = np.flatnonzero(~other)
+        length = length[same]
+        end = np.concatenate([[0], np.cumsum(length)])
+        step = np.arange(end[-1])
+        given = np.frombuffer(raw, np.uint8)[step + np.repeat(starts[same] - end[:-1], length)]
+        held = self.text[step + np.repeat(self.text_at[slot[same]] - end[:-1], length)]
+        apart = np.flatnonzero(given != held)
+        other[same[np.unique(np.searchsorted(end, apart, "right") - 1)]] = True
+        return np.flatnonzero(other)
+
     def __call__(self, raw: bytes, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """(place in ``flat``, number of values) of each piece."""
         h = C.mix(C.range_hashes(prefix, starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1)
@@ -242,17 +274,22 @@ class PieceTable:
         missing = np.flatnonzero(self.keys[slot] == 0)
         if len(missing):
             new, first = np.unique(h[missing], return_index=True)
-            if 2 * (self.pieces + len(new)) > self.slots or self.used > self.most_values:
+            if 2 * (self.pieces + len(new)) > self.slots or max(self.used, self.text_used) > self.most_values:
                 while 2 * len(h) > self.slots:
                     self.slots *= 2
                 self._empty()
                 new, first = np.unique(h, return_index=True)
                 missing = np.arange(len(h))
             of = missing[first]
-            self._add(new, [np.asarray(self.solve(raw[a:b]), self.dtype)
-                            for a, b in zip(starts[of].tolist(), ends[of].tolist())])
+            pieces = [raw[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist())]
+            self._add(new, pieces, [np.asarray(self.solve(p), self.dtype) for p in pieces])
             slot = self._probe(h)
-        return self.at[slot], self.size[slot]
+        at, size = self.at[slot], self.size[slot]
+        others = self._others(raw, starts, ends, slot)
+        if len(others):
+            at[others], size[others] = self._put([np.asarray(self.solve(raw[a:b]), self.dtype) for a, b in
+                                                  zip(starts[others].tolist(), ends[others].tolist())])
+        return at, size
 
 
 _models: dict[str, PrefixBpe] = {}
@@ -273,11 +310,16 @@ def library(path: str) -> Tokenizer:
     return _libraries[path]
 
 
+def id_type(m: PrefixBpe) -> type:
+    """The narrowest numbers that hold all ids of a vocabulary."""
+    return np.uint16 if max(m.tokens, default=0) < 1 << 16 else np.uint32
+
+
 def piece_table(path: str, kind: str) -> PieceTable:
     """Kind "counts": tokens of each prefix; "ids": the tokens."""
     if (path, kind) not in _tables:
         m = model(path)
-        solve, dtype = ((lambda p: m.prefixes(p)[1]), np.int32) if kind == "counts" else (m.piece_encoder(), np.uint16)
+        solve, dtype = ((lambda p: m.prefixes(p)[1]), np.int32) if kind == "counts" else (m.piece_encoder(), id_type(m))
         _tables[path, kind] = PieceTable(solve, dtype)
     return _tables[path, kind]
 
@@ -310,7 +352,7 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
         each = np.split(ids, bounds[1:-1])
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             if any(s.encode() in raw[a:b] for s in model(path).special):
-                each[i] = np.array(library(path).encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint16)
+                each[i] = np.array(library(path).encode(raw[a:b].decode(), add_special_tokens=False).ids, ids.dtype)
         ids, bounds = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
     return ids, bounds
 
