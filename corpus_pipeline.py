@@ -18,8 +18,16 @@ from basketry.llm.queries import VOCABULARY
 
 
 def _key() -> Column:
-    """A document's name within a stage, from its id and text."""
-    return F.xxhash64("doc_id", "text")
+    """A document's name within a stage, 128 bits of its id and text."""
+    return F.md5(F.concat(*[part for c in ("doc_id", "text") for part in (
+        F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("v"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"))),
+        F.coalesce(F.col(c).cast("string"), F.lit("")))]))
+
+
+def _documents(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` with each row as one ``document``, so that no column of a user meets
+    one of an operator."""
+    return docs.select(F.struct(*docs.columns).alias("document"), *more)
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -28,24 +36,26 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
-    return quality.quality_rules(docs).where(F.col("rejected_by").isNull()).select(*docs.columns)
+    judged = quality.quality_rules(_documents(docs, F.col("text")))
+    return judged.where(F.col("rejected_by").isNull()).select("document.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays, of its
+    repeated rows the least."""
     groups = jaccard_join.jaccard_components(_named(docs)).select(F.col("doc_id").alias("key"), "component_id")
     ids = docs.select(_key().alias("key"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id").alias("id"))
     kept = (groups.distinct().join(ids, "key").groupBy("component_id")
             .agg(F.min(F.struct("id", "key")).alias("first")).select(F.col("first.key").alias("kept")))
-    keyed = docs.select(_key().alias("kept"), F.struct(*docs.columns).alias("document"))
-    return keyed.join(kept, "kept", "left_semi").dropDuplicates(["kept"]).select("document.*")
+    keyed = _documents(docs, _key().alias("kept")).join(kept, "kept", "left_semi")
+    return keyed.groupBy("kept").agg(F.min("document").alias("document")).select("document.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     spans = decontaminate.contaminated_words(_named(docs), table(spark, sf_dir, "benchmark"))
     hit = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias("key")).distinct()
-    keyed = docs.select(_key().alias("key"), F.struct(*docs.columns).alias("document"))
+    keyed = _documents(docs, _key().alias("key"))
     return keyed.join(hit, "key", "left_anti").select("document.*")
 
 
