@@ -261,7 +261,12 @@ class PieceTable:
         length = length[same]
         end = np.concatenate([[0], np.cumsum(length)])
         step = np.arange(end[-1])
-        given = np.frombuffer(raw, np.uint8)[step + np.repeat(starts[same] - end[:-1], length)]
+        given = np.frombuffer(raw, np.uint8)
+        if len(same) and end[-1] == ends[same[-1]] - starts[same[0]]:
+            # piece by piece without a gap
+            given = given[starts[same[0]]:ends[same[-1]]]
+        else:
+            given = given[step + np.repeat(starts[same] - end[:-1], length)]
         held = self.text[step + np.repeat(self.text_at[slot[same]] - end[:-1], length)]
         apart = np.flatnonzero(given != held)
         other[same[np.unique(np.searchsorted(end, apart, "right") - 1)]] = True
