@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from basketry.functions.itemsets import explode_items
-from basketry.session import cut
+from basketry.session import cut, persisted
 
 # Largest side we broadcast, in rows and in bytes; above it the join shuffles.
 # Both plans give the same rows.
@@ -176,24 +176,26 @@ def encode(baskets: DataFrame, min_count: int | None = None, order: str = "suppo
            n: int | None = None, min_ratio: float | None = None) -> Encoded:
     """Count, code the frequent items, encode and checkpoint the baskets.
 
-    Two passes over the input, which is never stored: one counts baskets and items
-    together, one encodes. What is written is the item table and the folded baskets of codes.
+    Two passes over the input: one counts baskets and items together, one encodes. A
+    small input is kept for both (``persisted``), a large one read twice. What
+    is written is the item table and the folded baskets of codes.
     """
     from basketry.functions.itemsets import min_count_for
-    counts = counted_items(baskets)
-    if n is None or order == "item":
-        counts = cut(counts)
-    if n is None:
-        n = (counts.where(F.col("item").isNull()).first() or [None, 0])[1]
-    mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
-    counts = counts.where(F.col("item").isNotNull())
-    sup = counts.where(F.col("support") >= F.lit(mc))
-    codes, n_codes = _small_codes(sup, order)
-    if codes is None:
-        sup = cut(sup)
-        codes = cut(item_codes(sup, order))
-        n_codes = codes.count()
-    enc = cut(encode_baskets(baskets, codes, n_codes))
+    with persisted(baskets) as b:
+        counts = counted_items(b)
+        if n is None or order == "item":
+            counts = cut(counts)
+        if n is None:
+            n = (counts.where(F.col("item").isNull()).first() or [None, 0])[1]
+        mc = int(min_count) if min_count is not None else min_count_for(min_ratio, n)
+        counts = counts.where(F.col("item").isNotNull())
+        sup = counts.where(F.col("support") >= F.lit(mc))
+        codes, n_codes = _small_codes(sup, order)
+        if codes is None:
+            sup = cut(sup)
+            codes = cut(item_codes(sup, order))
+            n_codes = codes.count()
+        enc = cut(encode_baskets(b, codes, n_codes))
     return Encoded(codes=codes, n_codes=n_codes, baskets=enc, n=n, min_count=mc, counts=counts)
 
 

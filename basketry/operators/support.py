@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from basketry.functions.itemsets import contains_all, explode_items
 from basketry.operators.encoding import (BROADCAST_BYTES, BROADCAST_ROWS, UNMEASURED_ROWS, Encoded, counted_items, decode,
                                          encode, encode_baskets, encode_itemsets, item_codes, maybe_broadcast, table_bytes)
-from basketry.session import cut
+from basketry.session import cut, persisted
 
 
 # Probe restriction: used when baskets can be wide (more codes than
@@ -239,11 +239,12 @@ def itemset_closure(baskets: DataFrame, candidates: DataFrame, strategy: str = "
     Every item of closure(X) has support >= support(X), so the baskets are
     restricted to items at least as frequent as the rarest candidate support.
     """
-    sup = cut(itemset_support(baskets, candidates, strategy=strategy, col=col))
-    low = sup.agg(F.min("support")).first()[0]
-    if low is None:
-        return sup.select(col, "support", F.col(col).alias("closure")).limit(0)
-    enc = encode(baskets, int(low), order="support", n=-1)
+    with persisted(baskets) as b:
+        sup = cut(itemset_support(b, candidates, strategy=strategy, col=col))
+        low = sup.agg(F.min("support")).first()[0]
+        if low is None:
+            return sup.select(col, "support", F.col(col).alias("closure")).limit(0)
+        enc = encode(b, int(low), order="support", n=-1)
     cands = cut(encode_itemsets(sup, enc.codes, enc.n_codes, col))
     n_c = cands.count()
     cl = closure_codes(enc, cands, n_c, strategy=strategy)

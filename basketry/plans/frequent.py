@@ -12,7 +12,7 @@ from basketry.functions.itemsets import md5_unit
 from basketry.operators.encoding import Encoded, counted_items, decode, encode, maybe_broadcast
 from basketry.operators.support import itemset_support, match_codes, rarest_code
 from basketry.plans.closed import resolve_min_count
-from basketry.session import cut
+from basketry.session import cut, persisted
 
 
 def frequent_itemsets_fp(baskets: DataFrame, min_count: int | None = None,
@@ -249,10 +249,11 @@ def frequent_itemsets_son(baskets: DataFrame, min_ratio: float, chunk_rows: int
     counts the union of local results exactly on all baskets, so how the baskets
     fall into chunks never changes the answer.
     """
-    if n is None:
-        n = baskets.count()
-    mc = resolve_min_count(n, None, min_ratio)
-    local = local_supports(baskets, min_ratio, chunk_rows, n)
-    cands = cut(max_local_support(local, min_ratio).select("items"))
-    sup = cut(itemset_support(baskets, cands, strategy=strategy))
+    with persisted(baskets) as b:
+        if n is None:
+            n = b.count()
+        mc = resolve_min_count(n, None, min_ratio)
+        local = local_supports(b, min_ratio, chunk_rows, n)
+        cands = cut(max_local_support(local, min_ratio).select("items"))
+        sup = cut(itemset_support(b, cands, strategy=strategy))
     return sup.where(F.col("support") >= F.lit(mc)).select("items", "support")

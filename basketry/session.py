@@ -66,15 +66,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Inputs whose tables are larger than this are read again for each pass, not kept.
+PERSIST_BYTES = 16 << 30
+
+
+def scanned_bytes(df: DataFrame) -> int:
+    """The size of the tables that ``df`` reads, as Spark's plan knows it (a checkpoint
+    counts as boundless: reading it again costs little)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 @contextmanager
 def persisted(df: DataFrame):
-    """Keep ``df`` (an input read several times) in memory/disk for a block.
+    """Keep ``df`` (an input read several times) in memory/disk for a block, where
+    the tables behind it are of at most ``PERSIST_BYTES``.
 
     Multi-pass operators read their baskets once per pass; persisting builds
-    them once. A lost block is rebuilt from lineage. A DataFrame the caller
+    small ones once, large ones are read again, so executor disks never hold a large input.
+    A lost block is rebuilt from lineage. A DataFrame the caller
     already persisted is used as is and left persisted.
     """
-    if df.storageLevel != StorageLevel(False, False, False, False, 1):
+    if scanned_bytes(df) > PERSIST_BYTES or df.storageLevel != StorageLevel(False, False, False, False, 1):
         yield df
         return
     p = df.persist(StorageLevel.MEMORY_AND_DISK)

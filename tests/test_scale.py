@@ -124,6 +124,20 @@ def test_baskets_and_items_are_counted_in_one_pass(spark):
     assert dataset_closure(df.limit(0)).first().closure == []
 
 
+def test_only_small_inputs_are_kept(spark, monkeypatch, tmp_out):
+    from basketry import session
+    make_baskets(spark, random_baskets(8)).write.parquet(f"{tmp_out}/b")
+    df = spark.read.parquet(f"{tmp_out}/b")
+    assert 0 < session.scanned_bytes(df) < 1 << 20
+    with session.persisted(df) as kept:
+        assert kept.storageLevel.useMemory
+        small = as_dict(closed_itemsets(df, min_count=5))
+    monkeypatch.setattr(session, "PERSIST_BYTES", 10)
+    with session.persisted(df) as kept:
+        assert not kept.storageLevel.useMemory and not kept.storageLevel.useDisk
+    assert as_dict(closed_itemsets(df, min_count=5)) == small
+
+
 def test_fp_groups_follow_the_histogram():
     assert fp_groups(items=5, slots=100, most=50, parallelism=8) == 5
     assert fp_groups(items=900, slots=100, most=50, parallelism=8) == 8
