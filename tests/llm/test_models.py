@@ -242,10 +242,14 @@ def test_a_conversation_over_many_blocks_and_partitions(spark):
     rows = [(5, t, rnd.choice(["user", "assistant", "assistant", "system"]), rnd.choice(["A.", "B.", "c", "", f"{t}."]))
             for t in range(1500)]
     rows += [(c, t, r, f"{t} {r}.") for c in (1, 9) for t, r in enumerate(["user", "assistant"] * 2)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
     blocks = repair.repair_blocks(repair.faults(repair.damaged(chat_table(spark, rows).repartition(6))))
     of_long = blocks.where("conv_id = 5")
     assert of_long.select("part").distinct().count() > 1 and of_long.where("NOT opens").count() > 3
     got = repair.repair_report(chat_table(spark, rows).repartition(6)).collect()
+    spark.conf.set(key, before)
     assert sorted(map(tuple, got)) == sorted(expected(rows))
 
 
