@@ -10,10 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
+from basketry.operators.encoding import BROADCAST_ROWS
+from basketry.session import scanned_bytes
 
 # Fixed value of the reference's document text format: the record delimiter.
 DOCUMENT_DELIMITER = "---END.OF.DOCUMENT---"
@@ -39,23 +41,58 @@ def _typed(tokens, item_type: str, hashed: bool):
     return tokens
 
 
+# No scan cuts a file into pieces smaller than this (Spark's cost of opening one).
+LEAST_SPLIT_BYTES = 4 << 20
+
+
+def numbered_records(records: DataFrame) -> DataFrame:
+    """``(basket_id, value)`` of a text scan: the records of all files numbered from 0,
+    files in the order of their paths.
+
+    The number of a record does not depend on how the files are cut into splits and
+    dealt to tasks, so samples by id (P1) stay the same under any cluster or setting.
+    One scan counts the records of each split; the splits before a record and its
+    place in its own split give its number. The table of splits has a row for each
+    split that the driver plans; it is broadcast while the files' size bounds it, and the
+    two scans share one plan, so both see the same splits.
+    """
+    spark = records.sparkSession
+    placed = records.select("value", F.col("_metadata.file_path").alias("path"),
+                            F.col("_metadata.file_block_start").alias("block"),
+                            F.monotonically_increasing_id().alias("place"))
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (placed.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+                    .select("path", "block",
+                            (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")))
+    least = min(LEAST_SPLIT_BYTES, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    if len(records.inputFiles()) + scanned_bytes(records) // max(least, 1) <= BROADCAST_ROWS:
+        splits = F.broadcast(splits)
+    return placed.join(splits, ["path", "block"]).select((F.col("place") + F.col("shift")).alias("basket_id"), "value")
+
+
+def _records(records: DataFrame, stable_ids: bool) -> DataFrame:
+    if stable_ids:
+        return numbered_records(records)
+    return records.select(F.monotonically_increasing_id().alias("basket_id"), "value")
+
+
 def read_baskets(spark: SparkSession, path: str, sep: str = " ", item_type: str = "string",
                  keep_empty: bool = False, hashed: bool = False,
-                 num_partitions: int | None = None, escaped: bool = False) -> DataFrame:
+                 num_partitions: int | None = None, escaped: bool = False,
+                 stable_ids: bool = True) -> DataFrame:
     """One basket per text line, items separated by ``sep``.
 
-    ``basket_id`` comes from ``monotonically_increasing_id`` taken right at
-    the file scan, so it depends only on the file split and row position and
-    is reproduced exactly when a lost task re-reads its split. It changes when
-    the files are split otherwise, and id-based samples (P1) of text baskets with
-    it. ``escaped`` undoes the escapes of ``write_baskets``.
+    ``basket_id`` is the number of the line (see ``numbered_records``).
+    ``stable_ids=False`` saves the scan that counts the lines: the ids then follow the
+    file split, and id-based samples (P1) change with it. ``escaped`` undoes the
+    escapes of ``write_baskets``.
     """
     import re
-    df = spark.read.text(path)
+    df = _records(spark.read.text(path), stable_ids)
     toks = _tokens(F.col("value"), re.escape(sep), keep_empty)
     if escaped:
         toks = F.transform(toks, lambda t: _unescaped(t, sep))
-    out = df.select(F.monotonically_increasing_id().alias("basket_id"),
+    out = df.select("basket_id",
                     canonical(_typed(toks, item_type, hashed)).alias("items"))
     if num_partitions:
         out = out.repartition(num_partitions, "basket_id")
@@ -75,11 +112,10 @@ def text_to_baskets(df: DataFrame, id_col: str, text_col: str, hashed: bool = Fa
 
 def read_delimited_documents(spark: SparkSession, path: str,
                              delimiter: str = DOCUMENT_DELIMITER, hashed: bool = False,
-                             lower: bool = False) -> DataFrame:
+                             lower: bool = False, stable_ids: bool = True) -> DataFrame:
     """Multi-line records cut at ``delimiter``, split on white space
-    (which also strips them); records without a word are dropped."""
-    df = spark.read.option("lineSep", delimiter).text(path)
-    df = df.select(F.monotonically_increasing_id().alias("basket_id"), "value")
+    (which also strips them); records without a word are dropped. Ids as in S1."""
+    df = _records(spark.read.option("lineSep", delimiter).text(path), stable_ids)
     b = text_to_baskets(df, "basket_id", "value", hashed=hashed, lower=lower)
     return b.where(F.size("items") > 0)
 

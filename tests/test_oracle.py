@@ -16,7 +16,8 @@ NAMES = ["m1_closed_customer", "m1_closed_lineitem", "m5_closed_fp_customer",
          "a4_itemset_closure_lineitem", "m2_approx_closed_events", "m6_apriori_brands",
          "s6_size_variants_customer", "a5_dataset_closure", "a6_grouped_closure_lineitem",
          "a7_frequent_among_customer", "a13_level_union_words", "f2_min_support_words",
-         "j6_closed_any_words", "m7_son_words", "s1_bigint_parts", "s1_hashed_brands",
+         "j6_closed_any_words", "m7_son_words", "s1_bigint_parts", "s1_hashed_brands", "s1_line_ids_parts",
+         "p1_sample_text_brands",
          "s5_s1_roundtrip_lineitem", "s8_lattice_roundtrip_customer"]
 
 

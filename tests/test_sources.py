@@ -2,6 +2,10 @@
 
 import os
 
+from pyspark.sql import functions as F
+
+from basketry.operators.sampling import sample_baskets
+from basketry.sources import baskets
 from basketry.sources.baskets import (attribute_baskets, baskets_from_rows, generate_zipf_baskets,
                                       read_baskets, read_delimited_documents, text_to_baskets,
                                       write_baskets, write_documents)
@@ -40,6 +44,57 @@ def test_delimited_documents(spark, tmp_out):
     assert sorted(list(r["items"]) for r in back.collect()) == [["a", "b"], ["a", "b", "c"]]
 
 
+def split_finely(spark, size):
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(key, size)
+
+
+def test_ids_do_not_follow_the_file_split(spark, tmp_out):
+    os.mkdir(f"{tmp_out}/in")
+    lines, n = {}, 0
+    for name, count in (("b", 0), ("a", 700), ("d", 1), ("c", 1300)):
+        with open(f"{tmp_out}/in/{name}.txt", "w") as f:
+            f.writelines(f"{name}{i} x\n" if i % 7 else "\n" for i in range(count))
+    for name, count in (("a", 700), ("c", 1300), ("d", 1)):
+        for i in range(count):
+            lines[n] = sorted([f"{name}{i}", "x"]) if i % 7 else []
+            n += 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("64", "1000", "128m"):
+            split_finely(spark, size)
+            b = read_baskets(spark, f"{tmp_out}/in")
+            assert {r.basket_id: list(r["items"]) for r in b.collect()} == lines, size
+            picked = sample_baskets(b, 0.2, seed=3).select("basket_id").toPandas()["basket_id"]
+            assert sorted(picked) == sorted(sample_baskets(spark.range(n).select(F.col("id").alias("basket_id")), 0.2, seed=3)
+                                            .toPandas()["basket_id"]), size
+            assert read_baskets(spark, f"{tmp_out}/in", stable_ids=False).select("basket_id").distinct().count() == n
+        # the join without a broadcast gives the same ids
+        baskets.BROADCAST_ROWS, kept = 0, baskets.BROADCAST_ROWS
+        try:
+            split_finely(spark, "1000")
+            assert {r.basket_id: list(r["items"]) for r in read_baskets(spark, f"{tmp_out}/in").collect()} == lines
+        finally:
+            baskets.BROADCAST_ROWS = kept
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_ids_of_delimited_documents(spark, tmp_out):
+    with open(f"{tmp_out}/d.txt", "w") as f:
+        f.write("---END.OF.DOCUMENT---".join(f"w{i}\nx" if i % 3 else " \n" for i in range(300)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("100", "128m"):
+            split_finely(spark, size)
+            got = {r.basket_id: list(r["items"]) for r in read_delimited_documents(spark, f"{tmp_out}/d.txt").collect()}
+            assert got == {i: [f"w{i}", "x"] for i in range(300) if i % 3}, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
 def test_text_and_row_forms(spark):
     d = spark.createDataFrame([(1, "The cat THE\tdog"), (2, None)], "doc_id long, text string")
     b = {r.basket_id: r["items"] for r in text_to_baskets(d, "doc_id", "text").collect()}
