@@ -1,8 +1,10 @@
 """Toxicity, packing, Jaccard join, token counts, suffix dedup, the pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -132,6 +134,74 @@ def test_packing_prefers_neighbours():
     assert pure >= 16
 
 
+def bm25(docs, seed):
+    """Scores of all documents for the terms of one, straight from the formula."""
+    mean = sum(map(len, docs)) / len(docs)
+    out = []
+    for d in docs:
+        score = 0.0
+        for t in {x for x in docs[seed] if x != packing.END_ID}:
+            df, tf = sum(t in o for o in docs), d.count(t)
+            score += (math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1)
+                      / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)))
+        out.append(score)
+    return out
+
+
+def test_index_scores_are_bm25():
+    rnd = np.random.default_rng(8)
+    docs = [[*rnd.zipf(1.4, rnd.integers(0, 60)).clip(2, 90).tolist(), packing.END_ID] for _ in range(50)]
+    ids, bounds = np.concatenate(docs).astype(np.int64), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    holding = np.bincount(np.concatenate([np.unique(d) for d in docs]).astype(int), minlength=100)
+    index = packing.Index(ids, bounds, holding, 50, len(ids) / 50)
+    for seed in range(50):
+        want = bm25(docs, seed)
+        assert np.allclose(index.neighbours(seed), want)
+        ranked = list(packing.best_first(index.neighbours(seed)))
+        assert sorted(ranked) == [d for d in range(50) if want[d] > 1e-12]
+        assert np.all(np.diff([want[d] for d in ranked]) <= 1e-9)
+    doc, term, count = packing.term_counts(ids, bounds)
+    weight = packing.term_weights(index.idf, doc, term, count, bounds, len(ids) / 50)
+    for d, route in enumerate(packing.routes(doc, term, weight, 50).tolist()):
+        own = sorted((-w, t) for w, t in zip(weight[doc == d].tolist(), term[doc == d].tolist()))[:packing.ROUTE_TERMS]
+        want = [t for _, t in own] + [0xFFFF] * (packing.ROUTE_TERMS - len(own))
+        assert [route >> 16 * k & 0xFFFF for k in reversed(range(packing.ROUTE_TERMS))] == want
+
+
+def test_packing_brings_copies_together_across_shards(spark, monkeypatch):
+    """Each text has a twin far away in the table; with shards of 8 documents a
+    random deal would bring few together. A group of 60 copies is parted by row."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 3_000)
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(3_000)]
+    texts = [" ".join(rnd.choices(words, k=100)) for _ in range(60)]
+    docs = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, "same " * 300) for i in range(60)]
+    pieces = packing.pack_documents(documents(spark, docs), PATH).collect()
+    shards, sizes = {}, Counter()
+    for p in pieces:
+        shards.setdefault(p.doc_id, set()).add(p.sequence_id >> 32)
+        sizes[p.sequence_id >> 32] += p.length
+    assert all(len(s) == 1 for s in shards.values()) and len(sizes) >= 8
+    assert sum(shards[i] == shards[100 + i] for i in range(60)) >= 50
+    assert len(set.union(*(shards[200 + i] for i in range(60)))) >= 2
+    assert max(sizes.values()) < 3 * 3_000
+
+
+def test_packing_closes_a_shard_at_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_TOKENS", 5_000)
+    docs = [(i, f"t{i % 7} " * (1 + 37 * i % 900)) for i in range(60)]
+    pieces = packing.pack_documents(documents(spark, docs), PATH).collect()
+    got, offsets = Counter(), {}
+    for p in pieces:
+        got[p.doc_id] += p.length
+        offsets.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert {p.doc_id: p.doc_tokens for p in pieces} == dict(got) and len(got) == 60
+    for parts in offsets.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= packing.SEQUENCE
+    assert sum(sum(n for _, n in x) < packing.SEQUENCE for x in offsets.values()) > 1
+
+
 def test_packing_fills_windows_of_short_texts_with_neighbours():
     """Forty texts a window, whose 34 heaviest terms are their own."""
     own = np.arange(400 * 34).reshape(400, 34) + 2000
