@@ -27,9 +27,11 @@ from basketry.llm import common as C
 
 #: Words of a shingle; a shorter window is one shingle.
 SHINGLE = 3
-#: Copies of the prefix index per key, so that a passage that very many
-#: documents hold is joined in several tasks.
-SALTS = 8
+#: Documents a part of a prefix shingle holds: one that more documents hold is joined in
+#: several parts, each with a copy of its windows.
+SALT_ROWS = 512
+#: Prefix shingles held by more documents than that which may be broadcast.
+HOT_SHINGLES = 100_000
 
 
 def _words(data, offsets):
@@ -141,8 +143,9 @@ def _candidates(size: int, kinds: list[int], shared):
 
 
 def prefix_index(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """(kind, shingle, place, words, items): each distinct window under its
-    rarest shingle, and where in the window that shingle stands."""
+    """(kind, shingle, j, words, items, salts): each distinct window under its
+    rarest shingle, where in the window that shingle stands, and into how many parts
+    the documents that hold the shingle are dealt."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string"), "text")
     windows = (items.mapInArrow(_windows(size), "item_id string, words array<string>")
@@ -157,7 +160,8 @@ def prefix_index(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
                  .groupBy("kind", "shingle").agg(F.sum("n").alias("df")))
     rare = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place", "items")).alias("p")
     return C.stored(each.join(frequency, ["kind", "shingle"], "left").groupBy("kind", "words").agg(rare)
-                    .select("kind", "p.shingle", F.col("p.place").alias("j"), "words", "p.items"), "prefixes")
+                    .select("kind", "p.shingle", F.col("p.place").alias("j"), "words", "p.items",
+                            (1 + F.floor(F.col("p.df") / SALT_ROWS)).cast("long").alias("salts")), "prefixes")
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -174,9 +178,14 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
     found = (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
              .mapInArrow(_candidates(size, kinds, bits),
                          f"row long, doc_id {id_type}, kind int, shingle long, place long, at long, n_words long, "
-                         "around array<string>")
-             .withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")))
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                         "around array<string>"))
+    # at most one row per prefix shingle of the benchmark
+    hot = index.where("salts > 1").select("kind", "shingle", "salts").distinct()
+    if hot.count() <= HOT_SHINGLES:
+        hot = F.broadcast(hot)
+    found = (found.join(hot, ["kind", "shingle"], "left")
+             .withColumn("salt", F.pmod("row", F.coalesce("salts", F.lit(1)))).drop("salts"))
+    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     length, start = F.size("words"), F.col("place") - F.col("j")
     inside = (F.col("at") >= F.col("j")) & (start >= 0) & (start + length <= F.col("n_words"))
     same = F.expr("slice(around, cast(at - j + 1 as int), size(words)) = words")
