@@ -13,6 +13,30 @@ from cases import SF, documents, empty, odd_texts, words
 from oracle_compare import compare, duck
 
 
+def test_a_passage_of_many_documents_is_joined_in_parts(spark, monkeypatch):
+    """Passages in most documents, in a third and in one: with few rows a part they are dealt to
+    many salts, with the same hits."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passages = [" ".join(rnd.choices(vocabulary, k=10 + k)) for k in range(3)]
+    items = spark.createDataFrame([(f"b{i}", p) for i, p in enumerate(passages)] + [("b9", passages[0])], "item_id string, text string")
+    rows = []
+    for i in range(120):
+        own = [" ".join(rnd.choices(vocabulary, k=15)) for _ in range(2)]
+        parts = [p for p, every in zip(passages, (1, 3, 97)) if i % every == 0]
+        rows.append((i, " ".join([own[0], *parts, own[1]])))
+    docs = documents(spark, rows)
+    whole = sorted(map(tuple, decontaminate.contamination_report(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "SALT_ROWS", 7)
+    index = decontaminate.prefix_index(docs, items, 10)
+    assert index.agg(F.max("salts")).first()[0] == 1 + 120 // 7
+    assert sorted(map(tuple, decontaminate.contamination_report(docs, items).collect())) == whole
+    for doc_id, text in rows:
+        n_items = 2 + (doc_id % 3 == 0) + (doc_id % 97 == 0)
+        row = next(r for r in whole if r[0] == doc_id)
+        assert row[3] == n_items and row[2] >= 10 * (n_items - 1), (doc_id, row)
+
+
 @pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontaminate", "op3_quality_rules", "op8_license_scan"])
 def test_query_matches_sql(spark, name):
     ok, message = compare(spark, duck(SF), name, SF)
@@ -75,6 +99,33 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contamination_report(empty(spark), benchmark).count() == 0
 
 
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    """Two rules that reject the same share, one of them dear, and one that rejects only
+    what another one has rejected."""
+    def dear(x, steps):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda a, i: (a * 31 + i) % 1_000_003) >= 0
+
+    docs = spark.range(800).select(F.col("id"), F.concat(F.lit("text "), "id").alias("text"))
+    rules = [quality.Rule("within", F.col("id") % 4 == 0),
+             quality.Rule("dear", dear(F.col("id"), 500) & (F.col("id") % 2 == 1)),
+             quality.Rule("cheap", F.col("id") % 2 == 0),
+             quality.Rule("none", F.col("id") < 0), quality.Rule("null", F.lit(None).cast("boolean"))]
+    for _ in range(3):
+        order = [r.name for r in quality.cascade(docs, rules)]
+        assert order[:2] == ["cheap", "dear"] and set(order[2:]) == {"within", "none", "null"}
+    costs = quality.rule_costs(docs.repartition(1).persist(), rules)
+    assert costs["dear"] > 10 * costs["cheap"]
+
+
+def test_rules_at_each_place_count_what_is_left():
+    rules = [quality.Rule(x, None) for x in "abc"]
+    verdicts = [((True, True, False), 50), ((False, True, False), 10), ((False, False, True), 20), ((False,) * 3, 100)]
+    order = quality.by_rejection_per_cost(rules, verdicts, {"a": 1.0, "b": 2.0, "c": 1.0})
+    # a 50, b 30, c 20; after a: c 20, b 5
+    assert [r.name for r in order] == ["a", "c", "b"]
+    assert [r.name for r in quality.by_rejection_per_cost(rules, [], {"a": 3.0, "b": 2.0, "c": 1.0})] == ["c", "b", "a"]
+
+
 def test_quality_keeps_columns_and_any_order_gives_one_verdict(spark):
     docs = documents(spark, odd_texts())
     kept = quality.quality_rules(docs.drop("rejected_by"))
