@@ -8,7 +8,9 @@ small letter, a bracket or a quote; sentences end at line ends, at . ! ? before
 white space, and at a colon before white space and a capital. A known sentence may
 also run over several lines, whatever their breaks, indentation, blank lines and
 comment marks (# * // and the like), but starts and ends where a sentence does; the
-longest known sentence counts. Normal form: A-Z in lower case, every run of other characters than
+longest known sentence counts. The name that a clause "Neither the name of .. nor the names of" gives (up to 100
+characters) counts as the copyright holder. An SPDX-License-Identifier names every licence of its expression that is known,
+joined by OR or AND, whatever its exceptions. Normal form: A-Z in lower case, every run of other characters than
 a-z0-9 one blank, no blank at the ends. Defined results: a null or empty text has
 no sentences and no licence; unknown sentences stand between known ones without
 parting them; a licence found several times is listed once; repeated rows give a
@@ -67,9 +69,41 @@ SENTENCES = {
     "isc-1": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
              "hereby granted, provided that the above copyright notice and this permission notice appear in all "
              "copies.",
-    "mpl-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl2-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl11-1": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may '
+               'not use this file except in compliance with the License.',
+    "gpl2-only-1": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                   "General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-only-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                   "General Public License as published by the Free Software Foundation; either version 2 of the "
+                   "License.",
+    "gpl2-only-3": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                   "General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "gpl3-only-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                   "General Public License as published by the Free Software Foundation, version 3 of the License.",
+    "lgpl21-1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                "License, or (at your option) any later version.",
+    "lgpl3-1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+               "Lesser General Public License as published by the Free Software Foundation; either version 3 of the "
+               "License, or (at your option) any later version.",
+    "lgpl-2": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+              "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-3": "See the GNU Lesser General Public License for more details.",
+    "agpl3-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+               "License, or (at your option) any later version.",
+    "agpl-3": "See the GNU Affero General Public License for more details.",
 }
 
+# Identifiers of SPDX lines, with the current name of the older ones.
+SPDX = {x: x for x in (
+    "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-1.1", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+SPDX |= {x: f"{x}-only" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+SENTENCES |= {f"spdx-{x.lower()}": f"SPDX-License-Identifier {x}" for x in SPDX}
+
 #: (licence, sentences in order); the first rule that fits takes its sentences.
 RULES = [
     ("Apache-2.0", ["apache-1", "apache-2", "apache-3", "apache-4"]),
@@ -78,6 +112,13 @@ RULES = [
     ("MIT", ["mit-1", "mit-2", "mit-3"]),
     ("GPL-3.0-or-later", ["gpl3-1", "gpl-2", "gpl-3"]),
     ("GPL-2.0-or-later", ["gpl2-1", "gpl-2", "gpl-3"]),
+    ("GPL-2.0-only", ["gpl2-only-1", "gpl-2", "gpl-3"]),
+    ("GPL-2.0-only", ["gpl2-only-2", "gpl-2", "gpl-3"]),
+    ("GPL-2.0-only", ["gpl2-only-3", "gpl-2", "gpl-3"]),
+    ("GPL-3.0-only", ["gpl3-only-1", "gpl-2", "gpl-3"]),
+    ("LGPL-2.1-or-later", ["lgpl21-1", "lgpl-2", "lgpl-3"]),
+    ("LGPL-3.0-or-later", ["lgpl3-1", "lgpl-2", "lgpl-3"]),
+    ("AGPL-3.0-or-later", ["agpl3-1", "gpl-2", "agpl-3"]),
     ("MIT", ["mit-1", "mit-2"]),
     ("Apache-2.0", ["apache-1"]),
     ("Apache-2.0", ["apache-notice"]),
@@ -90,12 +131,27 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("ISC", ["isc-1"]),
-    ("MPL-2.0", ["mpl-1"]),
-]
+    ("MPL-2.0", ["mpl2-1"]),
+    ("MPL-1.1", ["mpl11-1"]),
+    ("GPL-2.0-only", ["gpl2-only-1"]),
+    ("GPL-2.0-only", ["gpl2-only-2"]),
+    ("GPL-2.0-only", ["gpl2-only-3"]),
+    ("GPL-3.0-only", ["gpl3-only-1"]),
+    ("LGPL-2.1-or-later", ["lgpl21-1"]),
+    ("LGPL-3.0-or-later", ["lgpl3-1"]),
+    ("AGPL-3.0-or-later", ["agpl3-1"]),
+] + [(name, [f"spdx-{x.lower()}"]) for x, name in SPDX.items()]
 
 CONTINUED = r'([^.!?:;\n])\n([a-z("])'
 SENTENCE_END = r"([.!?])[ \t\r]+"
 LIST_START = r":[ \t\r]+([A-Z])"
+VERSION = r"([ (])v\.[ \t]*([0-9])"
+SPDX_TAG = r"SPDX-License-Identifier:[ \t]*"
+SPDX_LATER = r"(SPDX-License-Identifier [ \t(]*[A-Z]+-[0-9.]+)\+"
+SPDX_LINE = "(SPDX-License-Identifier [^\n\x01]*)"
+_IDS = "|".join(re.escape(x) for x in sorted(SPDX, key=lambda x: (-len(x), x)))
+SPDX_NEXT = rf"\)*[ \t]+(?:OR|AND)[ \t]+\(*({_IDS})"
+SPDX_WITH = r"[ \t]+WITH[ \t]+([A-Za-z0-9.-]*-(?:exception|note))"
 NOT_ALNUM = "[^a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,6 +162,15 @@ def normalised(sentence: str) -> str:
 
 #: Ends a sentence within a line.
 MARK = "\x01"
+#: Who a clause names stands for the copyright holder.
+HOLDER = ("neither[ \n]the[ \n]name[ \n]of[ \n][a-z0-9 \n\x01]{1,100}?[ \n\x01]nor[ \n]the[ \n]names[ \n]of[ \n]",
+          "neither the name of the copyright holder nor the names of ")
+#: Steps on a given text, in order: pattern and replacement ($1: group).
+STEPS = [(SPDX_TAG, MARK + "SPDX-License-Identifier "), (SPDX_WITH, MARK + "with $1"),
+         (SPDX_NEXT, MARK + "SPDX-License-Identifier $1"), (SPDX_LATER, "$1-or-later"), (SPDX_LINE, "$1" + MARK),
+         (VERSION, "$1v $2"), (CONTINUED, "$1 $2"), (SENTENCE_END, "$1" + MARK), (LIST_START, ":" + MARK + "$1")]
+#: Steps on a text in lower case: comment marks and indentation become blanks, lines without words go.
+NORMAL_STEPS = [(f"[^a-z0-9\n{MARK}]+", " "), (" *\n[ \n]*", "\n"), (f"[ \n]*{MARK}[ \n{MARK}]*", MARK)]
 #: Any known sentence from the start of a sentence or line to the end of one, the longest first.
 KNOWN = (f"(?<![^\n{MARK}])(?:" + "|".join(
     normalised(s).replace(" ", "[ \n]") for s in sorted(SENTENCES.values(), key=lambda s: -len(normalised(s))))
@@ -116,12 +181,13 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (normalised(s), name)])
     # a mark that no text holds stands for the end of a sentence within a line
-    given = F.translate(F.coalesce(text, F.lit("")), MARK, "\x02")
-    joined = F.regexp_replace(given, CONTINUED, "$1 $2")
-    ended = F.regexp_replace(F.regexp_replace(joined, SENTENCE_END, "$1" + MARK), LIST_START, ":" + MARK + "$1")
-    # comment marks and indentation are blanks by then, and lines without words go
-    normal = F.regexp_replace(F.translate(ended, UPPER, LOWER), f"[^a-z0-9\n{MARK}]+", " ")
-    lines = F.trim(F.regexp_replace(F.regexp_replace(normal, " *\n[ \n]*", "\n"), f"[ \n]*{MARK}[ \n{MARK}]*", MARK))
+    lines = F.translate(F.coalesce(text, F.lit("")), MARK, "\x02")
+    for pattern, by in STEPS:
+        lines = F.regexp_replace(lines, pattern, by)
+    lines = F.translate(lines, UPPER, LOWER)
+    for pattern, by in NORMAL_STEPS:
+        lines = F.regexp_replace(lines, pattern, by)
+    lines = F.regexp_replace(F.trim(lines), *HOLDER)
     found = F.regexp_extract_all(lines, F.lit(KNOWN), F.lit(0))
     return F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
 

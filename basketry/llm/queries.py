@@ -178,20 +178,33 @@ def _op8_sql() -> str:
     steps, last = [], "named"
     for k, (name, parts) in enumerate(licenses.RULES):
         pattern = "".join(f"<{x}>" for x in parts)
-        steps.append(f"rule{k} AS (SELECT r, doc_id, n, ids, replace(seq, '{pattern}', '<>') AS seq, "
+        steps.append(f"rule{k} AS MATERIALIZED (SELECT r, doc_id, n, ids, replace(seq, '{pattern}', '<>') AS seq, "
                      f"CASE WHEN contains(seq, '{pattern}') THEN list_append(found, '{name}') ELSE found END AS found "
                      f"FROM {last})")
         last = f"rule{k}"
-    continued, end = licenses.CONTINUED, licenses.SENTENCE_END
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def replaced(x: str, pairs) -> str:
+        for pattern, by in pairs:
+            x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(by.replace('$', chr(92)))}, 'g')"
+        return x
+
+    # every separator twice, so that each sentence has two of its own and needs no look around
+    mark = licenses.MARK
+    sentences = "|".join(licenses.normalised(s).replace(" ", "(?: |\n\n)")
+                         for s in sorted(licenses.SENTENCES.values(), key=lambda s: -len(licenses.normalised(s))))
+    given = replaced(f"translate(coalesce(text, ''), '{mark}', '\x02')", licenses.STEPS)
+    lines = replaced(f"translate({given}, '{licenses.UPPER}', '{licenses.LOWER}')", licenses.NORMAL_STEPS)
+    lines = replaced(f"trim({lines}, ' ')", [licenses.HOLDER])
     return f"""
 WITH known(sentence, name) AS (VALUES {known}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(
-           coalesce(text, ''), '{continued}', '\\1 \\2', 'g'), '{end}', '\\1' || chr(10), 'g'),
-           '{licenses.LIST_START}', ':' || chr(10) || '\\1', 'g'), chr(10)) AS parts
-         FROM documents),
-sentences AS (SELECT r, i, trim(regexp_replace(translate(parts[i], '{licenses.UPPER}', '{licenses.LOWER}'),
-                                               '{licenses.NOT_ALNUM}', ' ', 'g'), ' ') AS sentence
-              FROM (SELECT r, parts, unnest(generate_series(1, len(parts))) AS i FROM docs)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {lines} AS lines FROM documents),
+hits AS (SELECT r, regexp_extract_all('\n' || regexp_replace(lines, '([\n{mark}])', '\\1\\1', 'g') || '\n',
+                                      {quoted(f"[\n{mark}](?:{sentences})[\n{mark}]")}) AS parts
+         FROM docs),
+sentences AS (SELECT r, i, replace(trim(parts[i], '\n{mark}'), '\n\n', ' ') AS sentence
+              FROM (SELECT r, parts, unnest(generate_series(1, len(parts))) AS i FROM hits)),
 found AS (SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY i) AS ids,
                  string_agg('<' || name || '>', '' ORDER BY i) AS seq
           FROM sentences JOIN known USING (sentence) GROUP BY r),

@@ -198,6 +198,52 @@ def test_licence_rules(spark):
     assert licenses.license_report(empty(spark)).count() == 0
 
 
+def test_licence_versions_identifiers_and_named_holders(spark):
+    bsd = "\n".join(licenses.SENTENCES[f"bsd-{k}"] for k in (1, 2, 3, 4))
+    gpl2 = licenses.SENTENCES["gpl2-1"]
+    texts = {
+        "// SPDX-License-Identifier: MIT\nimport os\n": "MIT",
+        "/* SPDX-License-Identifier: GPL-2.0+ */ int x;": "",
+        "/* SPDX-License-Identifier: GPL-2.0+ */\nint x;": "GPL-2.0-or-later",
+        "# SPDX-License-Identifier: (GPL-2.0 WITH Linux-syscall-note) OR MIT": "GPL-2.0-only,MIT",
+        "SPDX-License-Identifier: MIT OR Apache-2.0 OR ISC AND LGPL-2.1+": "Apache-2.0,ISC,LGPL-2.1-or-later,MIT",
+        "SPDX-License-Identifier: MIT-0": "", "SPDX-License-Identifier:": "", "SPDX-License-Identifier: ": "",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of it": "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v.\n2.0. If": "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. If": "",
+        licenses.SENTENCES["mpl11-1"]: "MPL-1.1",
+        bsd: "BSD-3-Clause", bsd.replace("the copyright holder", "Example Inc."): "BSD-3-Clause",
+        bsd.replace("the copyright holder", "the University\n * of Somewhere"): "BSD-3-Clause",
+        bsd.replace("the copyright holder", "x" * 101): "BSD-2-Clause",
+        gpl2: "GPL-2.0-or-later", gpl2.replace(", or (at your option) any later version", ""): "GPL-2.0-only",
+        gpl2.replace("program", "library").replace("GNU", "GNU Lesser").replace("version 2", "version 2.1"): "LGPL-2.1-or-later",
+    }
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.licenses for r in licenses.license_report(documents(spark, rows)).collect()}
+    assert {t: got[i] for i, t in rows} == texts
+
+
+def test_licence_sql_on_odd_layouts(spark, tmp_path):
+    """The query's SQL against the operator where sentences run over lines, marks and comments."""
+    import duckdb
+    from basketry.llm.queries import SQL
+    rnd, known = random.Random(8), list(licenses.SENTENCES.values())
+    texts = ["", None, "\n", "\x01", ".", *(t for _, t in odd_texts())]
+    for _ in range(150):
+        parts = [rnd.choice(known) if rnd.random() < 0.8 else "unknown words (here)" for _ in range(rnd.randint(1, 5))]
+        text = rnd.choice(["\n", " ", "  ", "\n\n", "\n * ", "\x01"]).join(parts)
+        text = "".join(rnd.choice([" ", "\n", "\n# ", "\t", " \n"]) if c == " " and rnd.random() < 0.1 else c for c in text)
+        texts.append(rnd.choice([str, str.upper, str.lower])(text))
+    docs = documents(spark, list(enumerate(texts)))
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(SQL["op8_license_scan"])
+    names = [c[0] for c in want.description]
+    got = licenses.license_report(docs).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 HEADERS = {
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
