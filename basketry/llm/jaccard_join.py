@@ -51,6 +51,8 @@ ENTRIES, PART = 400_000, 20_000
 PIVOTS = 2
 #: Lists with the same smallest set are worked on together up to so many sets.
 HOME = 4096
+#: Tasks that the sets of one pivot are dealt to where its name is joined with.
+SALTS = 256
 #: Bytes of sets per group of lists.
 LIST_BYTES = 24 << 20
 _ENTRY = np.dtype([("shingle", "<u8"), ("set", "<u8"), ("n", "<i4"), ("place", "<i4")])
@@ -451,6 +453,15 @@ def _sets_of(shared):
     return run
 
 
+def _with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` (low, set, ..) with the columns that ``marks`` gives some pivots (low). A
+    pivot's rows go to SALTS places by their sets; ``marks`` holds at most a row for each
+    HOME / 2 rows, so its copies stay below the rows."""
+    salt = F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")
+    copies = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(copies, ["low", "salt"], "left").drop("salt")
+
+
 def _links_of(docs: DataFrame, members: DataFrame, chosen: DataFrame, shared, name: str) -> DataFrame:
     """Links within lists; ``members`` has (list, low, set, root, probe),
     ``chosen`` one document of each set. Lists with the same smallest set (low)
@@ -460,7 +471,7 @@ def _links_of(docs: DataFrame, members: DataFrame, chosen: DataFrame, shared, na
     members = C.stored(members, f"{name}_members")
     many = (members.select("low", "set").distinct().groupBy("low").count().where(F.col("count") > HOME)
             .select("low", F.lit(True).alias("many")))
-    members = members.join(many, "low", "left").withColumn(
+    members = _with_marks(members, many).withColumn(
         "home", F.when(F.col("many"), F.col("list")).otherwise(F.col("low")))
     needed = C.stored(members.select("set").distinct().join(chosen, "set"), f"{name}_sets")
     total = members.select("home", "set").distinct().join(needed, "set").agg(F.sum(8 * F.col("n"))).collect()[0][0] or 0
@@ -486,7 +497,7 @@ def _stars(tried: DataFrame) -> DataFrame:
     tried = C.stored(tried, "tried")
     hot = tried.groupBy("low").count().where(F.col("count") >= HOME).select(
         "low", F.ceil(F.col("count") * 2 / HOME).cast("long").alias("chunks"))
-    dealt = tried.join(hot, "low", "left").select(
+    dealt = _with_marks(tried, hot).select(
         "low", "set", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("set"), "chunks")).alias("chunk"))
     pivots = tried.select("low").distinct().join(hot, "low", "left").select(
         "low", F.col("low").alias("set"),
