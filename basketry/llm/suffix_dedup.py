@@ -14,6 +14,12 @@ hashes; neighbours' common extensions are verified byte by byte. For each place
 of the string around the anchor, runs of both orders then name the equal
 strings, and all but the earliest of them are covered.
 
+No hash gathers an unbounded group. Anchors are counted in 2^HOT_BITS buckets of their
+hashes first; those of a full bucket are dealt out by their surroundings too, which
+fold just the same. A hash that still has more than ``WIDE`` surroundings is not sorted:
+each string of 100 bytes around its anchors goes by its own 128-bit hash, of which a
+task sends on the earliest only.
+
 Texts are UTF-8 bytes; matches never cross documents. Documents come in the
 order of their ids. Defined results: a null or empty text has no bytes and keeps
 none; rows with one id and different texts are ordered by the texts' CRC-32, and
@@ -39,8 +45,11 @@ GRAM = 32
 REACH = LENGTH - GRAM
 #: Anchors per group of the index, and anchors folded at a time in a scan.
 ENTRIES, FOLDED = 300_000, 400_000
-#: Records whose suffixes are sorted at a time (a gram's are never parted).
-SORTED = 16_000
+#: Records whose suffixes are sorted at a time (a gram's are never parted), and the
+#: most surroundings of a gram that is sorted.
+SORTED = WIDE = 16_000
+#: Anchors are counted in 2^HOT_BITS buckets; one with so many more than others is full.
+HOT_BITS, HOT = 20, 32_000
 _FIRST_ID = -(1 << 63)
 _PLACE = [("id", "<i8"), ("tie", "<u4"), ("at", "<i4")]
 _ANCHOR = np.dtype([("gram", "<u8"), ("around", "<u8"), *_PLACE, ("left", "u1"), ("right", "u1")])
@@ -134,9 +143,45 @@ def _spans(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 _PACKED = "part int, entries binary, spans binary"
 
 
-def _pack(x: np.ndarray, spans: np.ndarray, parts: int, texts=None) -> pa.RecordBatch:
-    """Records by the part that their gram goes to; the spans go with any part."""
-    part = (C.mix(x["gram"]) % np.uint64(parts)).astype(np.int32)
+def _buckets(gram: np.ndarray) -> np.ndarray:
+    return (C.mix(gram) >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+
+
+def _count_anchors(batches):
+    """At the end of a partition: the counts of its anchors in 64 parts."""
+    counts = np.zeros(1 << HOT_BITS, np.int64)
+    for batch in batches:
+        for _, data, offsets in C.chunks(batch.column(0)):
+            counts += np.bincount(_buckets(anchors(data, offsets)[1]), minlength=1 << HOT_BITS)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(64, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(counts.astype(np.int32), 64)], pa.binary())],
+        names=["part", "counts"])
+
+
+def _add_counts(key, table):
+    total = np.zeros((1 << HOT_BITS) // 64, np.int64)
+    for x in table["counts"]:
+        total += np.frombuffer(x.as_buffer(), np.int32)
+    return pa.Table.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()),
+                                 "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def full_buckets(texts: DataFrame) -> np.ndarray:
+    """Which buckets of grams hold far more anchors than others (2^HOT_BITS flags)."""
+    counts = np.zeros(1 << HOT_BITS, np.int64)
+    for row in (texts.select("text").mapInArrow(_count_anchors, "part int, counts binary")
+                .groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()):
+        counts.reshape(64, -1)[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    return counts > counts.mean() + 8 * np.sqrt(counts.mean()) + HOT
+
+
+def _pack(x: np.ndarray, spans: np.ndarray, parts: int, texts=None, full=None) -> pa.RecordBatch:
+    """Records by the part that their gram, and in a full bucket their surroundings too, go
+    to; the spans go with any part."""
+    key = C.mix(x["gram"])
+    if full is not None:
+        key = np.where(full[_buckets(x["gram"])], C.mix(key ^ x["around"]), key)
+    part = (key % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     edges = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(x)]])
     rows = []
@@ -171,47 +216,91 @@ def _unpack(table: pa.Table):
     return np.concatenate(records), np.concatenate([np.zeros(0, np.uint8), *rest]), np.concatenate(spans)
 
 
-def _index(parts: int):
+def _index(shared, parts: int):
     def run(batches):
-        held, size = [], 0
+        held, size, full = [], 0, shared.value
         for batch in batches:
             for _, _, x in _records(batch):
                 held.append(x)
                 size += len(x)
                 if size >= FOLDED:
-                    yield _pack(*_fold(np.concatenate(held))[:2], parts)
+                    yield _pack(*_fold(np.concatenate(held))[:2], parts, full=full)
                     held, size = [], 0
         if held:
-            yield _pack(*_fold(np.concatenate(held))[:2], parts)
+            yield _pack(*_fold(np.concatenate(held))[:2], parts, full=full)
     return run
 
 
-def _found(spans: np.ndarray, grams: np.ndarray) -> pa.Table:
-    """Rows of spans, and rows of grams that need their suffixes sorted."""
+def _found(spans: np.ndarray, grams: np.ndarray, around: np.ndarray) -> pa.Table:
+    """Rows of spans, and rows of grams with their number of surroundings."""
     n, m = len(spans), len(grams)
     def column(name, kind):
         return pa.concat_arrays([pa.array(spans[name].astype(kind)), pa.nulls(m, pa.from_numpy_dtype(kind))])
     return pa.Table.from_pydict({
         "id": column("id", np.int64), "tie": column("tie", np.int64), "start": column("start", np.int32),
         "end": column("end", np.int32),
-        "gram": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(grams.view(np.int64))])})
+        "gram": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(grams.view(np.int64))]),
+        "around": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(around.astype(np.int64))])})
 
 
-_FOUND = "id long, tie long, start int, end int, gram long"
+_FOUND = "id long, tie long, start int, end int, gram long, around long"
+_NO_GRAMS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def _shared_grams(key, table):
-    """Folds the records of a part; grams with several surroundings are named."""
-    x, _, spans = _unpack(table)
-    x, covered, _ = _fold(x)
-    several = x["gram"][1:][x["gram"][1:] == x["gram"][:-1]]
-    return _found(np.concatenate([spans, covered]), np.unique(several))
+def _shared_grams(shared):
+    """Folds the records of a part; grams with several surroundings are named, and those
+    of full buckets always, as they may have more in other parts."""
+    def run(key, table):
+        x, _, spans = _unpack(table)
+        x, covered, _ = _fold(x)
+        grams, around = np.unique(x["gram"], return_counts=True)
+        named = (around > 1) | shared.value[_buckets(grams)]
+        return _found(np.concatenate([spans, covered]), grams[named], around[named])
+    return run
 
 
-def _surroundings(shared, parts: int):
-    """Records, with their surroundings, of the grams that a bit table lets through."""
+def _strings(shared, parts: int):
+    """Each string of LENGTH bytes around the anchors of the grams that a bit table lets
+    through, as a record of its own: its hash for gram and surroundings, its start for place."""
     def run(batches):
         let_through = shared.value
+        held, size = [], 0
+        for batch in batches:
+            for data, place, x in _records(batch):
+                hit = np.flatnonzero(let_through(x["gram"]))
+                # the strings of some anchors at a time: at most REACH + 1 each
+                for at in range(0, len(hit), FOLDED // 16):
+                    some = hit[at:at + FOLDED // 16]
+                    x_, raw = x[some], data.tobytes()
+                    first = np.maximum(LENGTH - x_["right"].astype(np.int64), 0)
+                    each = np.maximum(x_["left"].astype(np.int64) - first + 1, 0)
+                    before = np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
+                    start = np.repeat(place[some], each) - before
+                    names = b"".join(hashlib.blake2b(raw[s:s + LENGTH], digest_size=16).digest() for s in start.tolist())
+                    out = np.repeat(x_, each)
+                    out["gram"], out["around"] = np.frombuffer(names, np.uint64).reshape(-1, 2).T
+                    out["at"] -= before.astype(np.int32)
+                    out["left"], out["right"] = 0, LENGTH
+                    held.append(out)
+                    size += len(out)
+                    if size >= FOLDED:
+                        yield _pack(*_fold(np.concatenate(held))[:2], parts)
+                        held, size = [], 0
+        if held:
+            yield _pack(*_fold(np.concatenate(held))[:2], parts)
+    return run
+
+
+def _folded_strings(key, table):
+    x, _, spans = _unpack(table)
+    return _found(np.concatenate([spans, _fold(x)[1]]), *_NO_GRAMS)
+
+
+def _surroundings(shared, wide, parts: int):
+    """Records, with their surroundings, of the grams that a bit table lets through,
+    but for the wide ones."""
+    def run(batches):
+        let_through, left_out = shared.value, wide.value
 
         def flush(held):
             x, spans, kept = _fold(np.concatenate([h[0] for h in held]))
@@ -221,7 +310,7 @@ def _surroundings(shared, parts: int):
         held, size = [], 0
         for batch in batches:
             for data, place, x in _records(batch):
-                hit = np.flatnonzero(let_through(x["gram"]))
+                hit = np.flatnonzero(let_through(x["gram"]) & ~left_out(x["gram"]))
                 if len(hit):
                     x, p, raw = x[hit], place[hit], data.tobytes()
                     low, high = p - x["left"], p + x["right"]
@@ -370,7 +459,7 @@ def _sorted_suffixes(key, table):
         end = int(later[0]) if len(later) else len(kept)
         found.append(covered_by_earlier(kept[at:end], [data[begin[i]:begin[i] + size[i]] for i in rows[at:end]]))
         at = end
-    return _found(np.concatenate(found), np.zeros(0, np.uint64))
+    return _found(np.concatenate(found), *_NO_GRAMS)
 
 
 def _removed(batches):
@@ -405,12 +494,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     scan = with_keys(docs).select("id", "tie", "text").where(F.octet_length("text") >= LENGTH)
     total = scan.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
     parts = max(1, int(total * 2 // (REACH + 2) // ENTRIES))
-    found = C.stored(scan.mapInArrow(_index(parts), _PACKED).groupBy("part").applyInArrow(_shared_grams, _FOUND),
+    full = spark.sparkContext.broadcast(full_buckets(scan))
+    found = C.stored(scan.mapInArrow(_index(full, parts), _PACKED).groupBy("part").applyInArrow(_shared_grams(full), _FOUND),
                      "repeat_spans")
-    bits = spark.sparkContext.broadcast(C.BitTable(found.where(F.col("gram").isNotNull()).select("gram")))
-    sorted_ = (scan.mapInArrow(_surroundings(bits, parts), _PACKED)
-               .groupBy("part").applyInArrow(_sorted_suffixes, _FOUND))
-    spans = found.where(F.col("gram").isNull()).union(sorted_)
+    grams = C.stored(found.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("around").alias("around"))
+                     .where("around > 1"), "repeat_grams")
+    bits = spark.sparkContext.broadcast(C.BitTable(grams.select("gram")))
+    many = grams.where(F.col("around") > WIDE)
+    wide = spark.sparkContext.broadcast(C.BitTable(many.select("gram")))
+    spans = found.where(F.col("gram").isNull()).union(
+        scan.mapInArrow(_surroundings(bits, wide, parts), _PACKED).groupBy("part").applyInArrow(_sorted_suffixes, _FOUND))
+    anchored = many.agg(F.sum("around")).collect()[0][0]
+    if anchored:
+        of_strings = max(1, int(anchored) * (REACH + 1) // ENTRIES)
+        spans = spans.union(scan.mapInArrow(_strings(wide, of_strings), _PACKED)
+                            .groupBy("part").applyInArrow(_folded_strings, _FOUND))
     return spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

@@ -340,10 +340,12 @@ def repeats(docs):
                   for r in suffix_dedup.remove_repeats(docs).collect())
 
 
-@pytest.mark.parametrize("folded, sorted_", [(400_000, 16_000), (40, 25)])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, folded, sorted_):
-    monkeypatch.setattr(suffix_dedup, "FOLDED", folded)
-    monkeypatch.setattr(suffix_dedup, "SORTED", sorted_)
+@pytest.mark.parametrize("folded, sorted_, hot, wide", [(400_000, 16_000, 32_000, 16_000), (40, 25, 0, 16_000),
+                                                        (400_000, 16_000, 3, 4), (400_000, 16_000, 0, 1)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, folded, sorted_, hot, wide):
+    """Whichever grams are dealt out by surroundings or leave the sort for single strings."""
+    for name, value in zip(("FOLDED", "SORTED", "HOT", "WIDE"), (folded, sorted_, hot, wide)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     rnd = random.Random(9)
     passage = "".join(rnd.choice("abcdefgh é") for _ in range(700))
     texts = []
@@ -367,7 +369,7 @@ def test_suffix_dedup_of_odd_rows(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-def test_suffix_dedup_keeps_one_copy_of_repeated_rows(spark):
+def test_suffix_dedup_keeps_one_copy_of_repeated_rows(spark, monkeypatch):
     """Rows repeated with id and text, and no earlier copy, are one document."""
     rnd = random.Random(4)
     text, other, shared = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (400, 300, 150))
@@ -378,6 +380,10 @@ def test_suffix_dedup_keeps_one_copy_of_repeated_rows(spark):
             for (i, _), (n, kept, _) in zip(order, without_repeats([t for _, t in order]))}
     rows = suffix_dedup.remove_repeats(documents(spark, twice * 2 + once + twice).repartition(3)).collect()
     assert len(rows) == 11 and all((r.n_removed, r.kept_sha256) == want[r.doc_id] for r in rows)
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    monkeypatch.setattr(suffix_dedup, "WIDE", 1)
+    again = suffix_dedup.remove_repeats(documents(spark, twice * 2 + once + twice).repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
     assert want[1][0] == 0
 
 
