@@ -259,68 +259,63 @@ def _shared_grams(shared):
     return run
 
 
-def _strings(shared, parts: int):
-    """Each string of LENGTH bytes around the anchors of the grams that a bit table lets
-    through, as a record of its own: its hash for gram and surroundings, its start for place."""
-    def run(batches):
-        let_through = shared.value
-        held, size = [], 0
-        for batch in batches:
-            for data, place, x in _records(batch):
-                hit = np.flatnonzero(let_through(x["gram"]))
-                # the strings of some anchors at a time: at most REACH + 1 each
-                for at in range(0, len(hit), FOLDED // 16):
-                    some = hit[at:at + FOLDED // 16]
-                    x_, raw = x[some], data.tobytes()
-                    first = np.maximum(LENGTH - x_["right"].astype(np.int64), 0)
-                    each = np.maximum(x_["left"].astype(np.int64) - first + 1, 0)
-                    before = np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
-                    start = np.repeat(place[some], each) - before
-                    names = b"".join(hashlib.blake2b(raw[s:s + LENGTH], digest_size=16).digest() for s in start.tolist())
-                    out = np.repeat(x_, each)
-                    out["gram"], out["around"] = np.frombuffer(names, np.uint64).reshape(-1, 2).T
-                    out["at"] -= before.astype(np.int32)
-                    out["left"], out["right"] = 0, LENGTH
-                    held.append(out)
-                    size += len(out)
-                    if size >= FOLDED:
-                        yield _pack(*_fold(np.concatenate(held))[:2], parts)
-                        held, size = [], 0
-        if held:
-            yield _pack(*_fold(np.concatenate(held))[:2], parts)
-    return run
-
-
-def _folded_strings(key, table):
-    x, _, spans = _unpack(table)
-    return _found(np.concatenate([spans, _fold(x)[1]]), *_NO_GRAMS)
+def _strings(x: np.ndarray, place: np.ndarray, raw: bytes) -> np.ndarray:
+    """Each string of LENGTH bytes around the anchors of ``x`` as a record of its own: its
+    hash for gram and surroundings, its start for place."""
+    first = np.maximum(LENGTH - x["right"].astype(np.int64), 0)
+    each = x["left"].astype(np.int64) - first + 1
+    before = np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
+    start = np.repeat(place, each) - before
+    names = b"".join(hashlib.blake2b(raw[s:s + LENGTH], digest_size=16).digest() for s in start.tolist())
+    out = np.repeat(x, each)
+    out["gram"], out["around"] = np.frombuffer(names, np.uint64).reshape(-1, 2).T
+    out["at"] -= before.astype(np.int32)
+    out["left"], out["right"] = 0, LENGTH
+    return out
 
 
-def _surroundings(shared, wide, parts: int):
-    """Records, with their surroundings, of the grams that a bit table lets through,
-    but for the wide ones."""
+def _surroundings(shared, wide, parts: int, string_parts: int):
+    """Records, with their surroundings, of the grams that a bit table lets through; of
+    the wide ones the strings, in parts of their own behind the others."""
     def run(batches):
-        let_through, left_out = shared.value, wide.value
+        let_through, is_wide = shared.value, wide.value
 
         def flush(held):
             x, spans, kept = _fold(np.concatenate([h[0] for h in held]))
             texts = [t for h in held for t in h[1]]
             return _pack(x, spans, parts, [texts[i] for i in kept])
 
-        held, size = [], 0
+        def flush_strings(strings):
+            out = _pack(*_fold(np.concatenate(strings))[:2], string_parts)
+            return out.set_column(0, "part", pa.array(out.column(0).to_numpy() + np.int32(parts)))
+
+        held, size, strings, n_strings = [], 0, [], 0
         for batch in batches:
             for data, place, x in _records(batch):
-                hit = np.flatnonzero(let_through(x["gram"]) & ~left_out(x["gram"]))
-                if len(hit):
-                    x, p, raw = x[hit], place[hit], data.tobytes()
-                    low, high = p - x["left"], p + x["right"]
-                    held.append((x, [raw[a:b] for a, b in zip(low.tolist(), high.tolist())]))
-                    size += len(hit)
+                hit = let_through(x["gram"])
+                if not hit.any():
+                    continue
+                raw, apart = data.tobytes(), is_wide(x["gram"])
+                own = np.flatnonzero(hit & ~apart)
+                if len(own):
+                    low, high = place[own] - x["left"][own], place[own] + x["right"][own]
+                    held.append((x[own], [raw[a:b] for a, b in zip(low.tolist(), high.tolist())]))
+                    size += len(own)
                     if size >= FOLDED // 4:
                         yield flush(held)
                         held, size = [], 0
+                own = np.flatnonzero(hit & apart)
+                for at in range(0, len(own), 1 + FOLDED // 16):
+                    some = own[at:at + 1 + FOLDED // 16]
+                    strings.append(_strings(x[some], place[some], raw))
+                    n_strings += len(strings[-1])
+                    if n_strings >= FOLDED:
+                        yield flush_strings(strings)
+                        strings, n_strings = [], 0
         if held:
             yield flush(held)
+        if strings:
+            yield flush_strings(strings)
     return run
 
 
@@ -440,7 +435,17 @@ def covered_by_earlier(x: np.ndarray, around: list[np.ndarray]) -> np.ndarray:
     return _spans(x[hit], high[hit], (LENGTH - low[hit]).astype(np.int32))
 
 
-def _sorted_suffixes(key, table):
+def _covered(parts: int):
+    """Spans that a part's records cover: strings are folded, surroundings sorted."""
+    def run(key, table):
+        if key[0].as_py() < parts:
+            return _sorted_suffixes(table)
+        x, _, spans = _unpack(table)
+        return _found(np.concatenate([spans, _fold(x)[1]]), *_NO_GRAMS)
+    return run
+
+
+def _sorted_suffixes(table):
     x, data, spans = _unpack(table)
     size = x["left"].astype(np.int64) + x["right"]
     begin = np.cumsum(size) - size
@@ -502,13 +507,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(C.BitTable(grams.select("gram")))
     many = grams.where(F.col("around") > WIDE)
     wide = spark.sparkContext.broadcast(C.BitTable(many.select("gram")))
+    strings = (many.agg(F.sum("around")).collect()[0][0] or 0) * (REACH + 1)
+    string_parts = max(1, int(strings) // ENTRIES)
     spans = found.where(F.col("gram").isNull()).union(
-        scan.mapInArrow(_surroundings(bits, wide, parts), _PACKED).groupBy("part").applyInArrow(_sorted_suffixes, _FOUND))
-    anchored = many.agg(F.sum("around")).collect()[0][0]
-    if anchored:
-        of_strings = max(1, int(anchored) * (REACH + 1) // ENTRIES)
-        spans = spans.union(scan.mapInArrow(_strings(wide, of_strings), _PACKED)
-                            .groupBy("part").applyInArrow(_folded_strings, _FOUND))
+        scan.mapInArrow(_surroundings(bits, wide, parts, string_parts), _PACKED)
+        .groupBy("part").applyInArrow(_covered(parts), _FOUND))
     return spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
