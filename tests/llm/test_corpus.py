@@ -187,6 +187,24 @@ def test_packing_brings_copies_together_across_shards(spark, monkeypatch):
     assert max(sizes.values()) < 3 * 3_000
 
 
+def test_packing_routes_by_the_counts_of_all_documents(spark):
+    """More documents than a sample of 4,000: each one's route follows the frequencies over all of them."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(400)]
+    docs = [(i, " ".join(rnd.choices(words, k=4)) if i % 50 else None) for i in range(6_000)]
+    texts, holding = packing.encoded_documents(documents(spark, docs), PATH)
+    mean = texts.agg(F.avg("n_tokens")).first()[0]
+    rows = packing.routed(texts, spark.sparkContext.broadcast(holding), len(docs), mean).orderBy("row").collect()
+    ids = [np.frombuffer(bytes(r.ids), "<u2") for r in rows]
+    flat, bounds = np.concatenate(ids), np.cumsum([0] + [len(x) for x in ids])
+    doc, term, count = packing.term_counts(flat, bounds)
+    held = np.bincount(term, minlength=len(holding)).astype(float)
+    held[packing.END_ID] = len(docs)
+    assert held.tolist() == holding.tolist() and mean == len(flat) / len(docs)
+    weight = packing.term_weights(packing.rarity(held, len(docs)), doc, term, count, bounds, mean)
+    assert [r.route for r in rows] == packing.routes(doc, term, weight, len(docs)).tolist()
+
+
 def test_packing_closes_a_shard_at_its_bound(spark, monkeypatch):
     monkeypatch.setattr(packing, "MOST_TOKENS", 5_000)
     docs = [(i, f"t{i % 7} " * (1 + 37 * i % 900)) for i in range(60)]
