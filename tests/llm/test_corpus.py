@@ -187,6 +187,15 @@ def test_packing_brings_copies_together_across_shards(spark, monkeypatch):
     assert max(sizes.values()) < 3 * 3_000
 
 
+def test_vocabularies_are_given_back_and_built_again():
+    data = np.frombuffer("some words, two words".encode(), np.uint8)
+    before = tokens.token_ids(data, np.array([0, len(data)]), PATH)[0].tolist()
+    assert tokens._tables and tokens._models
+    tokens.forget()
+    assert not (tokens._tables or tokens._models or tokens._libraries)
+    assert tokens.token_ids(data, np.array([0, len(data)]), PATH)[0].tolist() == before
+
+
 def test_packing_routes_by_the_counts_of_all_documents(spark):
     """More documents than a sample of 4,000: each one's route follows the frequencies over all of them."""
     rnd = random.Random(8)
