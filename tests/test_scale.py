@@ -12,6 +12,7 @@ from basketry.operators import support
 from basketry.operators.candidates import support_upper_bound
 from basketry.operators.encoding import counted_items, encode
 from basketry.operators.support import dataset_closure, itemset_closure, itemset_support, match_candidates
+from basketry.plans import frequent
 from basketry.plans.closed import closed_itemsets, closed_itemsets_naive, closed_lattice
 from basketry.plans.evaluate import sweep, sweep_report
 from basketry.plans.frequent import fp_groups, frequent_itemsets_fp, frequent_itemsets_son, local_supports
@@ -176,3 +177,23 @@ def test_sweep_mines_once_and_the_report_has_order_and_baseline(spark, monkeypat
     assert [(x.axis, x.place, x.param_value) for x in rep] == [("high", 1, 0.3), ("low", 2, 0.1)]
     assert all(abs(x.exact - mean) < 1e-9 for x in rep)
     assert sweep_report(r).where("measure = 'num_cis'").count() == 3
+
+
+@pytest.mark.parametrize("extra", [0, 300])
+def test_grown_itemsets_against_fp_growth_and_brute_force(spark, monkeypatch, extra):
+    """Dense baskets go to folded conditional bases, which MLlib's trees never see; 300 more items
+    (in pairs of baskets) are beyond the codes looked up in a literal map."""
+    rnd = random.Random(12)
+    baskets = [sorted(rnd.sample(range(1, 10), rnd.randint(3, 8))) for _ in range(60)] + [[5], [], [1, 1, 2]]
+    baskets += [[10 + k] for k in range(extra) for _ in range(2)]
+    b = make_baskets(spark, baskets)
+    for least in (2, 20, 900):
+        plain = as_dict(frequent_itemsets_fp(b, min_count=least, num_partitions=2))
+        with monkeypatch.context() as m:
+            m.setattr(frequent, "TREE_PLACES", 0)
+            m.setattr(frequent, "FPGrowth", None)
+            rows = [(tuple(r["items"]), r["support"], r["size"]) for r in frequent_itemsets_fp(b, min_count=least).collect()]
+        assert len(rows) == len(set(rows)) and {i: s for i, s, _ in rows} == plain
+        assert all(len(i) == n for i, _, n in rows)
+        held = {c: sum(set(c) <= set(x) for x in baskets) for n in (1, 2, 3) for c in combinations(range(1, 10), n)}
+        assert {i: s for i, s, n in rows if n <= 3 and max(i) < 10} == {c: s for c, s in held.items() if s >= least}
