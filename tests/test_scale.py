@@ -197,3 +197,20 @@ def test_grown_itemsets_against_fp_growth_and_brute_force(spark, monkeypatch, ex
         assert all(len(i) == n for i, _, n in rows)
         held = {c: sum(set(c) <= set(x) for x in baskets) for n in (1, 2, 3) for c in combinations(range(1, 10), n)}
         assert {i: s for i, s, n in rows if n <= 3 and max(i) < 10} == {c: s for c, s in held.items() if s >= least}
+
+
+@pytest.mark.parametrize("items", [9, 80])
+def test_matches_by_bits(spark, monkeypatch, items):
+    """Up to 63 codes the bits decide, beyond that they only part pairs; hot anchors are dealt to parts,
+    and with few codes no pair is joined with its basket again."""
+    monkeypatch.setattr(support, "HOT_PAIRS", 20)
+    monkeypatch.setattr(support, "PART_ROWS", 5)
+    baskets = random_baskets(21, n=70, items=items, most=min(items, 30))
+    cands = [c for n in (1, 2, 3) for c in combinations(range(1, 8), n)] + [(k,) for k in range(1, items + 1)] + [(1, items)]
+    df = spark.createDataFrame([(list(c),) for c in set(cands)], "items array<long>")
+    want = sorted((c, i) for i, x in enumerate(baskets) for c in set(cands) if set(c) <= set(x))
+    if items <= support.MASK_CODES:
+        monkeypatch.setattr(support, "match_rows", None)
+    for strategy in ("broadcast", "index"):
+        got = match_candidates(make_baskets(spark, baskets), df, strategy=strategy)
+        assert sorted((tuple(r["items"]), r["basket_id"]) for r in got.collect()) == want
