@@ -214,6 +214,37 @@ def test_packing_routes_by_the_counts_of_all_documents(spark):
     assert [r.route for r in rows] == packing.routes(doc, term, weight, len(docs)).tolist()
 
 
+def test_packing_loads_no_vocabulary_on_the_driver(spark):
+    """Its tables would take 40 MB there for the rest of a session."""
+    tokens.forget()
+    pieces = packing.pack_documents(documents(spark, odd_texts()), PATH)
+    assert pieces.count() and not (tokens._models or tokens._tables or tokens._libraries)
+
+
+def test_packing_narrows_its_index_to_free_documents(monkeypatch):
+    rnd = np.random.default_rng(5)
+    docs = [[*rnd.zipf(1.4, rnd.integers(1, 200)).clip(2, 900).tolist(), packing.END_ID] for _ in range(300)]
+    flat = np.array([t for d in docs for t in d], np.int64)
+    bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    holding = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1000).astype(float)
+
+    def index():
+        return packing.Index(flat, bounds, holding, 300, len(flat) / 300)
+    whole, narrowed, free = index(), index(), np.ones(300, bool)
+    for _ in range(4):
+        free[rnd.integers(0, 300, 60)] = False
+        narrowed.narrow(free)
+        assert narrowed.left.tolist() == np.flatnonzero(free).tolist() and narrowed.rows.shape[1] == free.sum()
+        for seed in range(0, 300, 7):
+            assert narrowed.neighbours(seed).tolist() == whole.neighbours(seed)[free].tolist()
+    monkeypatch.setattr(packing, "SEQUENCE", 256)
+    used = index()
+    packed = packing.pack(flat, bounds, used)
+    assert len(used.left) < 300
+    monkeypatch.setattr(packing, "NARROW", 0)
+    assert packing.pack(flat, bounds, index()) == packed
+
+
 def test_packing_closes_a_shard_at_its_bound(spark, monkeypatch):
     monkeypatch.setattr(packing, "MOST_TOKENS", 5_000)
     docs = [(i, f"t{i % 7} " * (1 + 37 * i % 900)) for i in range(60)]

@@ -58,6 +58,19 @@ def test_a_table_whose_hashes_all_collide(monkeypatch):
         assert [table.flat[a:a + n].tolist() for a, n in zip(at, size)] == [[len(w), *w] for w in words]
 
 
+def test_pieces_that_differ_in_any_byte_are_told_apart():
+    """All in one slot; words of 8 bytes are compared, the last one in part."""
+    for n in (0, 1, 7, 8, 9, 15, 16, 17, 40):
+        kept = bytes(range(65, 65 + n))
+        table = tokens.PieceTable(lambda piece: [len(piece)], np.int32)
+        table._add(np.array([1], np.uint64), [kept], [[n]])
+        given = [kept, kept + b"x", *[kept[:i] + b"~" + kept[i + 1:] for i in range(n)]]
+        ends = np.cumsum([len(g) for g in given])
+        starts = np.concatenate([[0], ends[:-1]])
+        slot = np.repeat(table._probe(np.array([1], np.uint64)), len(given))
+        assert table._others(b"".join(given), starts, ends, slot).tolist() == list(range(1, len(given)))
+
+
 def test_operators_on_colliding_texts(spark):
     a, b = twins()
     texts = [(1, a), (2, b), (3, " ".join([a, "one two three four"])), (4, " ".join([b, "one two three four"])), (5, a)]
