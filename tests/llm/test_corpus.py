@@ -351,6 +351,27 @@ def test_jaccard_deals_out_the_sets_of_a_hot_pivot(spark, monkeypatch):
     assert lists == {r["list"] for r in stars.select("list").collect()}
 
 
+def test_components_keep_no_hash_tables_on_the_driver(spark, monkeypatch):
+    plans, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, name))[1])
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 8], "a long, b long")
+    assert {r.node: r.root for r in connected_components(links).collect()} == {i: max(1, (i - 1) // 8 * 8 + 1)
+                                                                              for i in range(1, 41)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_jaccard_looks_once_where_all_lists_are_connected(spark, monkeypatch):
+    names, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: (names.append(name), stored(df, name))[1])
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{rnd.randrange(10_000)}" for _ in range(60)) for _ in range(20)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)]
+    out = jaccard_join.jaccard_components(documents(spark, docs)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i % 100 for i, _ in docs}
+    assert names.count("star_links") == 1 and "list_sets" not in names and names.count("links") == 1
+
+
 def test_jaccard_of_repeats_nulls_and_empty(spark):
     rows = jaccard_join.jaccard_components(documents(spark, odd_texts()))
     assert rows.count() == len(odd_texts())

@@ -126,6 +126,23 @@ def test_rules_at_each_place_count_what_is_left():
     assert [r.name for r in quality.by_rejection_per_cost(rules, [], {"a": 3.0, "b": 2.0, "c": 1.0})] == ["c", "b", "a"]
 
 
+def test_quality_measures_a_rule_that_needs_more_copies_once(spark):
+    class Sample:
+        runs = 0
+
+        def withColumn(self, *_):
+            return self
+
+        agg = withColumn
+
+        def collect(self):
+            Sample.runs += 1
+
+    quality._seconds(Sample(), 4, F.lit(True))
+    assert Sample.runs == 4
+    assert quality._seconds(Sample(), 4, F.lit(True), 1e9) < 1e9 and Sample.runs == 6
+
+
 def test_quality_keeps_columns_and_any_order_gives_one_verdict(spark):
     docs = documents(spark, odd_texts())
     kept = quality.quality_rules(docs.drop("rejected_by"))
