@@ -356,7 +356,7 @@ def test_components_keep_no_hash_tables_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(common, "stored", lambda df, name: (
         plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, name))[1])
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 8], "a long, b long")
-    assert {r.node: r.root for r in connected_components(links).collect()} == {i: max(1, (i - 1) // 8 * 8 + 1)
+    assert {r.node: r.root for r in connected_components(links, merge=True).collect()} == {i: max(1, (i - 1) // 8 * 8 + 1)
                                                                               for i in range(1, 41)}
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
 
