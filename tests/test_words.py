@@ -21,7 +21,8 @@ def kept_tables(monkeypatch):
     return kept
 
 
-@pytest.mark.parametrize("query", ["f2_min_support_words", "j6_closed_any_words", "j6_closed_only_words", "m10_reachable_words"])
+@pytest.mark.parametrize("query", ["f2_min_support_words", "j6_closed_any_words", "j6_closed_only_words", "m10_reachable_words",
+                                   "m8_rules_words"])
 def test_words_of_large_scans_are_not_kept(spark, monkeypatch, query):
     small = sorted(map(str, entry.queries()[query](spark, DATA).collect()))
     monkeypatch.setattr(session, "RESCAN_BYTES", 0, raising=False)
