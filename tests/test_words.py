@@ -22,7 +22,7 @@ def kept_tables(monkeypatch):
 
 
 @pytest.mark.parametrize("query", ["f2_min_support_words", "j6_closed_any_words", "j6_closed_only_words", "m10_reachable_words",
-                                   "m8_rules_words"])
+                                   "m8_rules_words", "a13_level_union_words"])
 def test_words_of_large_scans_are_not_kept(spark, monkeypatch, query):
     small = sorted(map(str, entry.queries()[query](spark, DATA).collect()))
     monkeypatch.setattr(session, "RESCAN_BYTES", 0, raising=False)
